@@ -181,7 +181,8 @@ def _corr_sql() -> str:
 SQL["corr_matrix"] = _corr_sql()
 
 
-def _hist_sql(bins_expr: str, source: str, by: str | None = None, extra_cte: str = "") -> str:
+def _hist_sql(bins_expr: str, source: str, by: str | None = None, extra_cte: str = "",
+              rnd=R) -> str:
     keys = f"{by}, " if by else ""
     grid = (f"SELECT DISTINCT {by}, unnest(range(0, (SELECT nb FROM p))) AS bin FROM src"
             if by else "SELECT unnest(range(0, (SELECT nb FROM p))) AS bin")
@@ -193,8 +194,8 @@ b AS (SELECT {keys}LEAST(CAST(floor((v - lo) * ((SELECT nb FROM p) / (hi - lo)))
       FROM src, r WHERE v IS NOT NULL),
 c AS (SELECT {keys}bin, count(*) AS n FROM b GROUP BY ALL),
 g AS ({grid})
-SELECT {"g." + by + ", " if by else ""}CAST(g.bin AS INTEGER) AS bin, {R('lo + g.bin * ((hi - lo) / (SELECT nb FROM p))')} AS bin_lo,
-       {R('CASE WHEN g.bin = (SELECT nb FROM p) - 1 THEN hi ELSE lo + (g.bin + 1) * ((hi - lo) / (SELECT nb FROM p)) END')} AS bin_hi,
+SELECT {"g." + by + ", " if by else ""}CAST(g.bin AS INTEGER) AS bin, {rnd('lo + g.bin * ((hi - lo) / (SELECT nb FROM p))')} AS bin_lo,
+       {rnd('CASE WHEN g.bin = (SELECT nb FROM p) - 1 THEN hi ELSE lo + (g.bin + 1) * ((hi - lo) / (SELECT nb FROM p)) END')} AS bin_hi,
        CAST(COALESCE(c.n, 0) AS BIGINT) AS n
 FROM g LEFT JOIN c ON g.bin = c.bin {"AND g." + by + " = c." + by if by else ""}, r"""
 
@@ -265,3 +266,121 @@ SQL["pair_points"] = "\nUNION ALL ".join(
     f"{R(f'CAST({b} AS DOUBLE)')} AS y FROM part"
     for a in ["p_size", "p_retailprice", "p_partkey"] for b in ["p_size", "p_retailprice", "p_partkey"]
     if a != b)
+
+
+def RK(x: str, digits: int = 4) -> str:
+    s = f"1e{digits}"
+    return f"(CASE WHEN abs({x}) < 1e12 THEN floor(({x}) * {s} + 0.5) / {s} ELSE ({x}) END + 0.0)"
+
+
+OLS = """ols AS (SELECT regr_intercept(p_retailprice, p_partkey) AS b,
+                        regr_slope(p_retailprice, p_partkey) AS w FROM part)"""
+
+SQL["ols_fit"] = f"""
+WITH {OLS}
+SELECT 'intercept' AS term, {RK('b')} AS coef_raw FROM ols
+UNION ALL SELECT 'p_partkey', {RK('w')} FROM ols"""
+
+SQL["ols_score"] = f"""
+WITH {OLS}
+SELECT p_partkey, {RK('b + w * p_partkey')} AS prediction FROM part, ols"""
+
+SQL["ols_metrics"] = f"""
+WITH {OLS}, e AS (SELECT p_retailprice AS y, p_retailprice - (b + w * p_partkey) AS e FROM part, ols)
+SELECT CAST(count(*) AS BIGINT) AS n,
+       {RK('CASE WHEN count(*) < 2 THEN NULL WHEN var_pop(y) = 0 THEN (CASE WHEN sum(e*e) = 0 THEN 1.0 ELSE 0.0 END) ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
+       {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse FROM e"""
+
+SQL["residual_hist"] = _hist_sql(
+    "20", f"WITH {OLS} SELECT p_retailprice - (b + w * p_partkey) AS v FROM part, ols",
+    rnd=lambda x: RK(x, 3))
+
+SQL["actual_vs_pred"] = f"""
+WITH {OLS}, pts AS (SELECT p_retailprice AS actual, b + w * p_partkey AS predicted FROM part, ols),
+lim AS (SELECT LEAST(min(actual), min(predicted)) AS lim_lo,
+               GREATEST(max(actual), max(predicted)) AS lim_hi FROM pts)
+SELECT {RK('actual')} AS actual, {RK('predicted')} AS predicted, {RK('lim_lo')} AS lim_lo,
+       {RK('lim_hi')} AS lim_hi FROM pts, lim"""
+
+HASH5 = "CAST(CAST(('0x' || substr(md5(CAST({k} AS VARCHAR)), 1, 8)) AS BIGINT) % 5 AS INTEGER)"
+
+SQL["hash_split"] = f"""
+SELECT o_orderkey, CASE WHEN {HASH5.format(k='o_orderkey')} < 4 THEN 'train' ELSE 'test' END AS split
+FROM orders"""
+
+SQL["fold_sizes"] = f"""
+SELECT {HASH5.format(k='o_orderkey')} AS fold, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1"""
+
+SQL["block_folds"] = """
+SELECT event_id, CAST(NTILE(5) OVER (ORDER BY ts, event_id) - 1 AS INTEGER) AS fold FROM events"""
+
+SQL["cv_scores"] = f"""
+WITH p AS (SELECT p_partkey, p_retailprice AS y, {HASH5.format(k='p_partkey')} AS fold FROM part),
+f AS (SELECT DISTINCT fold FROM p),
+m AS (SELECT f.fold, regr_intercept(p.y, p.p_partkey) AS b, regr_slope(p.y, p.p_partkey) AS w
+      FROM f JOIN p ON p.fold <> f.fold GROUP BY f.fold),
+e AS (SELECT p.fold, p.y, p.y - (m.b + m.w * p.p_partkey) AS e FROM p JOIN m USING (fold))
+SELECT fold, CAST(count(*) AS BIGINT) AS n,
+       {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2
+FROM e GROUP BY fold"""
+
+# Ridge with two standardised features, contiguous folds: closed-form 2 x 2
+# solves from per-fold sums (train = total minus fold).
+_RIDGE_BASE = """
+base AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_partkey AS DOUBLE) AS x2, p_retailprice AS y,
+                NTILE(5) OVER (ORDER BY p_partkey) - 1 AS fold FROM part),
+st AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM base),
+z AS (SELECT fold, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, y FROM base, st),
+fs AS (SELECT fold, count(*) AS n, sum(z1) AS a1, sum(z2) AS a2, sum(y) AS ay, sum(z1 * z1) AS a11,
+              sum(z1 * z2) AS a12, sum(z2 * z2) AS a22, sum(z1 * y) AS a1y, sum(z2 * y) AS a2y,
+              sum(y * y) AS ayy FROM z GROUP BY fold),
+tot AS (SELECT sum(n) AS n, sum(a1) AS a1, sum(a2) AS a2, sum(ay) AS ay, sum(a11) AS a11,
+               sum(a12) AS a12, sum(a22) AS a22, sum(a1y) AS a1y, sum(a2y) AS a2y FROM fs),
+tr AS (SELECT f.fold, t.n - f.n AS n, t.a1 - f.a1 AS a1, t.a2 - f.a2 AS a2, t.ay - f.ay AS ay,
+              t.a11 - f.a11 AS a11, t.a12 - f.a12 AS a12, t.a22 - f.a22 AS a22,
+              t.a1y - f.a1y AS a1y, t.a2y - f.a2y AS a2y FROM fs f, tot t),
+al AS (SELECT pow(10, -3 + 0.5 * i) AS alpha FROM range(13) t(i))"""
+
+_CENTRED = """SELECT {key}n, a1 / n AS mz1, a2 / n AS mz2, ay / n AS my,
+       a11 - a1 * a1 / n AS c11, a12 - a1 * a2 / n AS c12, a22 - a2 * a2 / n AS c22,
+       a1y - a1 * ay / n AS c1y, a2y - a2 * ay / n AS c2y FROM {src}"""
+
+_SOLVE = """SELECT {key}alpha, mz1, mz2, my,
+       (c1y * (c22 + alpha) - c12 * c2y) / ((c11 + alpha) * (c22 + alpha) - c12 * c12) AS w1,
+       ((c11 + alpha) * c2y - c12 * c1y) / ((c11 + alpha) * (c22 + alpha) - c12 * c12) AS w2
+FROM {src}"""
+
+_PATH = f"""{_RIDGE_BASE},
+c AS ({_CENTRED.format(key='fold, ', src='tr')}),
+sol AS ({_SOLVE.format(key='fold, ', src='c, al')}),
+sol2 AS (SELECT *, my - w1 * mz1 - w2 * mz2 AS b FROM sol),
+sc AS (SELECT s.alpha, s.fold,
+              1 - (f.ayy - 2 * b * f.ay - 2 * w1 * f.a1y - 2 * w2 * f.a2y + f.n * b * b
+                   + 2 * b * w1 * f.a1 + 2 * b * w2 * f.a2 + w1 * w1 * f.a11
+                   + 2 * w1 * w2 * f.a12 + w2 * w2 * f.a22) / (f.ayy - f.ay * f.ay / f.n) AS r2
+       FROM sol2 s JOIN fs f USING (fold)),
+path AS (SELECT alpha, avg(r2) AS mean_r2 FROM sc GROUP BY alpha)"""
+
+SQL["ridge_path"] = f"""
+WITH {_PATH}
+SELECT {RK('alpha')} AS alpha, {RK('mean_r2')} AS mean_r2 FROM path"""
+
+_REFIT = f"""{_PATH},
+best AS (SELECT alpha FROM path ORDER BY mean_r2 DESC, alpha ASC LIMIT 1),
+ca AS ({_CENTRED.format(key='', src='tot')}),
+fin AS ({_SOLVE.format(key='', src='ca, best')}),
+fin2 AS (SELECT *, my - w1 * mz1 - w2 * mz2 AS b FROM fin)"""
+
+SQL["ridge_cv_select"] = f"""
+WITH {_REFIT}
+SELECT 'intercept' AS term, {RK('b')} AS coef, {RK('alpha')} AS alpha FROM fin2
+UNION ALL SELECT 'p_size', {RK('w1')}, {RK('alpha')} FROM fin2
+UNION ALL SELECT 'p_partkey', {RK('w2')}, {RK('alpha')} FROM fin2"""
+
+SQL["importance_coef"] = f"""
+WITH {_REFIT},
+imp AS (SELECT 'p_size' AS feature, w1 AS importance FROM fin2
+        UNION ALL SELECT 'p_partkey', w2 FROM fin2)
+SELECT feature, {RK('importance')} AS importance,
+       CAST(row_number() OVER (ORDER BY importance DESC, feature ASC) AS INTEGER) AS rank,
+       'coefficient' AS kind FROM imp"""

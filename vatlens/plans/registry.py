@@ -320,3 +320,121 @@ def q_pair_points(spark, d):
     p = table(spark, d, "part")
     return _r6(distribution.pair_points(p, ["p_size", "p_retailprice", "p_partkey"],
                                         keep=["p_partkey"]).withColumnRenamed("p_partkey", "id"))
+
+
+# ------------------------------------------------------------------ models (linear)
+from vatlens.plans import linear, split  # noqa: E402
+
+PART_X1 = ["p_partkey"]
+PART_X2 = ["p_size", "p_partkey"]
+PART_Y = "p_retailprice"
+
+
+def _part(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+
+
+def _rk(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Coarser rounding for values computed along different float paths."""
+    out = []
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c, s = F.col(f.name), float(10 ** digits)
+            out.append((F.when(F.abs(c) < F.lit(1e12), F.floor(c * F.lit(s) + F.lit(0.5)) / F.lit(s))
+                        .otherwise(c) + F.lit(0.0)).alias(f.name))
+        else:
+            out.append(F.col(f.name))
+    return df.select(*out)
+
+
+@query("ols_fit")
+def q_ols_fit(spark, d):
+    m = linear.fit_linear(_part(spark, d), PART_X1, PART_Y)
+    return _rk(m.coefficients_frame(spark).select("term", "coef_raw"))
+
+
+@query("ols_score")
+def q_ols_score(spark, d):
+    p = _part(spark, d)
+    m = linear.fit_linear(p, PART_X1, PART_Y)
+    return _rk(m.transform(p).select("p_partkey", "prediction"))
+
+
+@query("ols_metrics")
+def q_ols_metrics(spark, d):
+    p = _part(spark, d)
+    m = linear.fit_linear(p, PART_X1, PART_Y)
+    return _rk(summary.regression_metrics(m.transform(p), PART_Y, "prediction"))
+
+
+def _part_blocks(spark, d):
+    return split.block_folds(_part(spark, d), ["p_partkey"], 5)
+
+
+@query("ridge_path")
+def q_ridge_path(spark, d):
+    path = linear.ridge_path(_part_blocks(spark, d), PART_X2, PART_Y, "fold")
+    return _rk(linear.path_frame(spark, path).select("alpha", "mean_r2"))
+
+
+@query("ridge_cv_select")
+def q_ridge_cv_select(spark, d):
+    m = linear.fit_ridge_cv(_part_blocks(spark, d), PART_X2, PART_Y, "fold")
+    c = m.coefficients_frame(spark).select("term", "coef").withColumn("alpha", F.lit(m.alpha))
+    return _rk(c)
+
+
+@query("importance_coef")
+def q_importance_coef(spark, d):
+    from vatlens.plans import importance
+    m = linear.fit_ridge_cv(_part_blocks(spark, d), PART_X2, PART_Y, "fold")
+    return _rk(importance.coefficient_importance(spark, m))
+
+
+@query("residual_hist")
+def q_residual_hist(spark, d):
+    p = _part(spark, d)
+    m = linear.fit_linear(p, PART_X1, PART_Y)
+    r = distribution.residuals(m.transform(p), PART_Y, "prediction")
+    return _rk(distribution.histogram(r, "residual", bins=20), 3)
+
+
+@query("actual_vs_pred")
+def q_actual_vs_pred(spark, d):
+    p = _part(spark, d)
+    m = linear.fit_linear(p, PART_X1, PART_Y)
+    pts, lim = distribution.actual_vs_predicted(m.transform(p), PART_Y, "prediction")
+    return _rk(distribution.attach(pts, lim, []))
+
+
+@query("hash_split")
+def q_hash_split(spark, d):
+    return split.hash_split(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("fold_sizes")
+def q_fold_sizes(spark, d):
+    f = split.hash_folds(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 5)
+    return summary.count_by(f, ["fold"])
+
+
+@query("block_folds")
+def q_block_folds(spark, d):
+    return split.block_folds(ev(spark, d).select("event_id", "ts"), ORDER, 5).select("event_id", "fold")
+
+
+@query("cv_scores")
+def q_cv_scores(spark, d):
+    p = split.hash_folds(_part(spark, d), "p_partkey", 5)
+    return _rk(linear.cross_validate(p, PART_X1, PART_Y, "fold").select("fold", "n", "r2"))
+
+
+@query("flagship")
+def q_flagship(spark, d):
+    """Preprocess -> fit (ridge, CV folds in time order) -> score -> metrics per batch."""
+    x = preprocess(ev(spark, d), ev_spec(), strict=True)
+    feats = ["k", "k_diff", "low_flag", "value_z"]
+    folds = split.block_folds(x, ORDER, 5)
+    m = linear.fit_ridge_cv(folds, feats, "value", "fold")
+    scored = m.transform(x)
+    return _rk(summary.regression_metrics(scored, "value", "prediction", group_by=["event_type"]))
