@@ -384,3 +384,150 @@ imp AS (SELECT 'p_size' AS feature, w1 AS importance FROM fin2
 SELECT feature, {RK('importance')} AS importance,
        CAST(row_number() OVER (ORDER BY importance DESC, feature ASC) AS INTEGER) AS rank,
        'coefficient' AS kind FROM imp"""
+
+
+def FMT(x: str, d: int) -> str:
+    """Fixed decimals, half-up on x * 10^d (same as ``scalar.format_fixed``)."""
+    s = 10 ** d
+    u = f"CAST(floor(abs({x}) * {float(s)} + 0.5) AS BIGINT)"
+    return (f"(CASE WHEN ({x}) IS NULL THEN NULL ELSE (CASE WHEN ({x}) < 0 THEN '-' ELSE '' END) || "
+            f"CAST({u} // {s} AS VARCHAR) || '.' || lpad(CAST({u} % {s} AS VARCHAR), {d}, '0') END)")
+
+
+RUNS = f"""
+SELECT event_id AS id, 'user_' || CAST(user_id AS VARCHAR) AS username, ts AS timestamp,
+       'batch_' || event_type || '.csv' AS file,
+       CASE WHEN event_type = 'error' THEN NULL WHEN value > 250 THEN 'Benchmark' ELSE 'Predict' END AS mode,
+       CASE WHEN value > 250 THEN value / 490 END AS r2,
+       CASE WHEN value > 250 THEN sqrt(value) END AS rmse,
+       CASE WHEN NOT (value > 250) AND NOT (event_type = 'signup' AND value < 20) THEN value END AS mean_pred,
+       CASE WHEN NOT (value > 250) AND NOT (event_type = 'signup' AND value < 20) THEN CAST(k AS INTEGER) END AS cnt,
+       'models\\' || event_type || '/ridge_v' || CAST(user_id % 3 AS VARCHAR) || '.joblib' AS model_name
+FROM ({EV}) e"""
+
+BASENAME = "regexp_split_to_array({p}, '[/\\\\]')[-1]"
+
+SQL["history_page"] = f"""
+SELECT id, username, {BASENAME.format(p='model_name')} AS model, COALESCE(mode, 'N/A') AS mode
+FROM ({RUNS}) r WHERE username = 'user_8'
+ORDER BY timestamp DESC, id DESC LIMIT 10 OFFSET 10"""
+
+SQL["history_pages_total"] = f"""
+SELECT username, CAST(count(*) AS BIGINT) AS n_runs,
+       CAST(GREATEST(1, ceil(count(*) / 10.0)) AS BIGINT) AS n_pages
+FROM ({RUNS}) r GROUP BY username"""
+
+SQL["history_summary"] = f"""
+SELECT id, {BASENAME.format(p='model_name')} AS model,
+       CASE WHEN r2 IS NOT NULL THEN 'R²: ' || {FMT('r2', 3)} || ' | RMSE: ' || {FMT('rmse', 3)}
+            WHEN mean_pred IS NOT NULL THEN 'Mean: ' || {FMT('mean_pred', 2)} || ' | Rows: ' || CAST(cnt AS VARCHAR)
+            ELSE '' END AS summary,
+       COALESCE(mode, 'N/A') AS mode
+FROM ({RUNS}) r"""
+
+SQL["history_export"] = f"""
+SELECT id, username, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day
+FROM ({RUNS}) r WHERE username = 'user_8' ORDER BY timestamp DESC, id DESC LIMIT 1000"""
+
+SQL["run_profile"] = f"SELECT id, username, file, model_name FROM ({RUNS}) r"
+
+SQL["lookup_run"] = f"""
+WITH r AS ({RUNS})
+SELECT id, username FROM r
+WHERE username = 'user_8'
+  AND id = (SELECT id FROM r WHERE username = 'user_8' ORDER BY timestamp DESC, id DESC LIMIT 1)"""
+
+OLDNEW = """
+o AS (SELECT o_orderkey, o_totalprice, o_orderstatus, o_orderdate FROM orders),
+old AS (SELECT o_orderkey, o_totalprice, o_orderstatus FROM o WHERE o_orderdate < TIMESTAMP '1996-01-01'),
+new AS (SELECT o_orderkey, o_totalprice + 1.0 AS o_totalprice, 'U' AS o_orderstatus
+        FROM o WHERE o_orderdate >= TIMESTAMP '1994-01-01')"""
+
+SQL["upsert_latest"] = f"""
+WITH {OLDNEW}
+SELECT o_orderkey, {R('o_totalprice')} AS o_totalprice, o_orderstatus FROM new
+UNION ALL
+SELECT o_orderkey, {R('o_totalprice')}, o_orderstatus FROM old
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)"""
+
+SQL["insert_absent"] = f"""
+WITH {OLDNEW}
+SELECT o_orderkey, {R('o_totalprice')} AS o_totalprice, o_orderstatus FROM old
+UNION ALL
+SELECT o_orderkey, {R('o_totalprice')}, o_orderstatus FROM new
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM old)"""
+
+SQL["update_by_key"] = """
+SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+                        THEN 'R' ELSE o_orderstatus END AS o_orderstatus FROM orders"""
+
+SQL["delete_by_key"] = """
+SELECT o_orderkey FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')"""
+
+SQL["cascade_delete"] = """
+WITH dc AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0),
+dord AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM dc))
+SELECT CAST(count(*) AS BIGINT) AS n_rows, 'lineitem' AS table_name FROM lineitem
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM dord)
+UNION ALL SELECT CAST(count(*) AS BIGINT), 'orders' FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM dc)
+UNION ALL SELECT CAST(count(*) AS BIGINT), 'customer' FROM customer
+WHERE c_custkey NOT IN (SELECT c_custkey FROM dc)"""
+
+RULES = """
+SELECT 'user_' || CAST(c_custkey AS VARCHAR) AS username, c_mktsegment <> 'HOUSEHOLD' AS email_enabled,
+       floor(abs(c_acctbal)) / 20.0 AS titer_threshold,
+       CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'below' ELSE 'above' END AS condition
+FROM customer WHERE c_nationkey < 20"""
+
+SCORED = f"""
+SELECT 'user_' || CAST(user_id AS VARCHAR) AS username, user_id, value AS score,
+       'runs\\' || CAST(user_id AS VARCHAR) || '/model_ridge.joblib' AS model_path FROM events"""
+
+WITH_RULE = f"""
+j AS (SELECT s.*, COALESCE(r.email_enabled, false) AS email_enabled,
+             COALESCE(r.titer_threshold, 5.0) AS threshold, COALESCE(r.condition, 'above') AS condition
+      FROM ({SCORED}) s LEFT JOIN ({RULES}) r ON s.username = r.username)"""
+
+BEYOND = "(CASE WHEN condition = 'below' THEN {v} < threshold ELSE {v} > threshold END)"
+
+SQL["run_stats"] = f"""
+SELECT user_id, CAST(count(value) AS BIGINT) AS n, {R('avg(value)')} AS mean,
+       {R('min(value)')} AS min, {R('max(value)')} AS max FROM events GROUP BY user_id"""
+
+SQL["violators"] = f"""
+WITH {WITH_RULE}
+SELECT username, CAST(count(score) AS BIGINT) AS n,
+       CAST(sum(CAST(COALESCE({BEYOND.format(v='score')}, false) AS BIGINT)) AS BIGINT) AS n_violators,
+       {R(f"sum(CAST(COALESCE({BEYOND.format(v='score')}, false) AS BIGINT)) * 100.0 / count(score)")} AS pct_violators
+FROM j GROUP BY username"""
+
+ALERTS = f"""{WITH_RULE},
+a AS (SELECT username, email_enabled, threshold, condition, CAST(count(score) AS BIGINT) AS n,
+             avg(score) AS mean, min(score) AS min, max(score) AS max,
+             CAST(sum(CAST(COALESCE({BEYOND.format(v='score')}, false) AS BIGINT)) AS BIGINT) AS n_violators,
+             max({BASENAME.format(p='model_path')}) AS model
+      FROM j GROUP BY username, email_enabled, threshold, condition),
+b AS (SELECT *, n_violators * 100.0 / n AS pct_violators,
+             email_enabled AND COALESCE({BEYOND.format(v='mean')}, false) AS triggered FROM a)"""
+
+SQL["alert_trigger"] = f"""
+WITH {ALERTS}
+SELECT username, email_enabled, {R('threshold')} AS threshold, condition, n, {R('mean')} AS mean,
+       triggered FROM b"""
+
+SQL["alert_report"] = f"""
+WITH {ALERTS}
+SELECT username, n, n_violators, {R('pct_violators')} AS pct_violators, {R('mean')} AS mean,
+       {R('min')} AS min, {R('max')} AS max, model,
+       'Mean ' || upper(condition) || ' ' || {FMT('threshold', 2)} || ': actual ' || {FMT('mean', 2)}
+       || '; ' || format('{{:,}}', n_violators) || ' of ' || format('{{:,}}', n) || ' rows ('
+       || {FMT('pct_violators', 1)} || '%) beyond; min ' || {FMT('min', 2)} || ', max ' || {FMT('max', 2)}
+       AS message
+FROM b WHERE triggered"""
+
+SQL["attach_scores"] = f"""
+WITH raw AS ({EVN}),
+m AS (SELECT regr_intercept(value, k) AS b, regr_slope(value, k) AS w FROM raw WHERE {COMPLETE})
+SELECT event_id, {RK('CASE WHEN ' + COMPLETE + ' THEN b + w * k END')} AS prediction FROM raw, m"""

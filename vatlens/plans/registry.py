@@ -438,3 +438,190 @@ def q_flagship(spark, d):
     m = linear.fit_ridge_cv(folds, feats, "value", "fold")
     scored = m.transform(x)
     return _rk(summary.regression_metrics(scored, "value", "prediction", group_by=["event_type"]))
+
+
+# ------------------------------------------------------------------ run history
+from vatlens.functions import scalar  # noqa: E402
+from vatlens.operators import alerts, history, keyed  # noqa: E402
+
+HIST_USER = "user_8"
+
+
+def runs(spark, d):
+    """Run log derived from events: one run per event (benchmark when value > 250)."""
+    e = ev(spark, d)
+    bench = F.col("value") > 250
+    silent = (F.col("event_type") == "signup") & (F.col("value") < 20)
+    inputs = F.to_json(F.struct(
+        F.concat(F.lit("batch_"), F.col("event_type"), F.lit(".csv")).alias("file"),
+        F.col("k").cast("int").alias("rows"),
+        F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
+         .when(bench, F.lit("Benchmark")).otherwise(F.lit("Predict")).alias("mode")))
+    results = F.to_json(F.struct(
+        F.when(bench, F.col("value") / 490).alias("R2"),
+        F.when(bench, F.col("value") / 7).alias("MAE"),
+        F.when(bench, F.sqrt("value")).alias("RMSE"),
+        F.when(~bench & ~silent, F.col("value")).alias("mean_pred"),
+        F.when(~bench & ~silent, F.col("k").cast("int")).alias("count")))
+    model = F.concat(F.lit("models\\"), F.col("event_type"), F.lit("/ridge_v"),
+                     (F.col("user_id") % 3).cast("string"), F.lit(".joblib"))
+    return e.select(F.col("event_id").alias("id"),
+                    F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"),
+                    F.col("ts").alias("timestamp"), inputs.alias("inputs"), results.alias("results"),
+                    model.alias("model_name"))
+
+
+@query("history_page")
+def q_history_page(spark, d):
+    p = history.history_page(runs(spark, d), HIST_USER, page=2)
+    return p.select("id", "username", scalar.basename("model_name").alias("model"),
+                    scalar.json_field("inputs", "mode", "N/A").alias("mode"))
+
+
+@query("history_pages_total")
+def q_history_pages_total(spark, d):
+    return history.page_counts(runs(spark, d))
+
+
+@query("history_summary")
+def q_history_summary(spark, d):
+    return history.history_summary(runs(spark, d)).drop("timestamp")
+
+
+@query("history_export")
+def q_history_export(spark, d):
+    x = history.export_history(runs(spark, d), HIST_USER)
+    return x.select("id", "username", scalar.date_part("timestamp").alias("day"))
+
+
+@query("run_profile")
+def q_run_profile(spark, d):
+    p = history.run_profile(runs(spark, d))
+    return p.select("id", F.get_json_object("profile", "$.username").alias("username"),
+                    F.get_json_object("profile", "$.inputs.file").alias("file"),
+                    F.get_json_object("profile", "$.model_name").alias("model_name"))
+
+
+@query("lookup_run")
+def q_lookup_run(spark, d):
+    r = runs(spark, d)
+    first = history.history_page(r, HIST_USER, page=1).select("id").first()
+    rid = first["id"] if first else -1
+    return history.lookup_run(r, rid, HIST_USER).select("id", "username")
+
+
+# ------------------------------------------------------------------ keyed changes
+def _orders_old_new(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+    old = o.filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).drop("o_orderdate")
+    new = (o.filter(F.col("o_orderdate") >= F.lit("1994-01-01").cast("timestamp_ntz"))
+           .select("o_orderkey", (F.col("o_totalprice") + F.lit(1.0)).alias("o_totalprice"),
+                   F.lit("U").alias("o_orderstatus")))
+    return old, new
+
+
+@query("upsert_latest")
+def q_upsert_latest(spark, d):
+    old, new = _orders_old_new(spark, d)
+    return _r6(keyed.upsert(old, new, ["o_orderkey"]))
+
+
+@query("insert_absent")
+def q_insert_absent(spark, d):
+    old, new = _orders_old_new(spark, d)
+    return _r6(keyed.insert_absent(old, new, ["o_orderkey"]))
+
+
+@query("update_by_key")
+def q_update_by_key(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    ch = (table(spark, d, "lineitem").filter(F.col("l_returnflag") == "R")
+          .select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+          .withColumn("o_orderstatus", F.lit("R")))
+    return keyed.update_by_key(o, ch, ["o_orderkey"], ["o_orderstatus"])
+
+
+@query("delete_by_key")
+def q_delete_by_key(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    doomed = (table(spark, d, "customer").filter(F.col("c_mktsegment") == "AUTOMOBILE")
+              .select(F.col("c_custkey").alias("o_custkey")))
+    return keyed.delete_by_key(o, doomed, ["o_custkey"]).select("o_orderkey")
+
+
+@query("cascade_delete")
+def q_cascade_delete(spark, d):
+    c = table(spark, d, "customer")
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem")
+    doomed_c = c.filter(F.col("c_acctbal") < 0).select("c_custkey")
+    doomed_o = o.join(doomed_c, o["o_custkey"] == doomed_c["c_custkey"], "left_semi").select("o_orderkey")
+    nxt = keyed.cascade_delete(doomed_o, "o_orderkey", {"lineitem": (li, "l_orderkey")})
+    nxt.update(keyed.cascade_delete(doomed_c, "c_custkey",
+                                    {"orders": (o, "o_custkey"), "customer": (c, "c_custkey")}))
+    parts = [t.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).withColumn("table_name", F.lit(n))
+             for n, t in nxt.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ------------------------------------------------------------------ alerts
+def rules(spark, d):
+    c = table(spark, d, "customer")
+    return c.filter(F.col("c_nationkey") < 20).select(
+        F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("username"),
+        (F.col("c_mktsegment") != "HOUSEHOLD").alias("email_enabled"),
+        (F.floor(F.abs("c_acctbal")) / F.lit(20.0)).alias("titer_threshold"),
+        F.when(F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), F.lit("below"))
+         .otherwise(F.lit("above")).alias("condition"))
+
+
+def scored_batches(spark, d):
+    e = ev(spark, d)
+    return e.select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("username"),
+                    "user_id", F.col("value").alias("score"),
+                    F.concat(F.lit("runs\\"), F.col("user_id").cast("string"),
+                             F.lit("/model_ridge.joblib")).alias("model_path"))
+
+
+@query("run_stats")
+def q_run_stats(spark, d):
+    return _r6(summary.batch_stats(ev(spark, d), "value", ["user_id"]))
+
+
+@query("violators")
+def q_violators(spark, d):
+    j = alerts.with_rule(scored_batches(spark, d), rules(spark, d))
+    v = summary.violators(j, "score", "threshold", "condition", batch=["username"])
+    return _r6(v)
+
+
+@query("alert_trigger")
+def q_alert_trigger(spark, d):
+    a = alerts.batch_alerts(scored_batches(spark, d), rules(spark, d), "score", ["username"])
+    return _r6(a.select("username", "email_enabled", "threshold", "condition", "n", "mean",
+                        "triggered"))
+
+
+@query("alert_report")
+def q_alert_report(spark, d):
+    a = alerts.batch_alerts(scored_batches(spark, d), rules(spark, d), "score", ["username"],
+                            model="model_path")
+    r = alerts.alert_records(a)
+    return _r6(r.select("username", "n", "n_violators", "pct_violators", "mean", "min", "max",
+                        "model", "message"))
+
+
+@query("attach_scores")
+def q_attach_scores(spark, d):
+    """Score the complete rows, keep every raw row (NULL score where dropped)."""
+    raw = ev_nulls(spark, d)
+    complete = cleaning.drop_incomplete(raw)
+    m = linear.fit_linear(complete, ["k"], "value")
+    ok = F.lit(True)
+    for c in raw.columns:
+        ok = ok & F.col(c).isNotNull()
+    out = raw.select("event_id", F.when(ok, m.prediction()).alias("prediction"))
+    return _rk(out)
