@@ -531,3 +531,13 @@ SQL["attach_scores"] = f"""
 WITH raw AS ({EVN}),
 m AS (SELECT regr_intercept(value, k) AS b, regr_slope(value, k) AS w FROM raw WHERE {COMPLETE})
 SELECT event_id, {RK('CASE WHEN ' + COMPLETE + ' THEN b + w * k END')} AS prediction FROM raw, m"""
+
+SQL["time_split_eval"] = f"""
+WITH c AS (SELECT CAST(trunc(quantile_cont(p_partkey, 0.8)) AS BIGINT) AS cut FROM part),
+tr AS (SELECT * FROM part, c WHERE p_partkey <= cut),
+te AS (SELECT * FROM part, c WHERE NOT (p_partkey <= cut)),
+m AS (SELECT regr_intercept(p_retailprice, p_partkey) AS b, regr_slope(p_retailprice, p_partkey) AS w FROM tr),
+e AS (SELECT p_retailprice AS y, p_retailprice - (b + w * p_partkey) AS e, cut FROM te, m)
+SELECT CAST(count(*) AS BIGINT) AS n,
+       {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
+       {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse, max(cut) AS cutoff FROM e"""

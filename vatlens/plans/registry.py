@@ -625,3 +625,86 @@ def q_attach_scores(spark, d):
         ok = ok & F.col(c).isNotNull()
     out = raw.select("event_id", F.when(ok, m.prediction()).alias("prediction"))
     return _rk(out)
+
+
+# ------------------------------------------------------------------ random / iterative (rows-only)
+from vatlens.operators import bootstrap  # noqa: E402
+from vatlens.plans import models  # noqa: E402
+
+
+@query("bootstrap_ci")
+def q_bootstrap_ci(spark, d):
+    return _r6(bootstrap.bootstrap_mean_ci(ev(spark, d), "value", by=["event_type"],
+                                           key="event_id", replicates=1000))
+
+
+@query("trend_ci")
+def q_trend_ci(spark, d):
+    e = ev(spark, d)
+    out = bootstrap.trend_with_ci(e, F.to_date("ts").cast("string"), "value", key="event_id",
+                                  replicates=200)
+    return _r6(out)
+
+
+def _part_split(spark, d):
+    p = split.hash_split(_part(spark, d), "p_partkey")
+    return p.filter(F.col("split") == "train"), p.filter(F.col("split") == "test")
+
+
+@query("rf_score")
+def q_rf_score(spark, d):
+    tr, te = _part_split(spark, d)
+    m = models.fit_tree(tr, PART_X2, PART_Y, "rf", num_trees=300)
+    return _r6(summary.regression_metrics(m.transform(te), PART_Y, "prediction"))
+
+
+@query("gbt_score")
+def q_gbt_score(spark, d):
+    tr, te = _part_split(spark, d)
+    m = models.fit_tree(tr, PART_X2, PART_Y, "gbt")
+    return _r6(summary.regression_metrics(m.transform(te), PART_Y, "prediction"))
+
+
+@query("rff_score")
+def q_rff_score(spark, d):
+    tr, te = _part_split(spark, d)
+    m = models.fit_rff(tr, PART_X2, PART_Y)
+    return _r6(summary.regression_metrics(m.transform(te), PART_Y, "prediction"))
+
+
+@query("model_leaderboard")
+def q_model_leaderboard(spark, d):
+    tr, te = _part_split(spark, d)
+    return _r6(models.leaderboard(tr, te, PART_X2, PART_Y, "p_partkey", num_trees=50))
+
+
+@query("best_model")
+def q_best_model(spark, d):
+    tr, te = _part_split(spark, d)
+    board = models.leaderboard(tr, te, PART_X2, PART_Y, "p_partkey", cv=False, num_trees=50)
+    return _r6(models.best_model(board))
+
+
+@query("perm_importance")
+def q_perm_importance(spark, d):
+    tr, te = _part_split(spark, d)
+    m = linear.fit_ridge_cv(split.hash_folds(tr, "p_partkey"), PART_X2, PART_Y, "fold")
+    return _r6(models.permutation_importance(m, te, PART_X2, PART_Y, "p_partkey", repeats=10))
+
+
+@query("refit_without_time")
+def q_refit_without_time(spark, d):
+    """Drop the time-like feature (p_partkey here), refit ridge, score the test rows."""
+    tr, te = _part_split(spark, d)
+    m = linear.fit_ridge_cv(split.hash_folds(tr, "p_partkey"), ["p_size"], PART_Y, "fold")
+    return _r6(summary.regression_metrics(m.transform(te), PART_Y, "prediction"))
+
+
+@query("time_split_eval")
+def q_time_split_eval(spark, d):
+    """Train on keys up to the 0.8 quantile, test on the rest (OLS)."""
+    p = _part(spark, d)
+    tr, te, cut = split.time_split(p, "p_partkey", 0.8)
+    m = linear.fit_linear(tr, PART_X1, PART_Y)
+    return _rk(summary.regression_metrics(m.transform(te), PART_Y, "prediction")
+               .withColumn("cutoff", F.lit(cut).cast("long")))
