@@ -156,39 +156,63 @@ def _holdout_r2(hold, w, b, p_feat):
 
 
 # ---------------------------------------------------------------- fitting
-def prep_statistics(df: DataFrame, features: list[str]) -> tuple[list, list, list]:
-    """L1: medians, then mean / population std of the median-imputed features.
-
-    Two small aggregate jobs. An all-null column keeps median None, std 0,
-    so its coefficient is 0 and it is reported (sklearn drops it silently).
+def prep_statistics(df: DataFrame, features: list[str],
+                    target: str | None = None) -> tuple[list, list, list]:
+    """L1: medians and mean / population std of the median-imputed features.
+
+    One aggregate: per feature the exact median, the row count, and count /
+    mean / var_pop of the present values. The imputed column's moments
+    follow exactly (merge with ``n - k`` copies of the median), so no second
+    pass. An all-null column keeps median None and std 0: its coefficient is
+    0 and it is reported (sklearn's imputer drops it silently). With
+    ``target`` only labelled rows count (the rows the model is fitted on).
     """
-    x = {f: to_number(F.col(f), df.schema[f].dataType) for f in features}
-    med_row = df.agg(*[F.median(x[f]).alias(f"q{i}") for i, f in enumerate(features)]).first()
-    medians = [med_row[f"q{i}"] for i in range(len(features))]
-    imp = [F.coalesce(x[f], F.lit(m)) if m is not None else x[f] for f, m in zip(features, medians)]
-    st = df.agg(*[F.avg(e).alias(f"m{i}") for i, e in enumerate(imp)],
-                *[F.stddev_pop(e).alias(f"s{i}") for i, e in enumerate(imp)]).first()
-    means = [st[f"m{i}"] or 0.0 for i in range(len(features))]
-    stds = [st[f"s{i}"] or 0.0 for i in range(len(features))]
+    src = df.filter(to_number(F.col(target), df.schema[target].dataType).isNotNull()) if target else df
+    x = {f: to_number(F.col(f), src.schema[f].dataType) for f in features}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(features):
+        aggs += [F.median(x[f]).alias(f"q{i}"), F.count(x[f]).alias(f"k{i}"),
+                 F.avg(x[f]).alias(f"m{i}"), F.var_pop(x[f]).alias(f"v{i}")]
+    r = src.agg(*aggs).first()
+    n = r["n"]
+    medians, means, stds = [], [], []
+    for i in range(len(features)):
+        med, k, m, v = r[f"q{i}"], r[f"k{i}"], r[f"m{i}"], r[f"v{i}"]
+        medians.append(med)
+        if not k:
+            means.append(0.0)
+            stds.append(0.0)
+            continue
+        mean = (k * m + (n - k) * med) / n
+        m2 = (v or 0.0) * k + k * (m - mean) ** 2 + (n - k) * (med - mean) ** 2
+        means.append(float(mean))
+        stds.append(float(np.sqrt(max(m2, 0.0) / n)))
     return medians, means, stds
 
 
-def _design(df: DataFrame, features, target, medians, means, stds,
-            fold: str | None = None) -> DataFrame:
+def _medians(df: DataFrame, features: list[str], target: str) -> list:
+    y = to_number(F.col(target), df.schema[target].dataType)
+    r = df.filter(y.isNotNull()).agg(
+        *[F.median(to_number(F.col(f), df.schema[f].dataType)).alias(f"q{i}")
+          for i, f in enumerate(features)]).first()
+    return [r[f"q{i}"] for i in range(len(features))]
+
+
+def _raw_design(df: DataFrame, features, target, medians, fold: str | None = None) -> DataFrame:
+    """Median-imputed, unscaled features + target (+ fold) of the labelled rows."""
     cols = []
     for i, f in enumerate(features):
         x = to_number(F.col(f), df.schema[f].dataType)
         if medians[i] is not None:
             x = F.coalesce(x, F.lit(medians[i]))
-        z = (x - F.lit(means[i])) / F.lit(stds[i]) if stds[i] else F.lit(0.0)
-        cols.append(z.alias(f"_z{i}"))
+        cols.append(x.alias(f"_z{i}"))
     y = to_number(F.col(target), df.schema[target].dataType).alias("_y")
     sel = df.select(*([F.col(fold).alias("_fold")] if fold else []), *cols, y)
     return sel.filter(F.col("_y").isNotNull())
 
 
 def fold_moments(design: DataFrame, p: int, by_fold: bool) -> dict:
-    """One aggregate: moments of [z_0..z_{p-1}, y] per fold (or overall under key None)."""
+    """One aggregate: moments of [x_0..x_{p-1}, y] per fold (or overall under key None)."""
     cols = [f"_z{i}" for i in range(p)] + ["_y"]
     aggs = _moment_aggs(cols)
     if by_fold:
@@ -197,30 +221,45 @@ def fold_moments(design: DataFrame, p: int, by_fold: bool) -> dict:
     return {None: _to_moments(design.agg(*aggs).first(), p + 1)}
 
 
-def fit_linear(df: DataFrame, features: list[str], target: str, alpha: float = 0.0,
-               stats: tuple | None = None) -> LinearModel:
-    """L2 (alpha=0) / ridge with a fixed alpha: impute -> scale -> solve."""
-    medians, means, stds = stats or prep_statistics(df, features)
-    d = _design(df, features, target, medians, means, stds)
-    n, mean, M = fold_moments(d, len(features), False)[None]
+def _scale(mom, means, stds):
+    """Moments of z = (x - mean) / std (z = 0 where std is 0); y unchanged."""
+    n, m, M = mom
+    s = np.array([1.0 / sd if sd else 0.0 for sd in stds] + [1.0])
+    mu = np.array(list(means) + [0.0])
+    return n, s * (m - mu), M * np.outer(s, s)
+
+
+def _fit_moments(df: DataFrame, features, target, fold: str | None):
+    """Two passes: medians, then (per-fold) moments; scaling is applied analytically."""
+    medians = _medians(df, features, target)
+    p = len(features)
+    mom = fold_moments(_raw_design(df, features, target, medians, fold), p, fold is not None)
+    total = (0, np.zeros(p + 1), np.zeros((p + 1, p + 1)))
+    for v in mom.values():
+        total = _merge(total, v)
+    n = total[0]
     if n == 0:
         raise ValueError("no labelled rows to fit")
+    means = [float(v) for v in total[1][:p]]
+    stds = [float(np.sqrt(max(total[2][i, i], 0.0) / n)) for i in range(p)]
+    scaled = {k: _scale(v, means, stds) for k, v in mom.items()}
+    return medians, means, stds, scaled, _scale(total, means, stds)
+
+
+def _model(features, target, medians, means, stds, total, alpha, algo=None) -> LinearModel:
+    n, mean, M = total
     w, b = _solve(n, mean, M, len(features), alpha)
     return LinearModel(features, target, medians, means, stds, [float(v) for v in w], float(b),
-                       alpha=alpha, n=n, algo="ols" if alpha == 0 else "ridge")
+                       alpha=alpha, n=n, algo=algo or ("ols" if alpha == 0 else "ridge"))
 
 
-def ridge_path(df: DataFrame, features: list[str], target: str, fold: str,
-               alphas: list[float] = RIDGE_ALPHAS, stats: tuple | None = None) -> list[dict]:
-    """L3: mean holdout R² per alpha over the folds in column ``fold``.
+def fit_linear(df: DataFrame, features: list[str], target: str, alpha: float = 0.0) -> LinearModel:
+    """L2 (alpha=0) / ridge with a fixed alpha: impute -> scale -> solve. Two passes."""
+    medians, means, stds, _, total = _fit_moments(df, features, target, None)
+    return _model(features, target, medians, means, stds, total, alpha)
 
-    Impute/scale statistics are fitted on all rows first (the pipeline order
-    of the reference), then every (alpha, fold) is solved from the k fold
-    moments: no pass over the data per alpha or per fold.
-    """
-    medians, means, stds = stats or prep_statistics(df, features)
-    p = len(features)
-    mom = fold_moments(_design(df, features, target, medians, means, stds, fold), p, True)
+
+def _path(mom: dict, p: int, alphas) -> list[dict]:
     keys = sorted(k for k in mom if k is not None)
     out = []
     for a in alphas:
@@ -242,6 +281,18 @@ def ridge_path(df: DataFrame, features: list[str], target: str, fold: str,
     return out
 
 
+def ridge_path(df: DataFrame, features: list[str], target: str, fold: str,
+               alphas: list[float] = RIDGE_ALPHAS) -> list[dict]:
+    """L3: mean holdout R² per alpha over the folds in column ``fold``.
+
+    Impute/scale statistics are fitted on all rows first (the pipeline order
+    of the reference), then every (alpha, fold) is solved from the k fold
+    moments: no pass over the data per alpha or per fold.
+    """
+    _, _, _, mom, _ = _fit_moments(df, features, target, fold)
+    return _path(mom, len(features), alphas)
+
+
 def best_alpha(path: list[dict]) -> float:
     """Highest mean R²; ties go to the first (smallest) alpha."""
     best, best_s = None, -np.inf
@@ -254,12 +305,12 @@ def best_alpha(path: list[dict]) -> float:
 
 def fit_ridge_cv(df: DataFrame, features: list[str], target: str, fold: str,
                  alphas: list[float] = RIDGE_ALPHAS) -> LinearModel:
-    """L3: choose alpha by fold CV, refit on all rows with it."""
-    stats = prep_statistics(df, features)
-    path = ridge_path(df, features, target, fold, alphas, stats)
+    """L3: choose alpha by fold CV, refit on all rows with it - two passes in total."""
+    medians, means, stds, mom, total = _fit_moments(df, features, target, fold)
+    path = _path(mom, len(features), alphas)
     a = best_alpha(path)
-    m = fit_linear(df, features, target, a, stats)
-    m.algo, m.cv = "ridge_cv", [{k: v for k, v in r.items() if k != "fold_r2"} for r in path]
+    m = _model(features, target, medians, means, stds, total, a, "ridge_cv")
+    m.cv = [{k: v for k, v in r.items() if k != "fold_r2"} for r in path]
     return m
 
 

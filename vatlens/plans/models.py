@@ -83,7 +83,7 @@ def fit_tree(df: DataFrame, features: Sequence[str], target: str, kind: str = "r
              max_bins: int = 128) -> TreeModel:
     """L4 (``kind='rf'``: 300 trees, all features per split) / L5 (``'gbt'``: 100 x 0.1, depth 3)."""
     features = list(features)
-    medians, _, _ = linear.prep_statistics(df, features)
+    medians, _, _ = linear.prep_statistics(df, features, target)
     x = _imputed(df.filter(F.col(target).isNotNull()), features, medians)
     asm = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))],
                           outputCol="_vl_features", handleInvalid="keep")
@@ -91,11 +91,11 @@ def fit_tree(df: DataFrame, features: Sequence[str], target: str, kind: str = "r
         est = RandomForestRegressor(featuresCol="_vl_features", labelCol=target, numTrees=num_trees,
                                     featureSubsetStrategy="all", maxDepth=max_depth or 10,
                                     maxBins=max_bins, seed=seed, bootstrap=True,
-                                    maxMemoryInMB=1024, cacheNodeIds=True)
+                                    maxMemoryInMB=1024)
     elif kind == "gbt":
         est = GBTRegressor(featuresCol="_vl_features", labelCol=target, maxIter=100, stepSize=0.1,
                            maxDepth=max_depth or 3, maxBins=max_bins, seed=seed,
-                           maxMemoryInMB=1024, cacheNodeIds=True)
+                           maxMemoryInMB=1024)
     else:
         raise ValueError(kind)
     model = Pipeline(stages=[asm, est]).fit(x)
@@ -139,7 +139,7 @@ def fit_rff(df: DataFrame, features: Sequence[str], target: str, components: int
             gamma: float | None = None, alpha: float = 1.0, seed: int = 42) -> RffModel:
     """RBF kernel regression by random Fourier features + ridge."""
     features = list(features)
-    medians, means, stds = linear.prep_statistics(df, features)
+    medians, means, stds = linear.prep_statistics(df, features, target)
     prep = linear.LinearModel(features, target, medians, means, stds, [0.0] * len(features), 0.0)
     d = len(features)
     g = gamma if gamma is not None else 1.0 / max(d, 1)   # 'scale' on standardised data

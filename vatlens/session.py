@@ -71,3 +71,13 @@ def shuffle_width(spark: SparkSession) -> int:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover - conf always present
         return 200
+
+
+def materialize(df):
+    """Cut a long lineage: a reliable checkpoint in the shared checkpoint folder.
+
+    Used before a table is read by several passes (model fits). Unlike
+    ``localCheckpoint`` it survives the loss of the executors that wrote it.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
