@@ -56,7 +56,7 @@ def test_auto_bins_matches_numpy(spark):
     vals = [float(x) for x in np.random.default_rng(1).gamma(2.0, 3.0, 1000)]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     assert distribution.auto_bins(df, "v") == len(np.histogram_bin_edges(vals, bins="auto")) - 1
-    ties = spark.createDataFrame([(float(i % 3),) for i in range(1000)], "v double")
+    ties = spark.createDataFrame([(i % 3,) for i in range(1000)], "v long")
     assert distribution.auto_bins(ties, "v") == len(np.histogram_bin_edges([i % 3 for i in range(1000)], bins="auto")) - 1
 
 

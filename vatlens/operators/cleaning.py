@@ -169,13 +169,16 @@ def pending(df: DataFrame, flag_col: str = "approved") -> DataFrame:
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace NULL with the column's exact median (linear interpolation).
 
-    One aggregate job computes every median; the values enter the plan as
-    literals. (``ml.Imputer`` takes a lower median, not the interpolated one.)
+    The medians come from the distributed exact quantile (``quantiles``) and
+    enter the plan as literals. (``ml.Imputer`` takes a lower median, not the
+    interpolated one.)
     """
     cols = _names(cols)
     if not cols:
         return df
-    row = df.agg(*[F.median(F.col(c)).alias(c) for c in cols]).first()
+    from vatlens.operators.quantiles import quantile_row
+    q = quantile_row(df, cols, [0.5])
+    row = {c: q.get((c, 0.5)) for c in cols}
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c]).cast(df.schema[c].dataType))
                            if row[c] is not None else F.col(c) for c in cols})
 

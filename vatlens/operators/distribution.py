@@ -18,6 +18,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _names(x) -> list[str]:
@@ -106,18 +107,21 @@ def auto_bins(df: DataFrame, col: str) -> int:
     width = min(max(Freedman-Diaconis, sqrt-rule / 2), Sturges); the sqrt
     term caps the count when the IQR is 0. One aggregate job.
     """
+    from vatlens.operators.quantiles import quantile_row
     x = F.col(col).cast("double")
-    row = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-                 F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).first()
+    row = df.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     n, lo, hi = row["n"], row["lo"], row["hi"]
     if not n or hi is None or hi == lo:
         return 1
     ptp = hi - lo
-    iqr = row["q"][1] - row["q"][0]
+    q = quantile_row(df, [col], [0.25, 0.75])
+    iqr = q[(col, 0.75)] - q[(col, 0.25)]
     fd = 2.0 * iqr * n ** (-1.0 / 3.0)
     sturges = ptp / (math.log2(n) + 1.0)
     sqrt_bw = ptp / math.sqrt(n)
     width = min(max(fd, sqrt_bw / 2.0), sturges)
+    if isinstance(df.schema[col].dataType, T.IntegralType):
+        width = max(width, 1.0)     # integer data: bins at least one unit wide
     return max(1, int(math.ceil(ptp / width))) if width > 0 else 1
 
 
@@ -128,7 +132,7 @@ def histogram_auto(df: DataFrame, col: str, by: Sequence[str] | None = None) ->
 
 # ---------------------------------------------------------------- A15, A17
 def kde(df: DataFrame, col: str, by: Sequence[str] | None = None, grid: int = 200,
-        binned: bool = False, bins: int = 4096) -> DataFrame:
+        binned: bool | None = None, bins: int = 4096, exact_rows: int = 5_000_000) -> DataFrame:
     """Gaussian KDE on ``grid`` points over the data range, Scott bandwidth.
 
     bandwidth = sample std * n^(-1/5); output ``(*by, point, x, density, n)``;
@@ -142,6 +146,11 @@ def kde(df: DataFrame, col: str, by: Sequence[str] | None = None, grid: int = 20
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    if binned is None:
+        # exact up to ``exact_rows`` values per group, binned beyond: the
+        # grid x rows cost would otherwise grow with the table
+        biggest = stats.agg(F.max("_n")).first()[0] or 0
+        binned = biggest > exact_rows
     if binned:
         # reduce rows to (bin centre, count) first; bounded by bins per group
         w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
@@ -172,16 +181,23 @@ def kde(df: DataFrame, col: str, by: Sequence[str] | None = None, grid: int = 20
 
 
 # ---------------------------------------------------------------- A16
+def _quartiles(base: DataFrame, col: str, keys: list[str], probs: list[float],
+               names: list[str]) -> DataFrame:
+    """Exact per-group quantiles (distributed, see ``quantiles``), one column per prob."""
+    from vatlens.operators.quantiles import exact_quantiles
+    q = exact_quantiles(base, [col], probs, by=keys)
+    aggs = [F.max(F.when(F.col("prob") == F.lit(p), F.col("value"))).alias(n)
+            for p, n in zip(probs, names)]
+    return q.groupBy(*keys).agg(*aggs) if keys else q.agg(*aggs)
+
+
 def box_summary(df: DataFrame, col: str, by: Sequence[str] | None = None,
                 whis: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at the furthest datum inside 1.5 IQR, outlier count."""
     keys = _names(by)
     x = F.col(col).cast("double")
     base = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull())
-    q = base.groupBy(*keys).agg(
-        F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
+    q = _quartiles(base, "_v", keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("fence_lo", F.col("q1") - F.lit(whis) * F.col("iqr")) \
          .withColumn("fence_hi", F.col("q3") + F.lit(whis) * F.col("iqr"))
@@ -201,10 +217,9 @@ def box_outliers(df: DataFrame, col: str, by: Sequence[str] | None = None,
     keys = _names(by)
     x = F.col(col).cast("double")
     base = df.select(*keys, *_names(keep), x.alias(col)).filter(F.col(col).isNotNull())
-    q = base.groupBy(*keys).agg(
-        F.percentile(col, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-    q = q.select(*keys, (F.col("_q")[0] - F.lit(whis) * (F.col("_q")[1] - F.col("_q")[0])).alias("_lo"),
-                 (F.col("_q")[1] + F.lit(whis) * (F.col("_q")[1] - F.col("_q")[0])).alias("_hi"))
+    q = _quartiles(base, col, keys, [0.25, 0.75], ["_q1", "_q3"])
+    q = q.select(*keys, (F.col("_q1") - F.lit(whis) * (F.col("_q3") - F.col("_q1"))).alias("_lo"),
+                 (F.col("_q3") + F.lit(whis) * (F.col("_q3") - F.col("_q1"))).alias("_hi"))
     j = attach(base, q, keys)
     j = j.filter((F.col(col) < F.col("_lo")) | (F.col(col) > F.col("_hi")))
     return j.withColumn("side", F.when(F.col(col) < F.col("_lo"), F.lit("low")).otherwise(F.lit("high"))) \

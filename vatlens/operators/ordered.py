@@ -85,16 +85,44 @@ def _bucket_expr(pos: Column, cuts: list[float]) -> Column:
 
 
 def with_order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | None = None,
-                      name: str = _SUB) -> DataFrame:
-    """Add an equal-frequency bucket of the leading order key (see module doc)."""
+                      name: str = _SUB, per_group: Sequence[str] | None = None) -> DataFrame:
+    """Add an equal-frequency bucket of the leading order key (see module doc).
+
+    ``per_group``: cut points per group (one ``percentile_approx`` per group,
+    attached by a join on the group key) for groups on unrelated scales, e.g.
+    the values of different columns.
+    """
     order_by = _names(order_by)
     n = buckets or max(2, 2 * shuffle_width(df.sparkSession))
     # Cap the CASE tree so the generated method stays small; more rows per
     # bucket only lengthens a task, the tree depth stays ~log2(n).
     n = min(n, 4096)
     pos = order_position(df, order_by[0])
+    groups = _names(per_group)
+    if groups:
+        probs = [i / n for i in range(1, n)]
+        cuts = df.groupBy(*groups).agg(F.percentile_approx(pos, probs, 10000).alias("_vl_cuts"))
+        cuts = cuts.select(*[F.col(g).alias("_vr_" + g) for g in groups], "_vl_cuts")
+        cond = None
+        for g in groups:
+            t = df[g].eqNullSafe(cuts["_vr_" + g])
+            cond = t if cond is None else cond & t
+        j = df.join(cuts, cond, "left")
+        b = F.when(pos.isNull(), F.lit(-1)).otherwise(
+            F.coalesce(F.size(F.filter(F.col("_vl_cuts"), lambda c: c <= pos)), F.lit(0)))
+        return j.withColumn(name, b.cast("int")).drop("_vl_cuts", *["_vr_" + g for g in groups])
     cuts = _cut_points(df, pos, n)
-    return df.withColumn(name, _bucket_expr(pos, cuts))
+    if len(cuts) <= 256:
+        return df.withColumn(name, _bucket_expr(pos, cuts))
+    # long cut lists: MLlib's Bucketizer (a JVM binary search) instead of a
+    # CASE tree that would outgrow the generated-method size limit
+    from pyspark.ml.feature import Bucketizer
+    tmp = df.withColumn("_vl_pos", pos)
+    bz = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_vl_pos",
+                    outputCol="_vl_bkt", handleInvalid="keep")
+    out = bz.transform(tmp)
+    b = F.when(F.col("_vl_pos").isNull(), F.lit(-1)).otherwise(F.col("_vl_bkt").cast("int"))
+    return out.withColumn(name, b).drop("_vl_pos", "_vl_bkt")
 
 
 def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -157,22 +185,32 @@ def diff(df: DataFrame, cols: Sequence[str] | dict, order_by: Sequence[str],
 def with_row_index(df: DataFrame, order_by: Sequence[str],
                    partition_by: Sequence[str] | None = None, name: str = "row_index",
                    size_name: str | None = None, split: bool = True,
-                   buckets: int | None = None) -> DataFrame:
+                   buckets: int | None = None, weight: str | None = None,
+                   per_group_cuts: bool = False) -> DataFrame:
     """0-based position of each row in ``order_by`` order within its run.
 
-    ``size_name`` additionally adds the run's row count.
+    ``size_name`` additionally adds the run's row count. With ``weight`` the
+    position is the sum of the weights of the preceding rows (a running
+    count over rows that stand for ``weight`` copies).
     """
     order_by, part = _names(order_by), _names(partition_by)
+    wcol = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     if not split:
         w = Window.partitionBy(*part).orderBy(*order_by)
-        out = df.withColumn(name, F.row_number().over(w) - 1)
+        out = df.withColumn(name, F.coalesce(
+            F.sum(wcol).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
         if size_name:
-            out = out.withColumn(size_name, F.count(F.lit(1)).over(Window.partitionBy(*part)))
+            out = out.withColumn(size_name, F.sum(wcol).over(Window.partitionBy(*part)).cast("long"))
         return out
-    b = with_order_bucket(df, order_by, buckets)
+    b = with_order_bucket(df, order_by, buckets, per_group=part if per_group_cuts else None)
     keys = [*part, _SUB]
-    inner = b.withColumn("_vl_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)) - 1)
-    cnt = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_vl_n"))
+    wi = Window.partitionBy(*keys).orderBy(*order_by)
+    if weight:
+        rn = F.coalesce(F.sum(wcol).over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        rn = F.row_number().over(wi) - 1
+    inner = b.withColumn("_vl_rn", rn)
+    cnt = b.groupBy(*keys).agg(F.sum(wcol).alias("_vl_n"))
     wp = Window.partitionBy(*part).orderBy(_SUB)
     off = cnt.select(
         *[F.col(k).alias("_vr_" + k) for k in keys],

@@ -53,37 +53,37 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
     """A2: pandas ``describe()`` in long form, one row per column.
 
     ``count, mean, std`` (sample), ``min, p25, p50, p75, max``; quartiles use
-    linear interpolation (exact ``percentile``). ``approx=True`` swaps in
-    ``percentile_approx`` for very high-cardinality columns at scale: exact
-    percentiles keep a value->count map per column in the final merge.
+    linear interpolation, computed exactly by the distributed quantile
+    operator (``quantiles``: no task holds a whole column). ``approx=True``
+    swaps in one-pass ``percentile_approx`` sketches.
     """
     from vatlens.operators.cleaning import numeric_columns
 
     cols = _names(cols) or numeric_columns(df)
     probs = [0.25, 0.5, 0.75]
 
-    def q(c):
-        x = F.col(c).cast("double")
-        return (F.percentile_approx(x, probs, accuracy).cast("array<double>") if approx
-                else F.percentile(x, F.array(*[F.lit(p) for p in probs])))
-
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
-        parts.append(F.struct(
-            F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-            q(c).alias("_q"), F.max(x).alias("max"),
-        ).alias(c))
+        fields = [F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
+                  F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+        if approx:
+            fields.append(F.percentile_approx(x, probs, accuracy).cast("array<double>").alias("_q"))
+        parts.append(F.struct(*fields).alias(c))
     wide = df.agg(*parts)
     long = wide.unpivot([], cols, "column_name", "s")
-    return long.select(
+    out = long.select(
         "column_name",
         F.col("s.count").cast("long").alias("count"), F.col("s.mean").alias("mean"),
-        F.col("s.std").alias("std"), F.col("s.min").alias("min"),
-        F.col("s._q")[0].alias("p25"), F.col("s._q")[1].alias("p50"),
-        F.col("s._q")[2].alias("p75"), F.col("s.max").alias("max"),
-    )
+        F.col("s.std").alias("std"), F.col("s.min").alias("min"), F.col("s.max").alias("max"),
+        *([F.col("s._q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])] if approx else []))
+    if not approx:
+        from vatlens.operators.quantiles import exact_quantiles
+        q = exact_quantiles(df, cols, probs).groupBy("column_name").agg(
+            *[F.max(F.when(F.col("prob") == F.lit(p), F.col("value"))).alias(n)
+              for p, n in zip(probs, ["p25", "p50", "p75"])])
+        out = out.join(q, "column_name", "left")   # both sides: one row per column
+    return out.select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 # ---------------------------------------------------------------- A5, A6, A7
@@ -120,8 +120,9 @@ def violators(df: DataFrame, value: str, threshold, condition="above",
 
 def quantile_cutoff(df: DataFrame, col: str, q: float = 0.8, truncate: bool = True) -> DataFrame:
     """Exact linear quantile; ``truncate`` casts toward zero like ``int()``."""
-    v = F.percentile(F.col(col).cast("double"), F.lit(q))
-    return df.agg((v.cast("long") if truncate else v).alias("cutoff"))
+    from vatlens.operators.quantiles import exact_quantiles
+    v = F.col("value")
+    return exact_quantiles(df, [col], [q]).select((v.cast("long") if truncate else v).alias("cutoff"))
 
 
 # ---------------------------------------------------------------- A8
@@ -198,13 +199,16 @@ def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, floa
 
     Returns a small dict (bounded by the number of columns) used as literals.
     """
+    from vatlens.operators.quantiles import quantile_row
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.median(x).alias(f"{c}|median"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_pop(x).alias(f"{c}|std"), F.count(x).alias(f"{c}|n")]
+        aggs += [F.avg(x).alias(f"{c}|mean"), F.stddev_pop(x).alias(f"{c}|std"),
+                 F.count(x).alias(f"{c}|n")]
     row = df.agg(*aggs).first().asDict()
-    return {c: {k: row[f"{c}|{k}"] for k in ("median", "mean", "std", "n")} for c in cols}
+    med = quantile_row(df, cols, [0.5])
+    return {c: {"median": med.get((c, 0.5)), **{k: row[f"{c}|{k}"] for k in ("mean", "std", "n")}}
+            for c in cols}
 
 
 # ---------------------------------------------------------------- A10, A11

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vatlens.operators.cleaning import to_number
+from vatlens.operators.quantiles import exact_quantiles, quantile_row
 
 # RidgeCV's alpha grid in the reference: 13 values, logspace(-3, 3).
 RIDGE_ALPHAS = [float(a) for a in np.logspace(-3, 3, 13)]
@@ -160,10 +161,10 @@ def prep_statistics(df: DataFrame, features: list[str],
                     target: str | None = None) -> tuple[list, list, list]:
     """L1: medians and mean / population std of the median-imputed features.
 
-    One aggregate: per feature the exact median, the row count, and count /
-    mean / var_pop of the present values. The imputed column's moments
-    follow exactly (merge with ``n - k`` copies of the median), so no second
-    pass. An all-null column keeps median None and std 0: its coefficient is
+    Per feature the exact median (distributed quantile) and one aggregate of
+    the row count and count / mean / var_pop of the present values. The
+    imputed column's moments follow exactly (merge with ``n - k`` copies of
+    the median), so there is no pass over the imputed values. An all-null column keeps median None and std 0: its coefficient is
     0 and it is reported (sklearn's imputer drops it silently). With
     ``target`` only labelled rows count (the rows the model is fitted on).
     """
@@ -171,13 +172,15 @@ def prep_statistics(df: DataFrame, features: list[str],
     x = {f: to_number(F.col(f), src.schema[f].dataType) for f in features}
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(features):
-        aggs += [F.median(x[f]).alias(f"q{i}"), F.count(x[f]).alias(f"k{i}"),
-                 F.avg(x[f]).alias(f"m{i}"), F.var_pop(x[f]).alias(f"v{i}")]
+        aggs += [F.count(x[f]).alias(f"k{i}"), F.avg(x[f]).alias(f"m{i}"),
+                 F.var_pop(x[f]).alias(f"v{i}")]
     r = src.agg(*aggs).first()
+    q = quantile_row(src.select(*[x[f].alias(f"_x{i}") for i, f in enumerate(features)]),
+                     [f"_x{i}" for i in range(len(features))], [0.5])
     n = r["n"]
     medians, means, stds = [], [], []
     for i in range(len(features)):
-        med, k, m, v = r[f"q{i}"], r[f"k{i}"], r[f"m{i}"], r[f"v{i}"]
+        med, k, m, v = q.get((f"_x{i}", 0.5)), r[f"k{i}"], r[f"m{i}"], r[f"v{i}"]
         medians.append(med)
         if not k:
             means.append(0.0)
@@ -192,10 +195,10 @@ def prep_statistics(df: DataFrame, features: list[str],
 
 def _medians(df: DataFrame, features: list[str], target: str) -> list:
     y = to_number(F.col(target), df.schema[target].dataType)
-    r = df.filter(y.isNotNull()).agg(
-        *[F.median(to_number(F.col(f), df.schema[f].dataType)).alias(f"q{i}")
-          for i, f in enumerate(features)]).first()
-    return [r[f"q{i}"] for i in range(len(features))]
+    x = df.filter(y.isNotNull()).select(
+        *[to_number(F.col(f), df.schema[f].dataType).alias(f"_x{i}") for i, f in enumerate(features)])
+    q = quantile_row(x, [f"_x{i}" for i in range(len(features))], [0.5])
+    return [q.get((f"_x{i}", 0.5)) for i in range(len(features))]
 
 
 def _raw_design(df: DataFrame, features, target, medians, fold: str | None = None) -> DataFrame:
@@ -338,8 +341,10 @@ def cross_validate(df: DataFrame, features: list[str], target: str, fold: str,
     ex = base.withColumn("_train_of", F.explode(
         F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k != F.col("_fold"))))
     p = len(features)
-    med = {r["_train_of"]: r for r in ex.groupBy("_train_of").agg(
-        *[F.median(f"_x{i}").alias(f"q{i}") for i in range(p)]).collect()}
+    med = {k: {} for k in ks}
+    for r in exact_quantiles(ex, [f"_x{i}" for i in range(p)], [0.5], by=["_train_of"]).collect():
+        med[r["_train_of"]]["q" + r["column_name"][2:]] = r["value"]
+    med = {k: {f"q{i}": v.get(f"q{i}") for i in range(p)} for k, v in med.items()}
     # per-fold imputation inside the same expanded frame
     def imp(i):
         e = None

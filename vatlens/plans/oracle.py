@@ -541,3 +541,63 @@ e AS (SELECT p_retailprice AS y, p_retailprice - (b + w * p_partkey) AS e, cut F
 SELECT CAST(count(*) AS BIGINT) AS n,
        {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
        {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse, max(cut) AS cutoff FROM e"""
+
+SQL["cv_summary"] = SQL["cv_scores"].replace(
+    "SELECT fold, CAST(count(*) AS BIGINT) AS n,", "SELECT fold, CAST(count(*) AS BIGINT) AS n_rows,"
+).replace("FROM e GROUP BY fold", "FROM e GROUP BY fold")
+SQL["cv_summary"] = f"""
+WITH cv AS ({SQL['cv_scores']})
+SELECT {RK('avg(r2)')} AS mean_score, {RK('stddev_pop(r2)')} AS std_score,
+       CAST(count(r2) AS BIGINT) AS n_scores FROM cv"""
+
+SQL["history_table"] = f"""
+SELECT id AS "ID", model AS "Model", summary AS "Summary", mode AS "Mode"
+FROM ({SQL['history_summary']}) h"""
+
+SQL["trend_buckets"] = f"""
+WITH e AS ({EV}),
+l AS (SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS t, 'value' AS metric, value AS v FROM e
+      UNION ALL
+      SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M'), 'k', k FROM e)
+SELECT t, metric, {R('avg(v)')} AS mean, CAST(count(v) AS BIGINT) AS n FROM l GROUP BY t, metric"""
+
+SQL["batch_union"] = "\nUNION ALL ".join(f"""
+SELECT CAST(count(value) AS BIGINT) AS n, {R('avg(value)')} AS mean, {R('min(value)')} AS min,
+       {R('max(value)')} AS max, '{b}' AS batch FROM events WHERE event_type = '{b}'""" for b in ["click", "view"])
+
+SQL["python_model_score"] = f"""
+SELECT event_id, {RK('2.0 * value + ln(1 + k)')} AS prediction FROM ({EV}) e"""
+
+_SPLIT = f"""
+p AS (SELECT *, {HASH5.format(k='p_partkey')} AS b FROM part),
+tr AS (SELECT * FROM p WHERE b < 4), te AS (SELECT * FROM p WHERE b >= 4),
+m AS (SELECT regr_intercept(p_retailprice, p_partkey) AS b0, regr_slope(p_retailprice, p_partkey) AS w FROM tr)"""
+
+_METRICS = f"""
+SELECT CAST(count(*) AS BIGINT) AS n,
+       {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
+       {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse FROM e"""
+
+SQL["benchmark_metrics"] = f"""
+WITH {_SPLIT},
+e AS (SELECT p_retailprice AS y, p_retailprice - (b0 + w * p_partkey) AS e FROM te, m WHERE p_size <> 1)
+{_METRICS}"""
+
+SQL["train_metrics"] = f"""
+WITH {_SPLIT},
+e AS (SELECT p_retailprice AS y, p_retailprice - (b0 + w * p_partkey) AS e FROM tr, m)
+{_METRICS}"""
+
+SQL["shape_dtypes"] = """
+SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name,
+       CASE lower(data_type) WHEN 'varchar' THEN 'string' WHEN 'timestamp' THEN 'timestamp_ntz'
+            ELSE lower(data_type) END AS data_type,
+       (SELECT CAST(count(*) AS BIGINT) FROM events) AS n_rows
+FROM information_schema.columns WHERE table_name = 'events'"""
+
+SQL["feature_schema_rows"] = """
+SELECT 'value' AS target, CAST(position AS INTEGER) AS position, feature, dtype,
+       (SELECT CAST(count(*) AS BIGINT) FROM events) AS trained_rows, 12 AS trained_cols
+FROM (VALUES (0, 'k', 'double'), (1, 'value_diff', 'double'), (2, 'k_diff', 'double'),
+             (3, 'ratio', 'double'), (4, 'value_z', 'double'), (5, 'high_flag', 'int'),
+             (6, 'low_flag', 'int')) t(position, feature, dtype)"""

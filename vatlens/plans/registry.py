@@ -709,3 +709,92 @@ def q_time_split_eval(spark, d):
     m = linear.fit_linear(tr, PART_X1, PART_Y)
     return _rk(summary.regression_metrics(m.transform(te), PART_Y, "prediction")
                .withColumn("cutoff", F.lit(cut).cast("long")))
+
+
+# ------------------------------------------------------------------ more inventory rows
+@query("cv_summary")
+def q_cv_summary(spark, d):
+    """Mean and population std of the fold R² of ``cv_scores``."""
+    p = split.hash_folds(_part(spark, d), "p_partkey", 5)
+    cv = linear.cross_validate(p, PART_X1, PART_Y, "fold")
+    return _rk(summary.score_summary(cv, "r2"))
+
+
+@query("history_table")
+def q_history_table(spark, d):
+    """P22 + E3: the history table with display labels."""
+    h = history.history_summary(runs(spark, d))
+    return cleaning.relabel(h, {"id": "ID", "model": "Model", "summary": "Summary", "mode": "Mode"})
+
+
+@query("trend_buckets")
+def q_trend_buckets(spark, d):
+    """A21 at scale: mean per (hour, metric) instead of every point."""
+    e = ev(spark, d)
+    t = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm")
+    return _r6(distribution.bucket_trend(e, t, ["value", "k"]))
+
+
+@query("batch_union")
+def q_batch_union(spark, d):
+    """Per-batch results concatenated (two batches scored separately)."""
+    e = ev(spark, d)
+    parts = []
+    for b in ["click", "view"]:
+        s = summary.batch_stats(e.filter(F.col("event_type") == b), "value").withColumn("batch", F.lit(b))
+        parts.append(s)
+    return _r6(parts[0].unionByName(parts[1]))
+
+
+def _np_model(pdf):
+    import numpy as np
+    return 2.0 * pdf["value"].to_numpy() + np.log1p(pdf["k"].to_numpy())
+
+
+@query("python_model_score")
+def q_python_model_score(spark, d):
+    """A Python model scored in Arrow batches (mapInPandas)."""
+    from vatlens.plans import commands
+    e = ev(spark, d).select("event_id", "value", "k")
+    out = commands.score_with_python_model(e, ["value", "k"], _np_model, batch_size=5000)
+    return _rk(out.select("event_id", "prediction"))
+
+
+@query("benchmark_metrics")
+def q_benchmark_metrics(spark, d):
+    """Fit on the training split, benchmark on labelled test rows (non-numeric target dropped)."""
+    tr, te = _part_split(spark, d)
+    m = linear.fit_linear(tr, PART_X1, PART_Y)
+    te = te.withColumn(PART_Y, F.when(F.col("p_size") == 1, F.lit("n/a"))
+                       .otherwise(F.col(PART_Y).cast("string")))
+    te = cleaning.valid_target(te, PART_Y)
+    return _rk(summary.regression_metrics(m.transform(te), PART_Y, "prediction"))
+
+
+@query("train_metrics")
+def q_train_metrics(spark, d):
+    """R² / MAE / RMSE on the training rows."""
+    tr, _ = _part_split(spark, d)
+    m = linear.fit_linear(tr, PART_X1, PART_Y)
+    return _rk(summary.regression_metrics(m.transform(tr), PART_Y, "prediction"))
+
+
+@query("shape_dtypes")
+def q_shape_dtypes(spark, d):
+    """Column names and types with the table's row count."""
+    e = table(spark, d, "events")
+    n = e.count()
+    return cleaning.dtypes_frame(spark, e).withColumn("n_rows", F.lit(n).cast("long"))
+
+
+@query("feature_schema_rows")
+def q_feature_schema_rows(spark, d):
+    """The feature schema of the preprocessed events, one row per feature."""
+    from vatlens.sources import feature_schema
+    x = preprocess(ev(spark, d), ev_spec(), strict=True)
+    feats = ["k", "value_diff", "k_diff", "ratio", "value_z", "high_flag", "low_flag"]
+    rec = feature_schema.feature_schema_record(spark, x, "value", feats)
+    return rec.select("target", F.posexplode("features").alias("position", "feature"),
+                      "dtypes", "trained_rows", "trained_cols") \
+              .select("target", "position", "feature", F.col("dtypes")[F.col("feature")].alias("dtype"),
+                      "trained_rows", "trained_cols")
