@@ -601,3 +601,13 @@ SELECT 'value' AS target, CAST(position AS INTEGER) AS position, feature, dtype,
 FROM (VALUES (0, 'k', 'double'), (1, 'value_diff', 'double'), (2, 'k_diff', 'double'),
              (3, 'ratio', 'double'), (4, 'value_z', 'double'), (5, 'high_flag', 'int'),
              (6, 'low_flag', 'int')) t(position, feature, dtype)"""
+
+SQL["violin_quartiles"] = SQL["box_summary"].replace("l_returnflag", "l_returnflag, l_linestatus") \
+    .replace("USING (l_returnflag, l_linestatus)", "USING (l_returnflag, l_linestatus)")
+
+SQL["missing_profile"] = f"""
+WITH e AS (SELECT value, k, row_number() OVER (ORDER BY ts, event_id) - 1 AS i,
+                  count(*) OVER () AS n FROM ({EVN}) q)
+SELECT CAST(i * 10 // n AS BIGINT) AS row_bucket, CAST(count(*) AS BIGINT) AS n,
+       {R('avg(CAST(value IS NULL AS DOUBLE))')} AS value, {R('avg(CAST(k IS NULL AS DOUBLE))')} AS k
+FROM e GROUP BY 1"""

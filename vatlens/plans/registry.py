@@ -798,3 +798,17 @@ def q_feature_schema_rows(spark, d):
                       "dtypes", "trained_rows", "trained_cols") \
               .select("target", "position", "feature", F.col("dtypes")[F.col("feature")].alias("dtype"),
                       "trained_rows", "trained_cols")
+
+
+@query("violin_quartiles")
+def q_violin_quartiles(spark, d):
+    """Quartiles and whiskers per (category x hue) - the box inside each violin."""
+    li = table(spark, d, "lineitem")
+    return _r6(distribution.box_summary(li, "l_extendedprice", by=["l_returnflag", "l_linestatus"]))
+
+
+@query("missing_profile")
+def q_missing_profile(spark, d):
+    """P17 at scale: NULL fraction per column in 10 equal slices of the row order."""
+    from vatlens.plans.eda import missing_by_bucket
+    return _r6(missing_by_bucket(ev_nulls(spark, d), ["value", "k"], ORDER, buckets=10))
