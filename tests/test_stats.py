@@ -104,3 +104,26 @@ def test_pair_points_and_long_series(spark):
     assert distribution.pair_points(df, ["a", "b", "c"]).count() == 6
     assert distribution.long_series(df, "t", ["a", "b"]).count() == 2
     assert F is not None
+
+
+def test_histogram_matches_numpy_on_edges(spark):
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(3)
+    vals = list(np.round(rng.normal(10, 3, 3000), 2)) + [float(x) for x in np.linspace(0.1, 19.7, 31)]
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    for bins in (7, 30, 31):
+        h = distribution.histogram(df, "v", bins=bins).orderBy("bin").collect()
+        counts, edges = np.histogram(vals, bins=bins)
+        assert [r["n"] for r in h] == list(counts)
+        assert [r["bin_lo"] for r in h] == list(edges[:-1]) and h[-1]["bin_hi"] == edges[-1]
+
+
+def test_kde_matches_direct_sum(spark):
+    np = pytest.importorskip("numpy")
+    vals = np.random.default_rng(5).gamma(3.0, 2.0, 500)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    k = distribution.kde(df, "v", grid=50).orderBy("point").collect()
+    bw = vals.std(ddof=1) * len(vals) ** (-0.2)
+    xs = np.linspace(vals.min(), vals.max(), 50)
+    ref = np.exp(-0.5 * ((xs[:, None] - vals[None, :]) / bw) ** 2).sum(1) / (len(vals) * bw * np.sqrt(2 * np.pi))
+    assert [r["density"] for r in k] == pytest.approx(list(ref), rel=1e-9)

@@ -56,14 +56,27 @@ def value_range(df: DataFrame, col: str) -> tuple[float | None, float | None]:
     return row["lo"], row["hi"]
 
 
+def bin_edge(i: Column, lo: float, hi: float, bins: int) -> Column:
+    """Edge ``i`` of ``linspace(lo, hi, bins + 1)``: ``i * step + lo``, the last one ``hi``."""
+    step = (hi - lo) / bins
+    return F.when(i >= F.lit(bins), F.lit(hi)).otherwise(i * F.lit(step) + F.lit(lo))
+
+
 def bin_index(value: Column, lo: float, hi: float, bins: int) -> Column:
-    """Equal-width bin in ``[lo, hi]``, last bin closed (numpy ``histogram``)."""
+    """Equal-width bin in ``[lo, hi]``, last bin closed - numpy ``histogram``'s steps.
+
+    ``((v - lo) / (hi - lo)) * bins`` truncated, the top edge folded into the
+    last bin, then the one-ulp corrections against the linspace edges.
+    """
     if hi == lo:
         lo, hi = lo - 0.5, hi + 0.5
-    norm = bins / (hi - lo)
-    b = F.floor((value - F.lit(lo)) * F.lit(norm)).cast("int")
+    f = ((value - F.lit(lo)) / F.lit(hi - lo)) * F.lit(float(bins))
+    b0 = F.floor(f).cast("int")
+    b1 = F.when(b0 == F.lit(bins), F.lit(bins - 1)).otherwise(b0)
+    b2 = F.when(value < bin_edge(b1, lo, hi, bins), b1 - 1).otherwise(b1)
+    b3 = F.when((value >= bin_edge(b2 + 1, lo, hi, bins)) & (b2 != F.lit(bins - 1)), b2 + 1).otherwise(b2)
     inside = (value >= F.lit(lo)) & (value <= F.lit(hi))
-    return F.when(inside, F.least(b, F.lit(bins - 1)))
+    return F.when(inside, b3)
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, lo: float | None = None,
@@ -95,9 +108,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20, lo: float | None = None,
     on = ["bin", *keys]
     out = grid.join(counts, on=on, how="left")
     return out.select(*keys, "bin",
-                      (F.lit(elo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
-                      F.when(F.col("bin") == bins - 1, F.lit(ehi))
-                      .otherwise(F.lit(elo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
+                      bin_edge(F.col("bin"), elo, ehi, bins).alias("bin_lo"),
+                      bin_edge(F.col("bin") + 1, elo, ehi, bins).alias("bin_hi"),
                       F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"))
 
 

@@ -181,6 +181,11 @@ def _corr_sql() -> str:
 SQL["corr_matrix"] = _corr_sql()
 
 
+def E(i: str) -> str:
+    """Edge i of linspace(lo, hi, nb + 1): i * step + lo, the last one hi (numpy)."""
+    return f"(CASE WHEN ({i}) >= (SELECT nb FROM p) THEN hi ELSE ({i}) * ((hi - lo) / (SELECT nb FROM p)) + lo END)"
+
+
 def _hist_sql(bins_expr: str, source: str, by: str | None = None, extra_cte: str = "",
               rnd=R) -> str:
     keys = f"{by}, " if by else ""
@@ -189,13 +194,15 @@ def _hist_sql(bins_expr: str, source: str, by: str | None = None, extra_cte: str
     return f"""
 WITH src AS ({source}), r AS (SELECT min(v) AS lo, max(v) AS hi FROM src){extra_cte},
 p AS (SELECT CAST({bins_expr} AS BIGINT) AS nb FROM r),
-b AS (SELECT {keys}LEAST(CAST(floor((v - lo) * ((SELECT nb FROM p) / (hi - lo))) AS BIGINT),
-                         (SELECT nb FROM p) - 1) AS bin
-      FROM src, r WHERE v IS NOT NULL),
+b0 AS (SELECT {keys}v, lo, hi, CAST(floor(((v - lo) / (hi - lo)) * CAST(nb AS DOUBLE)) AS BIGINT) AS i
+       FROM src, r, p WHERE v IS NOT NULL),
+b1 AS (SELECT {keys}v, lo, hi, CASE WHEN i = nb THEN nb - 1 ELSE i END AS i FROM b0, p),
+b2 AS (SELECT {keys}v, lo, hi, CASE WHEN v < {E('i')} THEN i - 1 ELSE i END AS i FROM b1, p),
+b AS (SELECT {keys}CASE WHEN v >= {E('i + 1')} AND i <> nb - 1 THEN i + 1 ELSE i END AS bin FROM b2, p),
 c AS (SELECT {keys}bin, count(*) AS n FROM b GROUP BY ALL),
 g AS ({grid})
-SELECT {"g." + by + ", " if by else ""}CAST(g.bin AS INTEGER) AS bin, {rnd('lo + g.bin * ((hi - lo) / (SELECT nb FROM p))')} AS bin_lo,
-       {rnd('CASE WHEN g.bin = (SELECT nb FROM p) - 1 THEN hi ELSE lo + (g.bin + 1) * ((hi - lo) / (SELECT nb FROM p)) END')} AS bin_hi,
+SELECT {"g." + by + ", " if by else ""}CAST(g.bin AS INTEGER) AS bin, {rnd(E('g.bin'))} AS bin_lo,
+       {rnd(E('g.bin + 1'))} AS bin_hi,
        CAST(COALESCE(c.n, 0) AS BIGINT) AS n
 FROM g LEFT JOIN c ON g.bin = c.bin {"AND g." + by + " = c." + by if by else ""}, r"""
 
@@ -611,3 +618,7 @@ WITH e AS (SELECT value, k, row_number() OVER (ORDER BY ts, event_id) - 1 AS i,
 SELECT CAST(i * 10 // n AS BIGINT) AS row_bucket, CAST(count(*) AS BIGINT) AS n,
        {R('avg(CAST(value IS NULL AS DOUBLE))')} AS value, {R('avg(CAST(k IS NULL AS DOUBLE))')} AS k
 FROM e GROUP BY 1"""
+
+SQL["preview_rows"] = f"""
+SELECT event_id, user_id, event_type, {R('value')} AS value, {R('k')} AS k
+FROM ({EV}) e ORDER BY event_id LIMIT 20"""

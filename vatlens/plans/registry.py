@@ -812,3 +812,9 @@ def q_missing_profile(spark, d):
     """P17 at scale: NULL fraction per column in 10 equal slices of the row order."""
     from vatlens.plans.eda import missing_by_bucket
     return _r6(missing_by_bucket(ev_nulls(spark, d), ["value", "k"], ORDER, buckets=10))
+
+
+@query("preview_rows")
+def q_preview_rows(spark, d):
+    """The first 20 input rows in time order (a top-k preview)."""
+    return _r6(cleaning.head(ev(spark, d).drop("ts"), 20, ["event_id"]))
