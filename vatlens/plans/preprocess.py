@@ -51,15 +51,10 @@ def preprocess(df: DataFrame, spec: FeatureSpec, strict: bool = False,
             raise ValueError(f"missing input columns: {missing}")
     if drop_missing:
         df = cleaning.drop_incomplete(df)
-    diffs = {s: o for s, o in spec.diffs.items() if s in cols}
-    if diffs:
-        order_ok = all(c in cols for c in spec.order_by)
-        if not order_ok:
-            raise ValueError(f"order columns not found: {spec.order_by}")
-        df = ordered.diff(df, diffs, spec.order_by, spec.partition_by or None, split=split)
-    ratios = {o: (a, b) for o, (a, b) in spec.ratios.items() if a in cols and b in cols}
-    if ratios:
-        df = df.withColumns({o: cleaning.safe_ratio(a, b) for o, (a, b) in ratios.items()})
+    base_cols = df.columns
+    # z-scores first: their statistics need only the input column, so the
+    # aggregate scans the source instead of re-running the difference
+    # windows; the rows are the same (differences drop no rows)
     zs = {s: o for s, o in spec.zscores.items() if s in cols}
     if zs:
         if zscore_stats:
@@ -69,10 +64,20 @@ def preprocess(df: DataFrame, spec: FeatureSpec, strict: bool = False,
                 for s, o in zs.items()})
         else:
             df = summary.zscore(df, zs)
+    diffs = {s: o for s, o in spec.diffs.items() if s in cols}
+    if diffs:
+        order_ok = all(c in cols for c in spec.order_by)
+        if not order_ok:
+            raise ValueError(f"order columns not found: {spec.order_by}")
+        df = ordered.diff(df, diffs, spec.order_by, spec.partition_by or None, split=split)
+    ratios = {o: (a, b) for o, (a, b) in spec.ratios.items() if a in cols and b in cols}
+    if ratios:
+        df = df.withColumns({o: cleaning.safe_ratio(a, b) for o, (a, b) in ratios.items()})
     fl = {o: t for o, t in spec.flags.items() if t[0] in cols}
     if fl:
         df = df.withColumns({o: cleaning.flag(c, op, thr) for o, (c, op, thr) in fl.items()})
-    return df
+    derived = [*diffs.values(), *ratios, *zs.values(), *fl]
+    return df.select(*base_cols, *derived)
 
 
 def derived_columns(spec: FeatureSpec) -> list[str]:

@@ -816,5 +816,5 @@ def q_missing_profile(spark, d):
 
 @query("preview_rows")
 def q_preview_rows(spark, d):
-    """The first 20 input rows in time order (a top-k preview)."""
+    """The first 20 input rows by id (an ordered top-k preview)."""
     return _r6(cleaning.head(ev(spark, d).drop("ts"), 20, ["event_id"]))
