@@ -125,12 +125,35 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | Non
     return out.withColumn(name, b).drop("_vl_pos", "_vl_bkt")
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
+def _default(t: T.DataType) -> Column:
+    if isinstance(t, T.NumericType):
+        return F.lit(0).cast(t)
+    if isinstance(t, T.BooleanType):
+        return F.lit(False)
+    if isinstance(t, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0).cast("timestamp").cast(t) if not isinstance(t, T.DateType) \
+            else F.lit("1970-01-01").cast("date")
+    return F.lit("")
+
+
+def _piece_keys(df: DataFrame, part: list[str]) -> tuple[DataFrame, list[str]]:
+    """Null-free copies of the run keys: ``coalesce(k, default)`` and ``isnull(k)``.
+
+    The window, the summary and the carry join all use these same columns, so
+    the join's required distribution is the window's output partitioning and
+    the big side is not shuffled a second time (a null-safe ``<=>`` join would
+    hash on rewritten expressions and re-shuffle it).
+    """
+    cols, names = {}, []
+    for i, k in enumerate(part):
+        t = df.schema[k].dataType
+        simple = isinstance(t, (T.NumericType, T.BooleanType, T.StringType, T.DateType,
+                                T.TimestampType, T.TimestampNTZType))
+        v = F.col(k) if simple else F.col(k).cast("string")
+        cols[f"_vl_k{i}"] = F.coalesce(v, _default(t if simple else T.StringType()))
+        cols[f"_vl_n{i}"] = F.col(k).isNull()
+        names += [f"_vl_k{i}", f"_vl_n{i}"]
+    return (df.withColumns(cols) if cols else df), names
 
 
 def with_previous(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
@@ -145,26 +168,21 @@ def with_previous(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
         w = Window.partitionBy(*part).orderBy(*order_by)
         return df.withColumns({prefix + c: F.lag(c).over(w) for c in cols})
 
-    b = with_order_bucket(df, order_by, buckets)
-    keys = [*part, _SUB]
+    b, pk = _piece_keys(with_order_bucket(df, order_by, buckets), part)
+    keys = [*pk, _SUB]
     rec = F.struct(*[F.col(c).alias(c) for c in cols])
     w = Window.partitionBy(*keys).orderBy(*order_by)
     inner = b.withColumn("_vl_prev", F.lag(rec).over(w))
     last = b.groupBy(*keys).agg(F.max_by(rec, F.struct(*order_by)).alias("_vl_last"))
     carry = last.select(
         *keys,
-        F.lag("_vl_last").over(Window.partitionBy(*part).orderBy(_SUB)).alias("_vl_carry"),
+        F.lag("_vl_last").over(Window.partitionBy(*pk).orderBy(_SUB)).alias("_vl_carry"),
     )
-    carry = carry.select(*[F.col(k).alias("_vr_" + k) for k in keys], "_vl_carry")
-    cond = None
-    for k in keys:
-        c = inner[k].eqNullSafe(carry["_vr_" + k])
-        cond = c if cond is None else cond & c
-    j = inner.join(carry, cond, "left")
+    j = inner.join(carry, on=keys, how="left")
     # lag(struct) is null only on the first row of a piece
     prev = F.when(F.col("_vl_prev").isNull(), F.col("_vl_carry")).otherwise(F.col("_vl_prev"))
     out = j.withColumns({prefix + c: prev[c] for c in cols})
-    return out.drop("_vl_prev", "_vl_carry", _SUB, *["_vr_" + k for k in keys])
+    return out.drop("_vl_prev", "_vl_carry", *keys)
 
 
 def diff(df: DataFrame, cols: Sequence[str] | dict, order_by: Sequence[str],
@@ -202,8 +220,9 @@ def with_row_index(df: DataFrame, order_by: Sequence[str],
         if size_name:
             out = out.withColumn(size_name, F.sum(wcol).over(Window.partitionBy(*part)).cast("long"))
         return out
-    b = with_order_bucket(df, order_by, buckets, per_group=part if per_group_cuts else None)
-    keys = [*part, _SUB]
+    b, pk = _piece_keys(with_order_bucket(df, order_by, buckets,
+                                          per_group=part if per_group_cuts else None), part)
+    keys = [*pk, _SUB]
     wi = Window.partitionBy(*keys).orderBy(*order_by)
     if weight:
         rn = F.coalesce(F.sum(wcol).over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -211,22 +230,18 @@ def with_row_index(df: DataFrame, order_by: Sequence[str],
         rn = F.row_number().over(wi) - 1
     inner = b.withColumn("_vl_rn", rn)
     cnt = b.groupBy(*keys).agg(F.sum(wcol).alias("_vl_n"))
-    wp = Window.partitionBy(*part).orderBy(_SUB)
+    wp = Window.partitionBy(*pk).orderBy(_SUB)
     off = cnt.select(
-        *[F.col(k).alias("_vr_" + k) for k in keys],
+        *keys,
         F.coalesce(F.sum("_vl_n").over(wp.rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_vl_off"),
-        F.sum("_vl_n").over(Window.partitionBy(*part)).alias("_vl_total"),
+        F.sum("_vl_n").over(Window.partitionBy(*pk)).alias("_vl_total"),
     )
-    cond = None
-    for k in keys:
-        c = inner[k].eqNullSafe(off["_vr_" + k])
-        cond = c if cond is None else cond & c
-    j = inner.join(off, cond, "left")
+    j = inner.join(off, on=keys, how="left")
     out = j.withColumn(name, (F.col("_vl_off") + F.col("_vl_rn")).cast("long"))
     if size_name:
         out = out.withColumn(size_name, F.col("_vl_total").cast("long"))
-    return out.drop("_vl_rn", "_vl_off", "_vl_total", _SUB, *["_vr_" + k for k in keys])
+    return out.drop("_vl_rn", "_vl_off", "_vl_total", *keys)
 
 
 def block_of(index: Column, size: Column, k: int) -> Column:
