@@ -44,20 +44,20 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str],
     return old.unionByName(fresh)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """M2: ``ON CONFLICT DO UPDATE``: last write wins per key.
-
-    Union with a version tag and keep ``max_by(row, version)`` per key: one
-    aggregation, map-side combined, so a hot key never gathers in one task.
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str],
+           order_by: Sequence[str] | None = None) -> DataFrame:
+    """M2: ``ON CONFLICT DO UPDATE``: the new row wins on a key conflict.
+
+    ``old`` minus the keys present in ``new`` (``left_anti``), plus ``new``.
+    Only the delta's keys have to meet the old table: AQE broadcasts them
+    when the delta is small, and the old table is never re-aggregated.
+    Duplicate keys inside ``new`` keep one row (the first by ``order_by``).
     """
     keys = _names(keys)
     cols = old.columns
-    others = [c for c in cols if c not in keys]
-    u = old.select(*cols, F.lit(0).alias("_vl_v")).unionByName(
-        new.select(*cols, F.lit(1).alias("_vl_v")))
-    rec = F.struct(*[F.col(c) for c in others])
-    g = u.groupBy(*keys).agg(F.max_by(rec, F.col("_vl_v")).alias("_vl_r"))
-    return g.select(*keys, *[F.col("_vl_r." + c).alias(c) for c in others]).select(*cols)
+    fresh = _first_per_key(new.select(*cols), keys, order_by)   # delta-sized shuffle
+    kept = old.join(fresh.select(*keys), on=keys, how="left_anti")
+    return kept.unionByName(fresh).select(*cols)
 
 
 def update_by_key(df: DataFrame, changes: DataFrame, keys: Sequence[str],
