@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vatlens.session import spread
+
 
 def _names(x) -> list[str]:
     if x is None:
@@ -55,7 +57,7 @@ def bootstrap_mean_ci(df: DataFrame, value: str, by: Sequence[str] | None = None
              .filter(F.col("_v").isNotNull())
     means = base.groupBy(*keys).agg(F.avg("_v").alias("mean"),
                                     F.count(F.lit(1)).cast("long").alias("n"))
-    ex = base.select(*keys, "_v", "_k",
+    ex = spread(base).select(*keys, "_v", "_k",
                      F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
     w = poisson1(_uniform(F.col("_k"), F.col("_r"), seed))
     reps = ex.groupBy(*keys, "_r").agg(F.sum(w * F.col("_v")).alias("_sw"),

@@ -5,10 +5,12 @@ counting is a ``groupBy`` on a computed bin index (map-side combined, the
 shuffle carries at most bins x groups rows per task). Empty bins come from a
 ``range(bins)`` frame of proven size ``bins``.
 
-The density curve evaluates ``grid`` Gaussian sums per row inside one
-aggregate (no row explosion); ``binned=True`` first reduces the values to a
-fixed number of equal-width bins and evaluates the curve from bin centres,
-which bounds the cost at any row count (approximate by < bin width / 2).
+The density curve generates one (value, grid point) row per grid point and
+sums it in the partial aggregate right behind the generator (small inputs
+are first spread over all cores); ``binned=True`` first reduces the values
+to a fixed number of equal-width bins (weighted by count) and evaluates the
+curve from them, which bounds the cost at any row count; it is chosen
+automatically beyond ``exact_rows`` values per group.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vatlens.session import spread
+
 
 def _names(x) -> list[str]:
     if x is None:
@@ -177,7 +181,7 @@ def kde(df: DataFrame, col: str, by: Sequence[str] | None = None, grid: int = 20
     # one generated row per (value, grid point), summed map-side by the
     # partial aggregate right after the generator (no wide rows, no shuffle
     # beyond grid x groups per task)
-    j = j.select(*keys, "_v", "_w", "_n", "_lo", "_hi", "_bw",
+    j = spread(j).select(*keys, "_v", "_w", "_n", "_lo", "_hi", "_bw",
                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(grid - 1)
     gx = F.col("_lo") + step * F.col("point")

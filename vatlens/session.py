@@ -81,3 +81,12 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Before a generator that multiplies rows (bootstrap replicates, density
+    grid): if the input has fewer partitions than the cluster has cores, deal
+    its rows round-robin over all cores. Large inputs already have enough
+    partitions and are left as they are (no extra shuffle)."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
