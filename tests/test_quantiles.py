@@ -9,12 +9,13 @@ from conftest import SF01
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16])
-def test_matches_percentile(spark, buckets):
+@pytest.mark.parametrize("buckets,method", [(1, "distributed"), (3, "distributed"),
+                                            (16, "distributed"), (None, "percentile"), (None, "auto")])
+def test_matches_percentile(spark, buckets, method):
     li = spark.read.parquet(f"{SF01}/lineitem.parquet")
     cols = ["l_quantity", "l_extendedprice", "l_tax"]
     got = {(r["column_name"], r["prob"]): r["value"]
-           for r in exact_quantiles(li, cols, PROBS, buckets=buckets).collect()}
+           for r in exact_quantiles(li, cols, PROBS, buckets=buckets, method=method).collect()}
     exp = li.agg(*[F.percentile(F.col(c), F.array(*[F.lit(p) for p in PROBS])).alias(c)
                    for c in cols]).first()
     for c in cols:
@@ -26,7 +27,11 @@ def test_grouped_with_hot_group(spark):
     # one group holds 90 % of the rows
     rows = [("hot" if i % 10 else "cold", float((i * 7919) % 1000)) for i in range(5000)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["v"], PROBS, by=["g"]).collect()}
+    got = {(r["g"], r["prob"]): r["value"]
+           for r in exact_quantiles(df, ["v"], PROBS, by=["g"], method="distributed").collect()}
+    got2 = {(r["g"], r["prob"]): r["value"]
+            for r in exact_quantiles(df, ["v"], PROBS, by=["g"], method="percentile").collect()}
+    assert got == got2
     exp = {r["g"]: r["q"] for r in df.groupBy("g").agg(
         F.percentile("v", F.array(*[F.lit(p) for p in PROBS])).alias("q")).collect()}
     for g in ("hot", "cold"):
@@ -34,7 +39,10 @@ def test_grouped_with_hot_group(spark):
             assert got[(g, p)] == pytest.approx(exp[g][i])
 
 
-def test_edges(spark):
+@pytest.mark.parametrize("method", ["distributed", "percentile"])
+def test_edges(spark, method, monkeypatch):
+    import vatlens.operators.quantiles as Q
+    monkeypatch.setattr(Q, "MAP_LIMIT", 0 if method == "distributed" else 10**9)
     df = spark.createDataFrame([(None, 5.0), (None, 5.0), (None, None)], "a double, b double")
     q = quantile_row(df, ["a", "b"], [0.5])
     assert ("a", 0.5) not in q and q[("b", 0.5)] == 5.0

@@ -35,10 +35,64 @@ def _names(x) -> list[str]:
     return list(x)
 
 
+MAP_LIMIT = 1_000_000   # distinct values one task may merge in the single-pass path (~80 MB)
+
+
+def max_distinct(df: DataFrame, cols: Sequence[str],
+                 by: Sequence[str] | None = None) -> dict[str, int]:
+    """Per column: upper estimate of its distinct values within any one group.
+
+    One pass of ``approx_count_distinct`` (HyperLogLog++, ~2 % error, so the
+    estimate is padded by 10 %); the result is one number per column.
+    """
+    keys, cols = _names(by), _names(cols)
+    aggs = [F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]
+    g = df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    top = g.agg(*[F.max(f"d{i}").alias(f"d{i}") for i in range(len(cols))]).first()
+    return {c: int((top[f"d{i}"] or 0) * 1.1) + 1 for i, c in enumerate(cols)}
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    by: Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """``(*by, column_name, prob, value)`` for every column and probability."""
+                    by: Sequence[str] | None = None, buckets: int | None = None,
+                    method: str = "auto", map_limit: int | None = None) -> DataFrame:
+    """``(*by, column_name, prob, value)`` for every column and probability.
+
+    ``method``: ``"distributed"`` (the ranking plan above, any cardinality),
+    ``"percentile"`` (Spark's single-pass exact aggregate: its final merge
+    holds one value map per group and column in one task), or ``"auto"``:
+    measure the distinct count first and use the single pass only when that
+    map is proven small (``<= map_limit`` values), the distributed plan
+    otherwise. Both give the same numbers.
+    """
     keys, cols = _names(by), _names(cols)
+    if method == "auto":
+        limit = MAP_LIMIT if map_limit is None else map_limit
+        nd = max_distinct(df, cols, keys)
+        small = [c for c in cols if nd[c] <= limit]
+        large = [c for c in cols if nd[c] > limit]
+        parts = []
+        if small:
+            parts.append(exact_quantiles(df, small, probs, keys, buckets, "percentile"))
+        if large:
+            parts.append(exact_quantiles(df, large, probs, keys, buckets, "distributed"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    if method == "percentile":
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        parts = []
+        for c in cols:
+            x = F.col(c).cast("double")
+            parts.append(F.struct(F.lit(c).alias("column_name"),
+                                  F.percentile(F.when(~F.isnan(x), x), arr).alias("q")))
+        g = (df.groupBy(*keys).agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]) if keys
+             else df.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]))
+        long = g.select(*keys, F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s"))
+        out = long.select(*keys, F.col("s.column_name").alias("column_name"),
+                          F.posexplode(F.col("s.q")).alias("_i", "value"))
+        return out.filter(F.col("value").isNotNull()).select(
+            *keys, "column_name", arr[F.col("_i")].alias("prob"), "value")
     long = (df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot(keys, cols, "column_name", "_v")
             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
