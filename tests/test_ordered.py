@@ -16,7 +16,7 @@ def events(spark):
             .withColumn("ts2", F.date_trunc("hour", "ts"))
 
 
-@pytest.mark.parametrize("buckets", [1, 2, 8, 64])
+@pytest.mark.parametrize("buckets", [1, 2, 8, 64, 700])
 def test_global_lag_matches_window(events, buckets):
     got = ordered.diff(events, ["value"], ["ts", "event_id"], buckets=buckets).select("event_id", "value_diff")
     w = Window.orderBy("ts", "event_id")

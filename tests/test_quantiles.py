@@ -9,7 +9,7 @@ from conftest import SF01
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
 
 
-@pytest.mark.parametrize("buckets,method", [(1, "distributed"), (3, "distributed"),
+@pytest.mark.parametrize("buckets,method", [(1, "distributed"), (3, "distributed"), (300, "distributed"),
                                             (16, "distributed"), (None, "percentile"), (None, "auto")])
 def test_matches_percentile(spark, buckets, method):
     li = spark.read.parquet(f"{SF01}/lineitem.parquet")

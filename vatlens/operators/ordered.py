@@ -7,7 +7,11 @@ sends a whole run to one task, and with no run key the whole table to one
 task. To keep every task bounded we split each run into *order buckets*:
 
 1. one ``percentile_approx`` pass over the leading order key gives
-   ``buckets - 1`` equal-frequency cut points (a bounded list of doubles);
+   ``buckets - 1`` equal-frequency cut points (a bounded list of doubles) and
+   the row count; the default is twice the shuffle width, and when the count
+   asks for more (about 4M rows per bucket, at most 65,536 buckets) a second,
+   finer pass runs - so small inputs pay one job and 100 TB inputs get
+   buckets of bounded size;
 2. each row gets ``sub = bucket(order key)``, a deterministic function of the
    row, so every branch below computes the same value without a shuffle;
 3. the window runs over ``(partition_by, sub)`` - a hot run is cut into as
@@ -59,11 +63,23 @@ def order_position(df: DataFrame, column: str) -> Column:
     raise TypeError(f"order bucket needs a numeric, date or timestamp leading key, got {t}")
 
 
-def _cut_points(df: DataFrame, pos: Column, buckets: int) -> list[float]:
+ROWS_PER_BUCKET = 4_000_000   # target rows per order bucket at scale
+MAX_BUCKETS = 65536
+
+
+def _n0(df: DataFrame) -> int:
+    return max(2, 2 * shuffle_width(df.sparkSession))
+
+
+def _cut_points(df: DataFrame, pos: Column, buckets: int, with_count: bool = False):
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(pos, probs, 10000).alias("q")).first()
+    # rank error 1/accuracy must stay well below one bucket (1/buckets)
+    accuracy = max(10000, 10 * buckets)
+    row = df.agg(F.percentile_approx(pos, probs, accuracy).alias("q"),
+                 F.count(pos).alias("n")).first()
     qs = row["q"] if row is not None else None
-    return sorted({float(q) for q in (qs or []) if q is not None})
+    cuts = sorted({float(q) for q in (qs or []) if q is not None})
+    return (cuts, row["n"] if row is not None else 0) if with_count else cuts
 
 
 def _bucket_expr(pos: Column, cuts: list[float]) -> Column:
@@ -84,6 +100,33 @@ def _bucket_expr(pos: Column, cuts: list[float]) -> Column:
     return F.when(pos.isNull(), F.lit(-1)).otherwise(build(0, len(cuts)))
 
 
+GROUP_BUCKETS_MAX = 256
+
+
+def _group_buckets(df: DataFrame, pos: Column, groups: list[str], buckets: int | None,
+                   name: str) -> DataFrame:
+    """Per-group cut points (a small table, checkpointed once), attached by a
+    join on the group key; the bucket is the number of the group's cut points
+    at or below the value (``size(filter(...))``, at most
+    ``GROUP_BUCKETS_MAX`` comparisons). Meant for many groups of moderate
+    size; one huge ordered set takes the global path (``per_group=None``)."""
+    from vatlens.session import materialize
+
+    n = min(buckets or _n0(df), GROUP_BUCKETS_MAX)
+    probs = [i / n for i in range(1, n)]
+    c = materialize(df.groupBy(*groups).agg(
+        F.percentile_approx(pos, probs, max(10000, 10 * n)).alias("_vl_cuts")))
+    c = c.select(*[F.col(g).alias("_vr_" + g) for g in groups], "_vl_cuts")
+    cond = None
+    for g in groups:
+        t = df[g].eqNullSafe(c["_vr_" + g])
+        cond = t if cond is None else cond & t
+    j = df.join(c, cond, "left")
+    b = F.when(pos.isNull(), F.lit(-1)).otherwise(
+        F.coalesce(F.size(F.filter(F.col("_vl_cuts"), lambda x: x <= pos)), F.lit(0)))
+    return j.withColumn(name, b.cast("int")).drop("_vl_cuts", *["_vr_" + g for g in groups])
+
+
 def with_order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | None = None,
                       name: str = _SUB, per_group: Sequence[str] | None = None) -> DataFrame:
     """Add an equal-frequency bucket of the leading order key (see module doc).
@@ -93,25 +136,20 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | Non
     the values of different columns.
     """
     order_by = _names(order_by)
-    n = buckets or max(2, 2 * shuffle_width(df.sparkSession))
-    # Cap the CASE tree so the generated method stays small; more rows per
-    # bucket only lengthens a task, the tree depth stays ~log2(n).
-    n = min(n, 4096)
     pos = order_position(df, order_by[0])
     groups = _names(per_group)
     if groups:
-        probs = [i / n for i in range(1, n)]
-        cuts = df.groupBy(*groups).agg(F.percentile_approx(pos, probs, 10000).alias("_vl_cuts"))
-        cuts = cuts.select(*[F.col(g).alias("_vr_" + g) for g in groups], "_vl_cuts")
-        cond = None
-        for g in groups:
-            t = df[g].eqNullSafe(cuts["_vr_" + g])
-            cond = t if cond is None else cond & t
-        j = df.join(cuts, cond, "left")
-        b = F.when(pos.isNull(), F.lit(-1)).otherwise(
-            F.coalesce(F.size(F.filter(F.col("_vl_cuts"), lambda c: c <= pos)), F.lit(0)))
-        return j.withColumn(name, b.cast("int")).drop("_vl_cuts", *["_vr_" + g for g in groups])
-    cuts = _cut_points(df, pos, n)
+        return _group_buckets(df, pos, groups, buckets, name)
+    if buckets:
+        cuts = _cut_points(df, pos, buckets)
+    else:
+        # one pass gives the default cut points and the row count; a second,
+        # finer pass runs only when the count asks for more buckets
+        n0 = _n0(df)
+        cuts, count = _cut_points(df, pos, n0, with_count=True)
+        need = min(MAX_BUCKETS, (count or 0) // ROWS_PER_BUCKET)
+        if need > n0:
+            cuts = _cut_points(df, pos, need)
     if len(cuts) <= 256:
         return df.withColumn(name, _bucket_expr(pos, cuts))
     # long cut lists: MLlib's Bucketizer (a JVM binary search) instead of a

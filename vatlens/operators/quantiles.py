@@ -93,18 +93,26 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                           F.posexplode(F.col("s.q")).alias("_i", "value"))
         return out.filter(F.col("value").isNotNull()).select(
             *keys, "column_name", arr[F.col("_i")].alias("prob"), "value")
+    if not keys and len(cols) > 1:
+        # one huge ordered set per column: rank each on the global bucketing
+        # path (no per-group cut-point limit), then stack the small results
+        out = None
+        for c in cols:
+            q = exact_quantiles(df, [c], probs, None, buckets, "distributed")
+            out = q if out is None else out.unionByName(q)
+        return out
     long = (df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
             .unpivot(keys, cols, "column_name", "_v")
             .filter(F.col("_v").isNotNull() & ~F.isnan("_v")))
     grp = [*keys, "column_name"]
     counts = long.groupBy(*grp, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    # the ranking below reads the distinct values four times (cut points,
+    # the ranking below reads the distinct values several times (cut points,
     # bucket join, window, bucket totals): materialise them once (reliable
     # checkpoint in the shared folder) instead of re-scanning and
     # re-shuffling the source for each branch
     counts = materialize(counts)
     ranked = ordered.with_row_index(counts, ["_v"], grp, name="_before", size_name="_n",
-                                    weight="_c", buckets=buckets, per_group_cuts=True)
+                                    weight="_c", buckets=buckets, per_group_cuts=bool(keys))
     # needed ranks per group and probability, as an array on each distinct value
     probs = [float(p) for p in probs]
     h = [F.lit(p) * (F.col("_n") - F.lit(1)) for p in probs]

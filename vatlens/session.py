@@ -18,6 +18,18 @@ _DEFAULTS = {
 }
 
 
+# Applied on a cluster only where the deployment did not set them.
+_CLUSTER = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def get_session(master: str | None = None, app: str = "vatlens",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
@@ -33,8 +45,16 @@ def get_session(master: str | None = None, app: str = "vatlens",
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", "8g")
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or os.cpu_count() or 8)
-    elif shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    else:
+        # cluster: start wide and let AQE coalesce to ~256 MB partitions, so a
+        # 100 TB shuffle never lands in partitions that outgrow executor memory
+        from pyspark import SparkConf
+        given = SparkConf()
+        for k, v in _CLUSTER.items():
+            if not given.contains(k):
+                conf[k] = v
+        if shuffle_partitions:
+            conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
