@@ -622,3 +622,31 @@ FROM e GROUP BY 1"""
 SQL["preview_rows"] = f"""
 SELECT event_id, user_id, event_type, {R('value')} AS value, {R('k')} AS k
 FROM ({EV}) e ORDER BY event_id LIMIT 20"""
+
+# Ridge with one standardised feature (p_size), alpha chosen by 5-fold
+# CV on the training split (folds hashed with a separate seed), refit, scored
+# on the test split.
+SQL["refit_without_time"] = f"""
+WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y,
+                  {HASH5.format(k='p_partkey')} AS b,
+                  CAST(CAST(('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || 'cv'), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold
+           FROM part),
+tr AS (SELECT * FROM p WHERE b < 4), te AS (SELECT * FROM p WHERE b >= 4),
+st AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx FROM tr),
+z AS (SELECT fold, (x - mx) / sx AS z, y FROM tr, st),
+fs AS (SELECT fold, count(*) AS n, sum(z) AS a1, sum(y) AS ay, sum(z * z) AS a11, sum(z * y) AS a1y,
+              sum(y * y) AS ayy FROM z GROUP BY fold),
+tot AS (SELECT sum(n) AS n, sum(a1) AS a1, sum(ay) AS ay, sum(a11) AS a11, sum(a1y) AS a1y FROM fs),
+trn AS (SELECT f.fold, t.n - f.n AS n, t.a1 - f.a1 AS a1, t.ay - f.ay AS ay, t.a11 - f.a11 AS a11,
+               t.a1y - f.a1y AS a1y FROM fs f, tot t),
+al AS (SELECT pow(10, -3 + 0.5 * i) AS alpha FROM range(13) t(i)),
+sol AS (SELECT fold, alpha, (a1y - a1 * ay / n) / (a11 - a1 * a1 / n + alpha) AS w, a1 / n AS mz, ay / n AS my
+        FROM trn, al),
+sc AS (SELECT s.alpha, s.fold,
+              1 - (f.ayy - 2 * (my - w * mz) * f.ay - 2 * w * f.a1y + f.n * (my - w * mz) * (my - w * mz)
+                   + 2 * (my - w * mz) * w * f.a1 + w * w * f.a11) / (f.ayy - f.ay * f.ay / f.n) AS r2
+       FROM sol s JOIN fs f USING (fold)),
+best AS (SELECT alpha FROM (SELECT alpha, avg(r2) AS m FROM sc GROUP BY alpha) ORDER BY m DESC, alpha ASC LIMIT 1),
+fin AS (SELECT (a1y - a1 * ay / n) / (a11 - a1 * a1 / n + alpha) AS w, a1 / n AS mz, ay / n AS my FROM tot, best),
+e AS (SELECT te.y, te.y - ((my - w * mz) + w * ((te.x - mx) / sx)) AS e FROM te, fin, st)
+{_METRICS}"""

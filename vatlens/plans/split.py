@@ -31,9 +31,15 @@ def hash_split(df: DataFrame, key: str, test_buckets: int = 1, k: int = 5,
     return df.withColumn(name, F.when(b < F.lit(k - test_buckets), F.lit("train")).otherwise(F.lit("test")))
 
 
-def hash_folds(df: DataFrame, key: str, k: int = 5, name: str = "fold") -> DataFrame:
-    """Fold id by hash bucket (shuffled k-fold without moving rows)."""
-    return df.withColumn(name, hash_bucket(key, k))
+def hash_folds(df: DataFrame, key: str, k: int = 5, name: str = "fold",
+               seed: str | None = None) -> DataFrame:
+    """Fold id by hash bucket (shuffled k-fold without moving rows).
+
+    Give a ``seed`` when the rows were already selected by ``hash_split`` on
+    the same key: without it the fold would be the split's own bucket and the
+    training rows would fill only k-1 folds.
+    """
+    return df.withColumn(name, hash_bucket(key, k, seed))
 
 
 def block_folds(df: DataFrame, order_by: Sequence[str], k: int = 5,
