@@ -94,3 +94,10 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "x double")
     assert cleaning.fill_median(df, ["x"]).count() == 0
     assert cleaning.missing_counts(df).first()["n_missing"] == 0
+
+
+def test_mode_distributed_path(spark, monkeypatch):
+    import vatlens.operators.quantiles as Q
+    monkeypatch.setattr(Q, "MAP_LIMIT", 0)          # force the distributed counts
+    df = spark.createDataFrame([("S",), ("C",), ("S",), ("C",), ("Q",), (None,)], "c string")
+    assert cleaning.fill_mode(df, ["c"]).collect()[-1]["c"] == "C"

@@ -188,7 +188,20 @@ def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = _names(cols)
     if not cols:
         return df
-    row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in cols]).first()
+    from vatlens.operators.quantiles import MAP_LIMIT, max_distinct
+    # ``mode`` merges one value -> count map per column in a single task:
+    # used only when the distinct count is proven small, otherwise the
+    # counts are a distributed groupBy and only two one-row reductions follow
+    nd = max_distinct(df, cols)
+    small = [c for c in cols if nd[c] <= MAP_LIMIT]
+    row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in small]).first().asDict() if small else {}
+    for c in cols:
+        if c in small:
+            continue
+        counts = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_vl_n"))
+        top = counts.agg(F.max("_vl_n")).first()[0]
+        row[c] = (counts.filter(F.col("_vl_n") == F.lit(top)).agg(F.min(c)).first()[0]
+                  if top is not None else None)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c]).cast(df.schema[c].dataType))
                            if row[c] is not None else F.col(c) for c in cols})
 
