@@ -650,3 +650,26 @@ best AS (SELECT alpha FROM (SELECT alpha, avg(r2) AS m FROM sc GROUP BY alpha) O
 fin AS (SELECT (a1y - a1 * ay / n) / (a11 - a1 * a1 / n + alpha) AS w, a1 / n AS mz, ay / n AS my FROM tot, best),
 e AS (SELECT te.y, te.y - ((my - w * mz) + w * ((te.x - mx) / sx)) AS e FROM te, fin, st)
 {_METRICS}"""
+
+# Flagship: preprocess (complete rows, per-run difference of k) -> median
+# imputation of the first difference -> contiguous folds in time order ->
+# ridge CV over the 13 alphas with two standardised features -> refit ->
+# R² / MAE / RMSE per event type.
+_FLAG_BASE = f"""
+c0 AS (SELECT * FROM ({EV}) e WHERE {COMPLETE}),
+d AS (SELECT event_type, ts, event_id, value AS y, k AS x1,
+             k - LAG(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x2raw FROM c0),
+med AS (SELECT quantile_cont(x2raw, 0.5) AS md FROM d),
+base AS (SELECT event_type, y, x1, COALESCE(x2raw, md) AS x2,
+                NTILE(5) OVER (ORDER BY ts, event_id) - 1 AS fold FROM d, med),
+st AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM base),
+z AS (SELECT fold, event_type, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, y FROM base, st),
+""" + _RIDGE_BASE[_RIDGE_BASE.index("fs AS"):]
+
+SQL["flagship"] = f"""
+WITH {_REFIT.replace(_RIDGE_BASE, _FLAG_BASE)},
+e AS (SELECT z.event_type, z.y, z.y - (b + w1 * z1 + w2 * z2) AS e FROM z, fin2)
+SELECT event_type, CAST(count(*) AS BIGINT) AS n,
+       {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
+       {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse
+FROM e GROUP BY event_type"""

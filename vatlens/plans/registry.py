@@ -434,7 +434,7 @@ def q_flagship(spark, d):
     """Preprocess -> fit (ridge, CV folds in time order) -> score -> metrics per batch."""
     from vatlens.session import materialize
     x = preprocess(ev(spark, d), ev_spec(), strict=True)
-    feats = ["k", "k_diff", "low_flag", "value_z"]
+    feats = ["k", "k_diff"]
     folds = materialize(split.block_folds(x, ORDER, 5).select("event_type", "fold", "value", *feats))
     m = linear.fit_ridge_cv(folds, feats, "value", "fold")
     scored = m.transform(folds)
