@@ -127,3 +127,12 @@ def test_kde_matches_direct_sum(spark):
     xs = np.linspace(vals.min(), vals.max(), 50)
     ref = np.exp(-0.5 * ((xs[:, None] - vals[None, :]) / bw) ** 2).sum(1) / (len(vals) * bw * np.sqrt(2 * np.pi))
     assert [r["density"] for r in k] == pytest.approx(list(ref), rel=1e-9)
+
+
+def test_describe_approx_close_to_exact(spark):
+    df = spark.createDataFrame([(float(i % 97) + i / 1000.0,) for i in range(2000)], "x double")
+    ex = summary.describe(df, ["x"]).first()
+    ap = summary.describe(df, ["x"], approx=True).first()
+    assert ex["count"] == ap["count"] == 2000 and ex["mean"] == pytest.approx(ap["mean"])
+    for q in ("p25", "p50", "p75"):
+        assert abs(ex[q] - ap[q]) < 0.2
