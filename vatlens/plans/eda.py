@@ -57,6 +57,7 @@ def eda_report(df: DataFrame, numeric: str, category: str, hue: str | None = Non
         report["violin_quartiles"] = distribution.box_summary(df, numeric, by=[category, hue])
         report["count_by_two"] = summary.count_by(df, [group2 or category, hue])
     report["box"] = distribution.box_summary(df, numeric, by=[group2 or category])
+    report["describe"] = summary.describe(df)
     report["correlation"] = summary.corr_matrix(df)
     if out:
         for name, t in report.items():
