@@ -1,11 +1,11 @@
 """Byte-level BPE by corpus merge replay.
 
-Each Arrow batch of documents is one block of the corpus. The distinct
+A block of the corpus is some documents of a partition (``BLOCK`` characters). The distinct
 pre-tokens of a block are laid out as one sequence of byte tokens. An inverted
 index maps the rank of each mergeable pair to its positions; ranks are replayed
 in order, a merge links its neighbours and touches only the two pairs beside it.
 Documents are then spelled from their pre-tokens. Blocks bound memory, and the
-table of a task is dropped when it holds ``CACHE`` pre-tokens.
+table of a task is dropped when it holds ``CACHE`` units.
 
 A merge never needs text outside its pre-token, so a block gives what the whole
 corpus would give; keeping one index for all of it would shuffle every
@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from vatlens.llm.common import field, map_texts
 
-#: Pre-tokens whose ids a task keeps.
-CACHE = 400_000
+#: Units whose ids a task keeps between blocks.
+CACHE = 100_000
+#: Characters of a block (a longer text is a block of its own).
+BLOCK = 12_000_000
 #: Fixed: the code points with the Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -53,19 +55,19 @@ class Vocabulary:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.token = {r: t for t, r in ranks.items()}
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.base = max(ranks.values()) + 1
         found = [(ranks[t[:i]] * self.base + ranks[t[i:]], r, max(ranks[t[:i]], ranks[t[i:]]))
                  for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         found.sort()
         self.keys = np.array([x[0] for x in found] + [np.iinfo(np.int64).max], np.int64)
-        self.values = np.array([x[1] for x in found] + [-1], np.int64)
+        self.values = np.array([x[1] for x in found] + [-1], np.int32)
         # ranks whose token can go on to a token of a lower rank, which then comes first
         self.early = {high for _, r, high in found if r < high}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 for none."""
-        key = a * self.base + b
+        key = a.astype(np.int64) * self.base + b
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.values[at], -1)
 
@@ -84,10 +86,10 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
     ends = np.cumsum([len(w) for w in words])
     n = len(raw)
     tok = vocabulary.byte[raw]
-    nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     nxt[ends - 1] = -1
     prv[np.concatenate([[0], ends[:-1]])] = -1
-    here = np.full(n, -1, np.int64)
+    here = np.full(n, -1, np.int32)
     inner = np.flatnonzero(nxt >= 0)
     here[inner] = vocabulary.rank(tok[inner], tok[inner + 1])
     index: dict[int, list[np.ndarray]] = {}
@@ -126,8 +128,8 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
         low = np.zeros(len(at), bool)
         for near in (left, right):
             some = near >= 0
-            for other in (tok[near], np.full(len(at), r)):
-                pair = (other, np.full(len(at), r)) if near is left else (np.full(len(at), r), other)
+            for other in (tok[near], np.full(len(at), r, np.int32)):
+                pair = (other, np.full(len(at), r, np.int32)) if near is left else (np.full(len(at), r, np.int32), other)
                 rank = vocabulary.rank(*pair)
                 low |= some & (rank >= 0) & (rank < r)
         wait = again & np.isin(word, word[low])
@@ -151,7 +153,7 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
         if r in vocabulary.early and len(at) > 1:
             at, later = one_by_one(at, r)
             if len(later):
-                note(later, np.full(len(later), r))
+                note(later, np.full(len(later), r, np.int32))
         gone = nxt[at]
         after = nxt[gone]
         tok[at], tok[gone], here[gone] = r, -1, -1
@@ -180,7 +182,7 @@ def splitter(pattern: str):
 
 
 def encoder(vocabulary: Vocabulary, pattern: str):
-    """Function from a list of texts (None is empty) to, for each, a list of
+    """Function from a list of texts (None is empty) that yields, for each, a list of
     ``(ids, their decimal text)`` of its units in order."""
     units, match = splitter(pattern)
     heads: dict[str, tuple] = {}  # whole units: a text's first, or a pre-token
@@ -193,7 +195,16 @@ def encoder(vocabulary: Vocabulary, pattern: str):
             got = [i for w in parts for i in ids[w]]
             into[u] = (got, " ".join(map(str, got)))
 
-    def encode(texts: list) -> list[list[tuple]]:
+    def encode(texts: list):
+        at = size = 0
+        for k, t in enumerate(texts):
+            size += len(t or "")
+            if size >= BLOCK:
+                yield from block(texts[at:k + 1])
+                at, size = k + 1, 0
+        yield from block(texts[at:])
+
+    def block(texts: list) -> list[list[tuple]]:
         for table in (heads, known):
             if len(table) > CACHE:
                 table.clear()
