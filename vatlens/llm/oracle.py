@@ -21,3 +21,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(item
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)
 """
+
+SQL["op5_chat"] = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS m,
+        string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), ''
+                   ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS text
+      FROM t GROUP BY conv_id),
+u AS (SELECT min(conv_id) AS conv_id, m, n, any_value(text) AS text FROM c GROUP BY m, n),
+p AS (SELECT DISTINCT list_slice(m, 1, k) AS m FROM (SELECT m, unnest(range(1, n)) AS k FROM u))
+SELECT conv_id, n AS n_turns, text FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.m = u.m)
+"""
