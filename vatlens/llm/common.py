@@ -97,5 +97,22 @@ def _arrow(t: T.DataType) -> pa.DataType:
 
 
 def field(name: str, kind: str) -> T.StructField:
-    return T.StructField(name, T._parse_datatype_string(kind) if hasattr(T, "_parse_datatype_string")
-                         else T.DataType.fromDDL(kind))
+    return T.StructField(name, T.DataType.fromDDL(kind))
+
+
+def labels_of(labels: DataFrame, column: str) -> DataFrame:
+    """One row per labelled doc_id."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()) \
+        .groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+
+
+def isotonic(x: list[float], positive: list[float], weight: list[float]) -> tuple[list[float], list[float]]:
+    """Pool adjacent violators: the non-decreasing share of positives along ``x``."""
+    blocks: list[list[float]] = []  # first x, positives, weight
+    for a, p, w in zip(x, positive, weight):
+        blocks.append([a, p, w])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            _, p2, w2 = blocks.pop()
+            blocks[-1][1] += p2
+            blocks[-1][2] += w2
+    return [b[0] for b in blocks], [b[1] / b[2] for b in blocks]

@@ -25,13 +25,12 @@ from __future__ import annotations
 
 from collections import Counter
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vatlens.llm.common import field, held_out, map_texts, remainder, saved, small
+from vatlens.llm.common import field, held_out, isotonic, labels_of, map_texts, remainder, saved, small
 
 WINDOW, STEP = 8, 4
 GRAM, RATIO, EVIDENCE, MAX_GRAMS = 5, 8.0, 30.0, 20_000
@@ -48,12 +47,6 @@ def _words(text) -> list[bytes]:
     return words
 
 
-def labels_of(labels: DataFrame, column: str) -> DataFrame:
-    """One row per labelled doc_id."""
-    return labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()) \
-        .groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
-
-
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, label, rate, fold``: the bounded training sample; ``rate`` is the
     sampled share of its class, fold 1 is kept for the calibration."""
@@ -128,18 +121,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return model | ({"x": x, "y": y} if x else {"x": [0.0], "y": [base]})
 
 
-def isotonic(x: list[float], positive: list[float], weight: list[float]) -> tuple[list[float], list[float]]:
-    """Pool adjacent violators: the non-decreasing share of positives along ``x``."""
-    blocks: list[list[float]] = []  # first x, positives, weight
-    for a, p, w in zip(x, positive, weight):
-        blocks.append([a, p, w])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
-            _, p2, w2 = blocks.pop()
-            blocks[-1][1] += p2
-            blocks[-1][2] += w2
-    return [b[0] for b in blocks], [b[1] / b[2] for b in blocks]
-
-
 def _distances(model: dict):
     """Function from the texts of a batch to the bytes saved in the best windows of each."""
     if len(model["toxic"]) <= len(model["ordinary"]) + 1:
