@@ -228,8 +228,8 @@ def _shared(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks_of(docs.sparkSession, path)))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``input_ids`` (array of int) and ``n_tokens`` to the ``keep`` columns (all by default)."""
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with ``input_ids`` (array of int) and ``n_tokens``; columns of these names are replaced."""
     vocabulary = _shared(docs, path)
 
     def make():
@@ -240,12 +240,15 @@ def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str] | None = N
             return [ids, [len(x) for x in ids]]
         return run
 
-    return map_texts(docs, keep or docs.columns,
-                     [field("input_ids", "array<int>"), field("n_tokens", "bigint")], make)
+    new = [field("input_ids", "array<int>"), field("n_tokens", "bigint")]
+    keep = docs.select(F.struct("*").alias("_row"), "text")
+    out = map_texts(keep, ["_row"], new, make)
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("input_ids", "n_tokens")],
+                      "input_ids", "n_tokens")
 
 
 def decoded(ids: DataFrame, path: str, column: str = "input_ids") -> DataFrame:
-    """Adds ``bytes``, what the ids of ``column`` spell (null for null)."""
+    """``ids`` with ``bytes``, what the ids of ``column`` spell (null for null)."""
     vocabulary = _shared(ids, path)
 
     def make():
@@ -253,7 +256,9 @@ def decoded(ids: DataFrame, path: str, column: str = "input_ids") -> DataFrame:
         return lambda rows: [[None if x is None else b"".join(map(token.__getitem__, x)) for x in rows]]
 
     # map_texts reads the column named text
-    return map_texts(ids.withColumn("text", F.col(column)), ids.columns, [field("bytes", "binary")], make)
+    keep = ids.select(F.struct("*").alias("_row"), F.col(column).alias("text"))
+    return map_texts(keep, ["_row"], [field("bytes", "binary")], make).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in ids.columns if c.lower() != "bytes"], "bytes")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -175,6 +175,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, all columns kept."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rows = docs.select(F.struct("*").alias("_row"), "text")
     kept = scored(rows, fit(docs, labels), ["_row"]).where(F.col("score") < threshold)
     return kept.select("_row.*")
