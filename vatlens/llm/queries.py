@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vatlens.llm import bpe, chat, decontaminate, language, pii, quality, quality_rules, simhash, toxicity
+from vatlens.llm import bpe, chat, decontaminate, language, pii, quality, quality_rules, simhash, substrings, toxicity
 from vatlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
