@@ -8,11 +8,11 @@ what links reach.
 Comparison: fingerprints within the radius agree on all but ``radius`` of ``n``
 blocks of bits, so each distinct fingerprint goes, once per choice of agreeing
 blocks, into the bucket of those bits. A task sorts the fingerprints of its
-buckets and stores them vertically, one bit plane per bit. Neighbours at
-distance 1, 2, ... in that order are compared for all rows at once: the XOR of a
-plane with itself shifted marks differing bits, two carry-save counters and a
-sticky overflow add them up, and a block of rows is abandoned once every row of
-it has overflowed. Only bits outside the agreeing blocks need be counted.
+buckets and stores them vertically, one bit plane per bit. Small buckets are
+compared all at once, planes against themselves shifted by 1, 2, ... rows; a large
+one in blocks of fingerprints against all its planes. The XOR marks differing
+bits, two carry-save counters and a sticky overflow add them up, and a block is
+abandoned once every row of it has overflowed.
 
 Skew: copies collapse to one distinct fingerprint before anything is shuffled.
 A bucket with more than ``hot`` fingerprints is dealt again into finer buckets
@@ -40,7 +40,7 @@ from vatlens.llm.common import field, map_texts, saved
 SHINGLE, RADIUS = 3, 3
 #: Fingerprints of a bucket that one task compares with each other.
 HOT = 16_384
-_WIDE = 1024  # words of 64 rows per block that can be abandoned
+_FEW, _QUERIES = 64, 128  # rows of a small bucket; fingerprints in a block that can be abandoned
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -117,89 +117,110 @@ def _planes(fps: np.ndarray) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray, valid: np.ndarray, radius: int) -> np.ndarray:
-    """Rows (of ``valid``) at which the planes ``a`` and ``b`` differ in at most ``radius`` (0 to 3) bits."""
-    out = []
-    for at in range(0, len(valid), _WIDE):
-        ok = valid[at:at + _WIDE]
-        ones, twos, over = (np.zeros_like(ok) for _ in range(3))
-        for k in range(64):
-            x = a[k, at:at + _WIDE] ^ b[k, at:at + _WIDE]
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
-            if k % 8 == 7:
-                past = over | {3: np.zeros_like(ok), 2: ones & twos, 1: twos, 0: ones | twos}[radius]
-                if not (ok & ~past).any():
-                    break
-        past = over | {3: np.zeros_like(ok), 2: ones & twos, 1: twos, 0: ones | twos}[radius]
-        out.append(ok & ~past)
-    words = np.concatenate(out) if out else np.zeros(0, "<u8")
-    return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little"))
+    """Bits of ``valid`` at which the planes ``a`` and ``b`` differ in at most ``radius`` (0 to 3) places.
+
+    Planes come first in ``a`` and ``b``; the rest broadcasts to the shape of ``valid``.
+    """
+    ones, twos, over = (np.zeros_like(valid) for _ in range(3))
+
+    def within():
+        return valid & ~(over | (ones & twos, twos, ones | twos)[2 - radius] if radius < 3 else over)
+
+    for k in range(64):
+        x = a[k] ^ b[k]
+        carry = ones & x
+        ones ^= x
+        over |= twos & carry
+        twos ^= carry
+        if k % 8 == 7 and not (left := within()).any():
+            return left
+    return within()
+
+
+def _rows(words: np.ndarray) -> np.ndarray:
+    return np.unpackbits(words.view(np.uint8), axis=-1, bitorder="little")
 
 
 def _shifted(planes: np.ndarray, by: int) -> np.ndarray:
-    """The planes of the rows ``by`` further on."""
-    words, bits = divmod(by, 64)
-    moved = np.zeros_like(planes)
-    if words < planes.shape[1]:
-        moved[:, :planes.shape[1] - words] = planes[:, words:]
-    if bits:
-        high = np.zeros_like(moved)
-        high[:, :-1] = moved[:, 1:]
-        moved = (moved >> np.uint64(bits)) | (high << np.uint64(64 - bits))
-    return moved
+    """The planes of the rows ``by`` further on (``by`` under 64)."""
+    high = np.zeros_like(planes)
+    high[:, :-1] = planes[:, 1:]
+    return (planes >> np.uint64(by)) | (high << np.uint64(64 - by))
+
+
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Union of the sets of ``root`` (smallest member first) along links ``a``, ``b``."""
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    return root
+
+
+def _bitmasks(fps: np.ndarray) -> np.ndarray:
+    """Planes of single fingerprints: all ones or all zeros, one per fingerprint."""
+    bits = (fps[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return (np.uint64(0) - bits)[:, :, None]
+
+
+def _against(root: np.ndarray, a: np.ndarray, b: np.ndarray, at: int, radius: int) -> np.ndarray:
+    """Join rows of ``b`` (numbered from ``at``) with rows of ``a`` (from 0): blocks of
+    ``_QUERIES`` fingerprints against all planes."""
+    planes = _planes(a)[:, None, :]
+    valid = _pack(np.ones(len(a), bool))
+    for q in range(0, len(b), _QUERIES):
+        part = b[q:q + _QUERIES]
+        found = _near(planes, _bitmasks(part), np.tile(valid, (len(part), 1)), radius)
+        i, j = np.nonzero(_rows(found)[:, :len(a)])
+        root = _join(root, j, i + at + q)
+    return root
 
 
 def _within(fps: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of the same bucket; rows are sorted by bucket."""
-    left, right, by = [], [], 1
-    while len(fps) > 1:
-        planes = _planes(fps)
-        start = by
-        # rows whose bucket reaches this far; drop the rest once they are few
-        while by < len(fps):
-            same = bucket[:-by] == bucket[by:]
+    """Each row that links to another of its bucket, with the first row it reaches by links
+    inside the bucket; rows are sorted by bucket."""
+    n, root = len(fps), np.arange(len(fps))
+    _, first, size = np.unique(bucket, return_index=True, return_counts=True)
+    few = np.repeat(size <= _FEW, size)
+    rows = np.flatnonzero(few)
+    if len(rows) > 1:  # small buckets, all at once: neighbours at distance 1, 2, ...
+        planes, own = _planes(fps[rows]), bucket[rows]
+        for by in range(1, min(_FEW, len(rows))):
+            same = np.append(own[:-by] == own[by:], np.zeros(by, bool))
             if not same.any():
-                return _joined(left, right)
-            rows = _near(planes, _shifted(planes, by), _pack(np.append(same, np.zeros(by, bool))), radius)
-            left.append(fps[rows])
-            right.append(fps[rows + by])
-            by += 1
-            if same.sum() * 4 < len(fps) and by - start >= 8:
                 break
-        _, first, size = np.unique(bucket, return_index=True, return_counts=True)
-        keep = np.repeat(size > by - 1, size)
-        fps, bucket = fps[keep], bucket[keep]
-    return _joined(left, right)
+            found = _near(planes, _shifted(planes, by), _pack(same), radius)
+            hit = np.flatnonzero(_rows(found)[:len(rows)])
+            root = _join(root, rows[hit], rows[hit + by])
+    for x, m in zip(first[size > _FEW], size[size > _FEW]):
+        part = fps[x:x + m]
+        root[x:x + m] = _against(np.arange(m), part, part, 0, radius) + x
+    moved = np.flatnonzero(root != np.arange(n))
+    return fps[root[moved]], fps[moved]
 
 
 def _across(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between two chunks of a bucket: each row of ``b`` against all planes of ``a``."""
-    left, right, planes, valid = [], [], _planes(a), _pack(np.ones(len(a), bool))
-    for x in b:
-        bits = (np.uint64(x) >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-        rows = _near(planes, np.broadcast_to((np.uint64(0) - bits)[:, None], planes.shape), valid, radius)
-        left.append(a[rows])
-        right.append(np.full(len(rows), x, a.dtype))
-    return _joined(left, right)
-
-
-def _joined(left, right):
-    none = np.zeros(0, "<u8")
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    """The same between two chunks of one bucket."""
+    both = np.concatenate([a, b])
+    root = _against(np.arange(len(both)), a, b, len(a), radius)
+    moved = np.flatnonzero(root != np.arange(len(both)))
+    return both[root[moved]], both[moved]
 
 
 def _links_out(found) -> pa.RecordBatch:
-    a, b = (x.view("<i8") for x in found)
+    a, b = (np.ascontiguousarray(x).view("<i8") for x in found)
     a, b = np.minimum(a, b), np.maximum(a, b)
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None, hot: int = HOT) -> DataFrame:
-    """``a < b``: the distinct pairs of distinct fingerprints within ``radius`` (at most 3).
+    """``a < b``: pairs that connect what links within ``radius`` (at most 3) connect.
 
-    ``fps`` holds distinct fingerprints. ``blocks`` defaults by their number so
+    ``fps`` holds distinct fingerprints. All pairs of a bucket are compared, but a
+    group of near copies gives a row per member, not per pair. ``blocks`` defaults by their number so
     that buckets stay small; the links do not depend on it.
     """
     spark = fps.sparkSession
