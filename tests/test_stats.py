@@ -66,7 +66,7 @@ def test_kde_integrates_to_one(spark):
     step = k[1]["x"] - k[0]["x"]
     area = sum(r["density"] for r in k) * step
     assert 0.8 < area <= 1.0
-    kb = distribution.kde(df, "v", grid=200, binned=True, bins=512).orderBy("point").collect()
+    kb = distribution.kde(df, "v", grid=200, bins=512).orderBy("point").collect()
     assert max(abs(a["density"] - b["density"]) for a, b in zip(k, kb)) < 1e-3
 
 

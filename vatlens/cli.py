@@ -4,7 +4,7 @@
     predict    --model DIR --input X.csv --output OUT [--keep-all] [--stats batch|model]
     benchmark  --model DIR --data X.csv [--target T]
     clean      --data X.csv --out OUT [--csv]
-    eda        --data X.csv --out DIR --numeric C --category C [--hue C] [--value C]
+    eda        --data X.csv --out DIR --numeric C --category C [--hue C] [--value C] [--key C | --order-by C...]
 
 Paths are anything Spark reads (local, HDFS, object stores); CSV inputs use
 pandas' missing-value tokens. The bioprocess preset supplies the derived
@@ -69,7 +69,8 @@ def cmd_clean(spark, a):
 def cmd_eda(spark, a):
     from vatlens.plans.eda import eda_report
     rep = eda_report(_read(spark, a.data), a.numeric, a.category, a.hue, a.value,
-                     fill_median=a.fill_median or (), fill_mode=a.fill_mode or (), out=a.out)
+                     fill_median=a.fill_median or (), fill_mode=a.fill_mode or (), out=a.out,
+                     key=a.key, order_by=a.order_by)
     print(json.dumps({"tables": sorted(rep), "out": a.out}))
 
 
@@ -110,6 +111,8 @@ def build_parser() -> argparse.ArgumentParser:
     e.add_argument("--category", required=True)
     e.add_argument("--hue", default=None)
     e.add_argument("--value", default=None)
+    e.add_argument("--key", default=None, help="column that identifies a row (bootstrap intervals)")
+    e.add_argument("--order-by", nargs="*", default=None, help="row order, if there is no key")
     e.add_argument("--fill-median", nargs="*")
     e.add_argument("--fill-mode", nargs="*")
     e.set_defaults(func=cmd_eda)

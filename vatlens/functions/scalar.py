@@ -28,13 +28,16 @@ def format_fixed(x, decimals: int) -> Column:
     """
     x = _c(x).cast("double")
     scale = 10 ** decimals
-    units = F.floor(F.abs(x) * F.lit(float(scale)) + F.lit(0.5)).cast("long")
+    # beyond 2^53 a double has no fraction, and its units may not fit in a long
+    large = F.abs(x) >= F.lit(float(2 ** 53))
+    units = F.floor(F.when(large, F.lit(0.0)).otherwise(F.abs(x)) * F.lit(float(scale)) + F.lit(0.5)).cast("long")
+    huge = F.abs(x).try_cast("decimal(38,0)").cast("string")
     whole = (units / F.lit(scale)).cast("long") if decimals else units
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
     if decimals == 0:
-        return F.when(x.isNotNull(), F.concat(sign, whole.cast("string")))
+        return F.when(x.isNotNull(), F.concat(sign, F.when(large, huge).otherwise(whole.cast("string"))))
     frac = F.lpad((units % F.lit(scale)).cast("string"), decimals, "0")
-    return F.when(x.isNotNull(), F.concat(sign, whole.cast("string"), F.lit("."), frac))
+    return F.when(x.isNotNull(), F.concat(sign, F.when(large, huge).otherwise(whole.cast("string")), F.lit("."), frac))
 
 
 def thousands(n) -> Column:

@@ -1,8 +1,8 @@
 """Bootstrap confidence intervals of group means.
 
 Poisson bootstrap: instead of resampling n rows with replacement, every row
-takes a weight ~ Poisson(1) in each replicate, drawn from a hash of
-``(row key, replicate, seed)`` - deterministic, no shuffle of the rows and
+takes a weight ~ Poisson(1) in each replicate, drawn from the MD5 of
+``(row key, replicate, seed)`` - deterministic in any engine, no shuffle of the rows and
 no driver-side sampling. Each row expands into ``replicates`` weighted
 copies inside the generator that feeds the partial aggregate, so the
 shuffle carries at most groups x replicates partial sums per task; a hot
@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vatlens.operators.cleaning import to_number
 from vatlens.session import spread
 
 
@@ -42,24 +43,36 @@ def poisson1(u: Column, kmax: int = 12) -> Column:
     return e
 
 
-def _uniform(key: Column, rep: Column, seed: int) -> Column:
-    h = F.xxhash64(key, rep, F.lit(seed))
-    return (F.abs(h % F.lit(1 << 52))).cast("double") / F.lit(float(1 << 52))
+#: Replicates that one MD5 of (row key, block of replicates, seed) serves: 32 bits each.
+_PER_HASH = 4
+
+
+def _uniform(digest: Column, part: Column) -> Column:
+    """Uniform in [0, 1): one of the four 32-bit parts of an MD5 in hexadecimal."""
+    word = F.conv(F.substring(digest, part * 8 + 1, F.lit(8)), 16, 10).cast("double")
+    return word / F.lit(float(1 << 32))
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, by: Sequence[str] | None = None,
                       key: str | None = None, replicates: int = 1000, level: float = 0.95,
                       seed: int = 42) -> DataFrame:
-    """``(*by, mean, ci_lo, ci_hi, n)``; ``key`` identifies rows (default: the value)."""
+    """``(*by, mean, ci_lo, ci_hi, n)``; ``key`` names the column that identifies a row.
+
+    Rows that share a key share their weights, so a value cannot stand in for it.
+    """
+    if not key:
+        raise ValueError("bootstrap weights need a row key: name a column that identifies the rows")
     keys = _names(by)
-    k = F.col(key) if key else F.col(value)
-    base = df.select(*keys, F.col(value).cast("double").alias("_v"), k.alias("_k")) \
-             .filter(F.col("_v").isNotNull())
+    base = df.select(*keys, to_number(F.col(value), df.schema[value].dataType).alias("_v"),
+                     F.col(key).cast("string").alias("_k")).filter(F.col("_v").isNotNull())
     means = base.groupBy(*keys).agg(F.avg("_v").alias("mean"),
                                     F.count(F.lit(1)).cast("long").alias("n"))
-    ex = spread(base).select(*keys, "_v", "_k",
-                     F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_r"))
-    w = poisson1(_uniform(F.col("_k"), F.col("_r"), seed))
+    blocks = -(-replicates // _PER_HASH)
+    ex = spread(base).select(*keys, "_v", "_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")) \
+        .select(*keys, "_v", "_b", F.md5(F.concat_ws(":", "_k", "_b", F.lit(seed)).cast("binary")).alias("_h"))
+    ex = ex.select(*keys, "_v", "_h", "_b", F.explode(F.sequence(F.lit(0), F.lit(_PER_HASH - 1))).alias("_p")) \
+        .withColumn("_r", F.col("_b") * _PER_HASH + F.col("_p")).filter(F.col("_r") < replicates)
+    w = poisson1(_uniform(F.col("_h"), F.col("_p")))
     reps = ex.groupBy(*keys, "_r").agg(F.sum(w * F.col("_v")).alias("_sw"),
                                       F.sum(w).alias("_w"))
     reps = reps.withColumn("_m", F.try_divide(F.col("_sw"), F.col("_w").cast("double")))

@@ -61,7 +61,7 @@ def drop_incomplete(df: DataFrame, subset: Sequence[str] | None = None) -> DataF
 
 # ---------------------------------------------------------------- P5, P3, P4
 def to_number(col: str | Column, dtype: T.DataType | None = None) -> Column:
-    """P5: numeric coercion, unparsable text -> NULL (``to_numeric(errors='coerce')``).
+    """P5: numeric coercion, unparsable text and NaN -> NULL (``to_numeric(errors='coerce')``).
 
     ``dtype`` is the source type when known: numerics are cast, booleans go
     through 0/1, text is trimmed and ``try_cast`` with a guard against Java
@@ -70,11 +70,13 @@ def to_number(col: str | Column, dtype: T.DataType | None = None) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
+    null = F.lit(None).cast("double")
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.nanvl(c.cast("double"), null)
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
     s = c.cast("string")
-    return F.when(s.rlike(_JAVA_SUFFIX), F.lit(None).cast("double")).otherwise(
-        F.trim(s).try_cast("double"))
+    return F.when(s.rlike(_JAVA_SUFFIX), null).otherwise(F.nanvl(F.trim(s).try_cast("double"), null))
 
 
 def align_columns(df: DataFrame, features: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
@@ -167,7 +169,9 @@ def pending(df: DataFrame, flag_col: str = "approved") -> DataFrame:
 
 # ---------------------------------------------------------------- P12, P13
 def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Replace NULL with the column's exact median (linear interpolation).
+    """Replace NULL and NaN with the column's exact median (linear interpolation).
+
+    The median of integers can lie between two of them, so filled columns are double.
 
     The medians come from the distributed exact quantile (``quantiles``) and
     enter the plan as literals. (``ml.Imputer`` takes a lower median, not the
@@ -177,10 +181,11 @@ def fill_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     if not cols:
         return df
     from vatlens.operators.quantiles import quantile_row
+    df = df.withColumns({c: to_number(F.col(c), df.schema[c].dataType) for c in cols})
     q = quantile_row(df, cols, [0.5])
     row = {c: q.get((c, 0.5)) for c in cols}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c]).cast(df.schema[c].dataType))
-                           if row[c] is not None else F.col(c) for c in cols})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c])) if row[c] is not None else F.col(c)
+                           for c in cols})
 
 
 def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -249,8 +254,10 @@ def missing_mask(df: DataFrame, cols: Sequence[str] | None = None,
                  keep: Sequence[str] | None = None, suffix: str = "_missing") -> DataFrame:
     """Per-row 0/1 missing indicator for each column (heat-map data)."""
     cols = _names(cols) or [c for c in df.columns if c not in _names(keep)]
+    fl = {c for c, t in df.dtypes if t in ("double", "float")}
     return df.select(*[F.col(k) for k in _names(keep)],
-                     *[F.col(c).isNull().cast("int").alias(c + suffix) for c in cols])
+                     *[(F.col(c).isNull() | (F.isnan(F.col(c)) if c in fl else F.lit(False)))
+                       .cast("int").alias(c + suffix) for c in cols])
 
 
 # ---------------------------------------------------------------- P21

@@ -7,10 +7,8 @@ shuffle carries at most bins x groups rows per task). Empty bins come from a
 
 The density curve generates one (value, grid point) row per grid point and
 sums it in the partial aggregate right behind the generator (small inputs
-are first spread over all cores); ``binned=True`` first reduces the values
-to a fixed number of equal-width bins (weighted by count) and evaluates the
-curve from them, which bounds the cost at any row count; it is chosen
-automatically beyond ``exact_rows`` values per group.
+are first spread over all cores). Values are first reduced to a fixed number
+of equal-width bins (mean and count), which bounds the cost at any row count.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vatlens.operators.cleaning import to_number
 from vatlens.session import spread
 
 
@@ -90,6 +89,9 @@ def histogram(df: DataFrame, col: str, bins: int = 20, lo: float | None = None,
     Output ``(*by, bin, bin_lo, bin_hi, n)`` with every bin present (0 counts).
     """
     keys = _names(by)
+    df = df.withColumn(col, to_number(F.col(col), df.schema[col].dataType))   # NaN is missing
+    for k in keys:   # rows without a class are in no class, as in pandas
+        df = df.filter(F.col(k).isNotNull())
     if lo is None or hi is None:
         mn, mx = value_range(df, col)
         lo = mn if lo is None else lo
@@ -148,35 +150,34 @@ def histogram_auto(df: DataFrame, col: str, by: Sequence[str] | None = None) ->
 
 # ---------------------------------------------------------------- A15, A17
 def kde(df: DataFrame, col: str, by: Sequence[str] | None = None, grid: int = 200,
-        binned: bool | None = None, bins: int = 4096, exact_rows: int = 5_000_000) -> DataFrame:
+        bins: int = 4096, cut: float = 0.0) -> DataFrame:
     """Gaussian KDE on ``grid`` points over the data range, Scott bandwidth.
 
+    Values are reduced to at most ``bins`` (mean, count) pairs per group first, at every
+    size, so the grid meets a bounded number of rows. ``cut`` extends the grid by that
+    many bandwidths on either side, as a violin is drawn. A group of one value has no
+    bandwidth and a NULL density.
+
     bandwidth = sample std * n^(-1/5); output ``(*by, point, x, density, n)``;
     ``density * n * bin_width`` gives the count-scaled curve of a histogram.
     Per group when ``by`` is given (each group its own range and bandwidth).
     """
     keys = _names(by)
-    x = F.col(col).cast("double")
+    x = to_number(F.col(col), df.schema[col].dataType)
     base = df.select(*keys, x.alias("_v")).filter(F.col("_v").isNotNull())
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     stats = stats.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    if binned is None:
-        # exact up to ``exact_rows`` values per group, binned beyond: the
-        # grid x rows cost would otherwise grow with the table
-        biggest = stats.agg(F.max("_n")).first()[0] or 0
-        binned = biggest > exact_rows
-    if binned:
-        # reduce rows to (bin centre, count) first; bounded by bins per group
-        w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-        b = attach(base, stats, keys)
-        idx = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(w > 0, w).otherwise(F.lit(1.0))),
-                      F.lit(bins - 1))
-        base = (b.withColumn("_b", idx).groupBy(*keys, "_b")
-                .agg(F.avg("_v").alias("_v"), F.count(F.lit(1)).cast("double").alias("_w")))
-    else:
-        base = base.withColumn("_w", F.lit(1.0))
+    # rows to (bin mean, count), combined map-side; bounded by bins per group
+    w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
+    b = attach(base, stats, keys)
+    idx = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(w > 0, w).otherwise(F.lit(1.0))),
+                  F.lit(bins - 1))
+    base = (b.withColumn("_b", idx).groupBy(*keys, "_b")
+            .agg(F.avg("_v").alias("_v"), F.count(F.lit(1)).cast("double").alias("_w")))
+    reach = F.coalesce(F.col("_bw") * F.lit(float(cut)), F.lit(0.0))
+    stats = stats.withColumns({"_lo": F.col("_lo") - reach, "_hi": F.col("_hi") + reach}) if cut else stats
     j = attach(base, stats, keys)
     # one generated row per (value, grid point), summed map-side by the
     # partial aggregate right after the generator (no wide rows, no shuffle
@@ -185,7 +186,7 @@ def kde(df: DataFrame, col: str, by: Sequence[str] | None = None, grid: int = 20
                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(grid - 1)
     gx = F.col("_lo") + step * F.col("point")
-    u = (gx - F.col("_v")) / F.col("_bw")
+    u = F.try_divide(gx - F.col("_v"), F.col("_bw"))
     acc = j.groupBy(*keys, "point", "_n", "_lo", "_hi", "_bw").agg(
         F.sum(F.col("_w") * F.exp(F.lit(-0.5) * u * u)).alias("_s"))
     norm = F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2.0 * math.pi))

@@ -18,7 +18,7 @@ from vatlens.functions.scalar import basename, format_fixed
 RUNS_SCHEMA = ("id long, username string, timestamp timestamp, inputs string, "
                "results string, model_name string")
 PAGE_SIZE = 10           # fixed value: rows per history page
-EXPORT_LIMIT = 1000      # fixed value: rows in a history export
+EXPORT_LIMIT = 1000      # fixed value: rows in a history export page of the dashboard
 
 
 def prediction_run(scored: DataFrame, score: str, username: str, file: str,
@@ -116,8 +116,8 @@ def lookup_run(runs: DataFrame, run_id: int, username: str) -> DataFrame:
     return runs.filter((F.col("id") == F.lit(run_id)) & (F.col("username") == F.lit(username)))
 
 
-def export_history(runs: DataFrame, username: str, limit: int | None = EXPORT_LIMIT) -> DataFrame:
-    """A user's history newest first; ``limit=None`` exports everything."""
+def export_history(runs: DataFrame, username: str, limit: int | None = None) -> DataFrame:
+    """A user's history newest first, all of it unless ``limit`` is given."""
     out = user_runs(runs, username).orderBy(F.desc("timestamp"), F.desc("id"))
     return out.limit(limit) if limit is not None else out
 

@@ -44,26 +44,41 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: Sequence[str],
     return old.unionByName(fresh)
 
 
+def _last_per_key(df: DataFrame, keys: list[str], version: Sequence[str]) -> DataFrame:
+    """One row per key: the last write by ``version``; equal versions go by the other columns."""
+    order = _names(version)
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    rec = F.struct(*[F.col(c) for c in others])
+    g = df.groupBy(*keys).agg(F.max_by(rec, F.struct(*[F.col(c) for c in order], rec)).alias("_vl_r"))
+    return g.select(*keys, *[F.col("_vl_r." + c).alias(c) for c in others]).select(*df.columns)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str],
-           order_by: Sequence[str] | None = None) -> DataFrame:
+           version: Sequence[str] = ()) -> DataFrame:
     """M2: ``ON CONFLICT DO UPDATE``: the new row wins on a key conflict.
 
     ``old`` minus the keys present in ``new`` (``left_anti``), plus ``new``.
     Only the delta's keys have to meet the old table: AQE broadcasts them
     when the delta is small, and the old table is never re-aggregated.
-    Duplicate keys inside ``new`` keep one row (the first by ``order_by``).
+    Of several new rows of a key the last write by ``version`` wins.
     """
     keys = _names(keys)
     cols = old.columns
-    fresh = _first_per_key(new.select(*cols), keys, order_by)   # delta-sized shuffle
+    extra = [c for c in _names(version) if c not in cols]
+    fresh = _last_per_key(new.select(*cols, *extra), keys, version).select(*cols)   # delta-sized shuffle
     kept = old.join(fresh.select(*keys), on=keys, how="left_anti")
     return kept.unionByName(fresh).select(*cols)
 
 
 def update_by_key(df: DataFrame, changes: DataFrame, keys: Sequence[str],
-                  cols: Sequence[str]) -> DataFrame:
-    """M3: set ``cols`` from ``changes`` on matching keys (one change row per key)."""
+                  cols: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
+    """M3: set ``cols`` from ``changes`` on matching keys; of several changes of a key the
+    last by ``version`` holds, so no row is ever duplicated."""
     keys, cols = _names(keys), _names(cols)
+    extra = [c for c in _names(version) if c not in cols + keys]
+    changes = _last_per_key(changes.select(*keys, *cols, *extra), keys, version)
     ch = changes.select(*keys, *[F.col(c).alias("_vl_new_" + c) for c in cols],
                         F.lit(True).alias("_vl_hit"))
     j = df.join(ch, on=keys, how="left")

@@ -96,9 +96,11 @@ def batch_stats(df: DataFrame, value: str, batch: Sequence[str] | None = None) -
 
 
 def beyond(value: Column, threshold: Column, condition: Column | str) -> Column:
-    """Strict side test: ``above`` -> value > thr, ``below`` -> value < thr."""
+    """Strict side test: ``above`` -> value > thr, ``below`` -> value < thr; any other
+    condition is never met."""
     cond = F.lit(condition) if isinstance(condition, str) else condition
-    return F.when(cond == "below", value < threshold).otherwise(value > threshold)
+    return F.when(cond == "below", value < threshold).when(cond == "above", value > threshold) \
+        .otherwise(F.lit(False))
 
 
 def violators(df: DataFrame, value: str, threshold, condition="above",
@@ -139,7 +141,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     aggs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
+            x, y = (F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (a, b))
             both = x.isNotNull() & y.isNotNull()
             xs, ys = F.when(both, x), F.when(both, y)
             if a == b:
@@ -194,6 +196,16 @@ def zscore(df: DataFrame, cols: Sequence[str] | dict, partition_by: Sequence[str
     return j.drop(*[c for c in stats.columns])
 
 
+def zscore_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, float]]:
+    """Mean and population std of each column, as a model keeps them for scoring."""
+    cols = _names(cols)
+    if not cols:
+        return {}
+    row = df.agg(*[F.avg(c).alias(f"{c}|mean") for c in cols],
+                 *[F.stddev_pop(c).alias(f"{c}|std") for c in cols]).first().asDict()
+    return {c: {"mean": row[f"{c}|mean"], "std": row[f"{c}|std"]} for c in cols}
+
+
 def column_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, float]]:
     """Median, mean and population std per column in one aggregate (L1 prep).
 
@@ -218,11 +230,12 @@ def regression_metrics(df: DataFrame, y: str, yhat: str,
 
     R² = 1 - SSE/SST with SST = n * var_pop(y) (numerically stable moments);
     constant y gives 1 when SSE is 0 else 0; fewer than two rows give NULL.
-    Only rows with both values are scored.
+    Only rows with both values are scored; NaN counts as missing.
     """
-    e = F.col(y) - F.col(yhat)
-    both = F.col(y).isNotNull() & F.col(yhat).isNotNull()
-    yy, ee = F.when(both, F.col(y)), F.when(both, e)
+    null = F.lit(None).cast("double")
+    y, yhat = (F.nanvl(F.col(c).cast("double"), null) for c in (y, yhat))
+    both = y.isNotNull() & yhat.isNotNull()
+    yy, ee = F.when(both, y), F.when(both, y - yhat)
     aggs = [F.count(ee).cast("long").alias("n"), F.sum(ee * ee).alias("_vl_sse"),
             F.var_pop(yy).alias("_vl_var"), F.avg(F.abs(ee)).alias("mae"),
             F.sqrt(F.avg(ee * ee)).alias("rmse")]

@@ -35,7 +35,7 @@ def train(spark: SparkSession, raw: DataFrame, spec: FeatureSpec, target: str, o
     """
     raw = cleaning.strip_column_names(raw)
     if target not in raw.columns:
-        raise ValueError(f"Target column '{target}' not in data")
+        raise ValueError(f"no column {target!r} to train on; columns are {raw.columns}")
     clean = preprocess(raw, spec, strict=True)
     if snapshot:
         files.snapshot(raw, clean, f"{out}/data")
@@ -45,6 +45,7 @@ def train(spark: SparkSession, raw: DataFrame, spec: FeatureSpec, target: str, o
     features = [c for c in features if c in numeric]
     fold = split.block_folds(clean, spec.order_by, folds, spec.partition_by or None)
     model = linear.fit_ridge_cv(fold, features, target, "fold", alphas)
+    model.zstats = summary.zscore_stats(clean, [c for c in spec.zscores if c in clean.columns])
     feature_schema.save_linear_model(spark, model, f"{out}/model")
     rec = feature_schema.feature_schema_record(spark, clean, target, features, algo=model.algo,
                                                rows=model.n)
@@ -57,29 +58,43 @@ def training_r2(model: linear.LinearModel, clean: DataFrame) -> DataFrame:
     return summary.regression_metrics(model.transform(clean), model.target, "prediction")
 
 
+def numeric_inputs(raw: DataFrame, spec: FeatureSpec, model: linear.LinearModel) -> DataFrame:
+    """Align a batch: NaN is missing, and what the derivations and the model read is a
+    number (text that is none becomes missing). Row order columns stay as they are."""
+    raw = cleaning.nan_to_null(cleaning.strip_column_names(raw))
+    keep = {*spec.order_by, *spec.partition_by}
+    wanted = [c for c in raw.columns if c in spec.inputs() | set(model.features) and c not in keep]
+    return raw.withColumns({c: cleaning.to_number(F.col(c), raw.schema[c].dataType) for c in wanted}) \
+        if wanted else raw
+
+
 def predict(spark: SparkSession, raw: DataFrame, model: linear.LinearModel, spec: FeatureSpec,
             output: str = "processed", stats: str = "batch", row_id: str | None = None,
             name: str = "prediction") -> DataFrame:
-    """Preprocess -> align to the model's features -> score.
+    """Drop incomplete rows -> align to numbers -> derive -> score.
 
-    ``output="input"`` keeps every raw row (J1 without a join: the score is
-    NULL where preprocessing would drop the row; needs no row id).
+    A row is incomplete if a cell is missing in the input; a cell that is there but
+    no number counts as missing for the model, which fills in its median.
+    ``output="input"`` keeps every raw row (J1 without a join: incomplete rows come
+    back with NULL derived columns and a NULL score; needs no row id).
     """
     zstats = None
     if stats == "model":
-        zstats = {s: {"mean": model.means[model.features.index(o)],
-                      "std": model.stds[model.features.index(o)]}
-                  for s, o in spec.zscores.items() if o in model.features}
-    if output == "processed":
-        x = preprocess(raw, spec, strict=False, zscore_stats=zstats)
-        return model.transform(x, name)
-    # keep all rows: derive on the complete rows' statistics, null the rest
-    x = preprocess(raw, spec, strict=False, drop_missing=False, zscore_stats=zstats)
+        lost = [s for s, o in spec.zscores.items() if o in model.features and s not in model.zstats]
+        if lost:
+            raise ValueError(f"the model has no training statistics of {lost}; train it again")
+        zstats = {s: model.zstats[s] for s in spec.zscores if s in model.zstats}
+    raw = cleaning.nan_to_null(cleaning.strip_column_names(raw))
     complete = F.lit(True)
-    for c in cleaning.strip_column_names(raw).columns:
-        complete = complete & F.col(c).isNotNull()
+    for c in raw.columns:
+        complete = complete & F.col(f"`{c}`").isNotNull()
+    x = preprocess(numeric_inputs(raw.filter(complete), spec, model), spec, strict=False,
+                   drop_missing=False, zscore_stats=zstats)
     scored = model.transform(x, name)
-    return scored.withColumn(name, F.when(complete, F.col(name)))
+    if output == "processed":
+        return scored
+    rest = numeric_inputs(raw.filter(~complete), spec, model)
+    return scored.unionByName(rest, allowMissingColumns=True)
 
 
 def benchmark(raw: DataFrame, model: linear.LinearModel, spec: FeatureSpec,
@@ -98,14 +113,14 @@ def score_with_python_model(df: DataFrame, features: list[str],
     Arrow batches of at most ``batch_size`` rows go through ``mapInPandas``;
     order and partitioning are kept, every partition scores in parallel.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_size))
     schema = T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            pdf[name] = pd.Series(predict_fn(pdf[features]), index=pdf.index).astype("float64")
-            yield pdf
+        for arrived in batches:
+            for at in range(0, len(arrived), batch_size):
+                pdf = arrived.iloc[at:at + batch_size].copy()
+                pdf[name] = pd.Series(predict_fn(pdf[features]), index=pdf.index).astype("float64")
+                yield pdf
 
     return df.mapInPandas(run, schema)
 

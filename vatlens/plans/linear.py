@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vatlens.operators.cleaning import to_number
 from vatlens.operators.quantiles import exact_quantiles, quantile_row
 
-# RidgeCV's alpha grid in the reference: 13 values, logspace(-3, 3).
+# The alpha grid of the ridge search, 13 values from 1e-3 to 1e3.
 RIDGE_ALPHAS = [float(a) for a in np.logspace(-3, 3, 13)]
 
 
@@ -42,11 +42,12 @@ class LinearModel:
     n: int = 0
     algo: str = "ols"
     cv: list[dict] = field(default_factory=list)
+    zstats: dict = field(default_factory=dict)   # raw column -> training mean and std (z-scores)
 
     # ------------------------------------------------------------ scoring
-    def scaled(self, i: int) -> Column:
+    def scaled(self, i: int, types: dict | None = None) -> Column:
         f = self.features[i]
-        x = F.col(f).cast("double")
+        x = to_number(F.col(f), types[f]) if types else F.col(f).cast("double")
         if self.medians[i] is not None:
             x = F.coalesce(x, F.lit(self.medians[i]))
         s = self.stds[i]
@@ -54,11 +55,12 @@ class LinearModel:
             return F.lit(0.0)
         return (x - F.lit(self.means[i])) / F.lit(s)
 
-    def prediction(self) -> Column:
+    def prediction(self, types: dict | None = None) -> Column:
+        """``types`` (column -> source type) makes text that is no number a missing value."""
         e = F.lit(self.intercept)
         for i, w in enumerate(self.coef):
             if w:
-                e = e + F.lit(w) * self.scaled(i)
+                e = e + F.lit(w) * self.scaled(i, types)
         return e
 
     def transform(self, df: DataFrame, name: str = "prediction") -> DataFrame:
@@ -66,7 +68,7 @@ class LinearModel:
         missing = [f for f in self.features if f not in df.columns]
         if missing:
             df = df.withColumns({f: F.lit(None).cast("double") for f in missing})
-        return df.withColumn(name, self.prediction())
+        return df.withColumn(name, self.prediction({f.name: f.dataType for f in df.schema.fields}))
 
     def raw_coefficients(self) -> tuple[float, list[float]]:
         """Coefficients on the original feature scale (after imputation)."""

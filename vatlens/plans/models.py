@@ -29,13 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vatlens.operators import ordered, summary
+from vatlens.operators.cleaning import to_number
 from vatlens.plans import linear
 from vatlens.plans.split import hash_bucket
 
 
 def _imputed(df: DataFrame, features: Sequence[str], medians: Sequence) -> DataFrame:
-    return df.withColumns({f"_f{i}": (F.coalesce(F.col(f).cast("double"), F.lit(m)) if m is not None
-                                      else F.col(f).cast("double"))
+    x = {f: to_number(F.col(f), df.schema[f].dataType) for f in features}
+    return df.withColumns({f"_f{i}": F.coalesce(x[f], F.lit(m)) if m is not None else x[f]
                            for i, (f, m) in enumerate(zip(features, medians))})
 
 
@@ -81,7 +82,8 @@ class TreeModel:
 def fit_tree(df: DataFrame, features: Sequence[str], target: str, kind: str = "rf",
              seed: int = 42, num_trees: int = 300, max_depth: int | None = None,
              max_bins: int = 128) -> TreeModel:
-    """L4 (``kind='rf'``: 300 trees, all features per split) / L5 (``'gbt'``: 100 x 0.1, depth 3)."""
+    """L4 (``kind='rf'``: 300 trees, all features per split, depth 30, the most MLlib
+    grows) / L5 (``'gbt'``: 100 x 0.1, depth 3)."""
     features = list(features)
     medians, _, _ = linear.prep_statistics(df, features, target)
     x = _imputed(df.filter(F.col(target).isNotNull()), features, medians)
@@ -89,7 +91,7 @@ def fit_tree(df: DataFrame, features: Sequence[str], target: str, kind: str = "r
                           outputCol="_vl_features", handleInvalid="keep")
     if kind == "rf":
         est = RandomForestRegressor(featuresCol="_vl_features", labelCol=target, numTrees=num_trees,
-                                    featureSubsetStrategy="all", maxDepth=max_depth or 10,
+                                    featureSubsetStrategy="all", maxDepth=max_depth or 30,
                                     maxBins=max_bins, seed=seed, bootstrap=True,
                                     maxMemoryInMB=1024)
     elif kind == "gbt":

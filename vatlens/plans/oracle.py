@@ -6,6 +6,8 @@ returns the same column names; doubles are rounded to 6 places like ``_r6``.
 
 from __future__ import annotations
 
+import math
+
 EV = ("SELECT event_id, ts, user_id, event_type, value, "
       "CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
 EVN = ("SELECT event_id, ts, user_id, event_type, "
@@ -225,11 +227,13 @@ def _kde_sql(by: str | None) -> str:
     x = "(lo + (hi - lo) / 199 * p)"
     u = f"(({x} - v) / bw)"
     return f"""
-WITH e AS (SELECT {keys}value AS v FROM ({EV}) q WHERE value IS NOT NULL),
-s AS (SELECT {keys}count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM e {grp}),
+WITH e0 AS (SELECT {keys}value AS v FROM ({EV}) q WHERE value IS NOT NULL),
+s AS (SELECT {keys}count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo, max(v) AS hi FROM e0 {grp}),
 s2 AS (SELECT *, sd * pow(n, -0.2) AS bw FROM s),
+e AS (SELECT {keys}avg(v) AS v, count(*) AS w
+      FROM (SELECT e0.*, least(floor((v - lo) / ((hi - lo) / 4096)), 4095) AS b FROM e0 {join}) GROUP BY {keys}b),
 g AS (SELECT range AS p FROM range(200)),
-acc AS (SELECT {keys}p, n, lo, hi, bw, sum(exp(-0.5 * {u} * {u})) AS sm
+acc AS (SELECT {keys}p, n, lo, hi, bw, sum(w * exp(-0.5 * {u} * {u})) AS sm
         FROM e {join}, g GROUP BY ALL)
 SELECT {keys}CAST(p AS INTEGER) AS point, {R(x)} AS x,
        {R('sm / (n * bw * sqrt(2 * pi()))')} AS density, CAST(n AS BIGINT) AS n FROM acc"""
@@ -486,7 +490,7 @@ RULES = """
 SELECT 'user_' || CAST(c_custkey AS VARCHAR) AS username, c_mktsegment <> 'HOUSEHOLD' AS email_enabled,
        floor(abs(c_acctbal)) / 20.0 AS titer_threshold,
        CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'below' ELSE 'above' END AS condition
-FROM customer WHERE c_nationkey < 20"""
+FROM customer WHERE c_mktsegment <> 'MACHINERY'"""
 
 SCORED = f"""
 SELECT 'user_' || CAST(user_id AS VARCHAR) AS username, user_id, value AS score,
@@ -497,7 +501,7 @@ j AS (SELECT s.*, COALESCE(r.email_enabled, false) AS email_enabled,
              COALESCE(r.titer_threshold, 5.0) AS threshold, COALESCE(r.condition, 'above') AS condition
       FROM ({SCORED}) s LEFT JOIN ({RULES}) r ON s.username = r.username)"""
 
-BEYOND = "(CASE WHEN condition = 'below' THEN {v} < threshold ELSE {v} > threshold END)"
+BEYOND = "(CASE WHEN condition = 'below' THEN {v} < threshold WHEN condition = 'above' THEN {v} > threshold ELSE false END)"
 
 SQL["run_stats"] = f"""
 SELECT user_id, CAST(count(value) AS BIGINT) AS n, {R('avg(value)')} AS mean,
@@ -549,9 +553,6 @@ SELECT CAST(count(*) AS BIGINT) AS n,
        {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
        {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse, max(cut) AS cutoff FROM e"""
 
-SQL["cv_summary"] = SQL["cv_scores"].replace(
-    "SELECT fold, CAST(count(*) AS BIGINT) AS n,", "SELECT fold, CAST(count(*) AS BIGINT) AS n_rows,"
-).replace("FROM e GROUP BY fold", "FROM e GROUP BY fold")
 SQL["cv_summary"] = f"""
 WITH cv AS ({SQL['cv_scores']})
 SELECT {RK('avg(r2)')} AS mean_score, {RK('stddev_pop(r2)')} AS std_score,
@@ -570,7 +571,7 @@ SELECT t, metric, {R('avg(v)')} AS mean, CAST(count(v) AS BIGINT) AS n FROM l GR
 
 SQL["batch_union"] = "\nUNION ALL ".join(f"""
 SELECT CAST(count(value) AS BIGINT) AS n, {R('avg(value)')} AS mean, {R('min(value)')} AS min,
-       {R('max(value)')} AS max, '{b}' AS batch FROM events WHERE event_type = '{b}'""" for b in ["click", "view"])
+       {R('max(value)')} AS max, '{b}' AS batch FROM events WHERE event_type = '{b}'""" for b in ["click", "error", "purchase", "signup", "view"])
 
 SQL["python_model_score"] = f"""
 SELECT event_id, {RK('2.0 * value + ln(1 + k)')} AS prediction FROM ({EV}) e"""
@@ -666,10 +667,113 @@ st AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2)
 z AS (SELECT fold, event_type, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, y FROM base, st),
 """ + _RIDGE_BASE[_RIDGE_BASE.index("fs AS"):]
 
-SQL["flagship"] = f"""
+SQL["flagship_two_features"] = f"""
 WITH {_REFIT.replace(_RIDGE_BASE, _FLAG_BASE)},
 e AS (SELECT z.event_type, z.y, z.y - (b + w1 * z1 + w2 * z2) AS e FROM z, fin2)
 SELECT event_type, CAST(count(*) AS BIGINT) AS n,
        {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
        {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse
 FROM e GROUP BY event_type"""
+
+
+# ------------------------------------------------------------------ keyed changes with versions
+SQL["upsert_versions"] = f"""
+WITH new AS (SELECT l_orderkey AS o_orderkey, arg_max(l_extendedprice, (l_linenumber, l_extendedprice)) AS price
+             FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, {R('price')} AS price FROM new
+UNION ALL SELECT o_orderkey, {R('o_totalprice')} FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM new)"""
+
+SQL["update_versions"] = """
+WITH ch AS (SELECT l_orderkey, arg_max(l_returnflag, (l_linenumber, l_returnflag)) AS f FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey, CASE WHEN l_orderkey IS NULL THEN o_orderstatus ELSE f END AS o_orderstatus
+FROM orders LEFT JOIN ch ON l_orderkey = o_orderkey"""
+
+# ------------------------------------------------------------------ commands
+_BATCH = f"""
+raw AS (SELECT event_id, ts, user_id, event_type,
+               CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value,
+               k IS NOT NULL OR event_id % 13 = 0 AS has_k,
+               CASE WHEN event_id % 13 = 0 THEN NULL ELSE k END AS k FROM ({EVN}) q),
+ok AS (SELECT * FROM raw WHERE event_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL
+       AND event_type IS NOT NULL AND value IS NOT NULL AND has_k),
+st AS (SELECT {{stats}}),
+x AS (SELECT event_id, value, k, value - LAG(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS value_diff,
+             CASE WHEN k <> 0 THEN value / k END AS ratio,
+             CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (value - m) / sd END AS value_z FROM ok, st),
+p AS (SELECT event_id, value, value_diff,
+             3.0 + 1.5 * ((COALESCE(k, 50.0) - 50.0) / 10.0) + -0.5 * ((COALESCE(value_diff, 0.0) - 0.0) / 20.0)
+             + 0.25 * ((COALESCE(ratio, 1.0) - 1.0) / 2.0) + 2.0 * ((value_z - 0.0) / 1.0) AS prediction FROM x)"""
+_TRAINED = f"avg(value) AS m, stddev_pop(value) AS sd FROM ({EVN}) t WHERE {COMPLETE} AND event_type = 'click'"
+_OWN = "avg(value) AS m, stddev_pop(value) AS sd FROM ok"
+
+SQL["predict_model_stats"] = f"""
+WITH {_BATCH.format(stats=_TRAINED)} SELECT event_id, {R('prediction')} AS prediction FROM p"""
+SQL["predict_batch_stats"] = f"""
+WITH {_BATCH.format(stats=_OWN)} SELECT event_id, {R('prediction')} AS prediction FROM p"""
+SQL["predict_keep_all"] = f"""
+WITH {_BATCH.format(stats=_OWN)}
+SELECT raw.event_id, {R('value_diff')} AS value_diff, {R('prediction')} AS prediction
+FROM raw LEFT JOIN p ON raw.event_id = p.event_id"""
+SQL["benchmark_cmd"] = f"""
+WITH {_BATCH.format(stats=_TRAINED)}
+SELECT CAST(count(*) AS BIGINT) AS n,
+       {RK('1 - sum((value - prediction) * (value - prediction)) / (var_pop(value) * count(*))')} AS r2,
+       {RK('avg(abs(value - prediction))')} AS mae,
+       {RK('sqrt(avg((value - prediction) * (value - prediction)))')} AS rmse FROM p"""
+
+_TRAIN_FEATURES = {
+    "event_id": "CAST(event_id AS DOUBLE)", "k": "k", "value_diff": "value_diff", "k_diff": "k_diff", "ratio": "ratio",
+    "value_z": "value_z", "high_flag": "CAST(high_flag AS DOUBLE)", "low_flag": "CAST(low_flag AS DOUBLE)"}
+SQL["train_cmd"] = f"""
+WITH ok AS (SELECT * FROM ({EVN}) q WHERE {COMPLETE}), st AS (SELECT avg(value) AS m, stddev_pop(value) AS sd FROM ok),
+x AS (SELECT event_id, k, value - LAG(value) OVER w AS value_diff, k - LAG(k) OVER w AS k_diff,
+             CASE WHEN k <> 0 THEN value / k END AS ratio, (value - m) / sd AS value_z,
+             CAST(value > 100.0 AS INTEGER) AS high_flag, CAST(k < 50.0 AS INTEGER) AS low_flag
+      FROM ok, st WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""" + "\nUNION ALL ".join(f"""
+SELECT '{f}' AS feature, {i} AS position, {R(f'quantile_cont({e}, 0.5)')} AS median,
+       CAST(count(*) AS BIGINT) AS n, true AS in_schema FROM x""" for i, (f, e) in enumerate(_TRAIN_FEATURES.items()))
+
+# ------------------------------------------------------------------ NaN, null classes, readers
+_NAN = f"SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, k FROM ({EV}) q"
+SQL["nan_metrics"] = f"""
+SELECT CAST(count(value - k) AS BIGINT) AS n,
+       {R('1 - sum((value - k) * (value - k)) / (var_pop(CASE WHEN k IS NOT NULL THEN value END) * count(value - k))')} AS r2,
+       {R('avg(abs(value - k))')} AS mae, {R('sqrt(avg((value - k) * (value - k)))')} AS rmse FROM ({_NAN}) e"""
+SQL["nan_corr"] = f"""
+WITH c AS (SELECT corr(value, k) AS r FROM ({_NAN}) e)
+SELECT a AS col_a, b AS col_b, {R('CASE WHEN a = b THEN 1.0 ELSE r END')} AS corr
+FROM c, (SELECT unnest(['value', 'k']) AS a), (SELECT unnest(['value', 'k']) AS b)"""
+SQL["nan_hist_by_class"] = _hist_sql(
+    "20", f"SELECT event_type, value AS v FROM ({_NAN}) e WHERE event_type <> 'error' ", by="event_type")
+SQL["fill_median_int"] = f"""
+WITH o AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 <> 0 THEN l_linenumber END AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, {R('COALESCE(CAST(x AS DOUBLE), (SELECT quantile_cont(x, 0.5) FROM o))')} AS x FROM o"""
+SQL["pending_rows"] = "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'"
+SQL["strip_and_drop"] = "SELECT n_nationkey, n_name FROM nation"
+SQL["csv_round_trip"] = f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, {R('c_acctbal')} AS c_acctbal, c_mktsegment FROM customer"
+
+# ------------------------------------------------------------------ bootstrap: weights are MD5 parts, so exact
+_EDGES = []
+_P, _CDF = math.exp(-1.0), 0.0
+for _k in range(12):
+    _CDF += _P
+    _EDGES.append(_CDF)
+    _P /= _k + 1
+_WEIGHT = "(CASE " + " ".join(f"WHEN u < {e!r} THEN {k}" for k, e in enumerate(_EDGES)) + " ELSE 12 END)"
+
+
+def _bootstrap_sql(group: str, name: str) -> str:
+    a = (1.0 - 0.95) / 2.0
+    return f"""
+WITH b AS (SELECT {group} AS g, value AS v, event_id FROM ({EV}) q WHERE value IS NOT NULL),
+h AS (SELECT g, v, r, md5(event_id || ':' || r || ':42') AS h FROM b, (SELECT unnest(range(250)) AS r)),
+u AS (SELECT g, v, 4 * r + p AS r, CAST('0x' || substr(h, 8 * p + 1, 8) AS BIGINT) / 4294967296.0 AS u
+      FROM h, (SELECT unnest(range(4)) AS p)),
+m AS (SELECT g, r, sum({_WEIGHT} * v) / sum({_WEIGHT}) AS m FROM u GROUP BY g, r),
+c AS (SELECT g, quantile_cont(m, {a!r}) AS lo, quantile_cont(m, {1.0 - a!r}) AS hi FROM m GROUP BY g)
+SELECT g AS {name}, {R('mean')} AS mean, n, {R('lo')} AS ci_lo, {R('hi')} AS ci_hi
+FROM c JOIN (SELECT g, avg(v) AS mean, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY g) USING (g)"""
+
+
+SQL["bootstrap_ci"] = _bootstrap_sql("event_type", "event_type")
+SQL["trend_ci"] = _bootstrap_sql("strftime(ts, '%Y-%m-%d')", "t")

@@ -429,9 +429,22 @@ def q_cv_scores(spark, d):
     return _rk(linear.cross_validate(p, PART_X1, PART_Y, "fold").select("fold", "n", "r2"))
 
 
+EV_FEATURES = ["k", "value_diff", "k_diff", "ratio", "value_z", "high_flag", "low_flag"]
+
+
 @query("flagship")
 def q_flagship(spark, d):
-    """Preprocess -> fit (ridge, CV folds in time order) -> score -> metrics per batch."""
+    """Preprocess -> fit on every derived feature (ridge, CV folds in time order) -> score -> metrics per batch."""
+    from vatlens.session import materialize
+    x = materialize(preprocess(ev(spark, d), ev_spec(), strict=True))   # folds and fit read the result
+    folds = materialize(split.block_folds(x, ORDER, 5).select("event_type", "fold", "value", *EV_FEATURES))
+    m = linear.fit_ridge_cv(folds, EV_FEATURES, "value", "fold")
+    return _rk(summary.regression_metrics(m.transform(folds), "value", "prediction", group_by=["event_type"]))
+
+
+@query("flagship_two_features")
+def q_flagship_two_features(spark, d):
+    """The same on two features, for which SQL has the solution in closed form."""
     from vatlens.session import materialize
     x = preprocess(ev(spark, d), ev_spec(), strict=True)
     feats = ["k", "k_diff"]
@@ -491,7 +504,7 @@ def q_history_summary(spark, d):
 
 @query("history_export")
 def q_history_export(spark, d):
-    x = history.export_history(runs(spark, d), HIST_USER)
+    x = history.export_history(runs(spark, d), HIST_USER, limit=history.EXPORT_LIMIT)
     return x.select("id", "username", scalar.date_part("timestamp").alias("day"))
 
 
@@ -527,6 +540,24 @@ def q_upsert_latest(spark, d):
     return _r6(keyed.upsert(old, new, ["o_orderkey"]))
 
 
+@query("upsert_versions")
+def q_upsert_versions(spark, d):
+    """M2 with several new rows of a key: the last line of the order wins."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    new = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"),
+                                             F.col("l_extendedprice").alias("price"), "l_linenumber")
+    return _r6(keyed.upsert(o, new, ["o_orderkey"], version=["l_linenumber"]))
+
+
+@query("update_versions")
+def q_update_versions(spark, d):
+    """M3 with several changes of a key: the last line of the order holds."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    ch = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"),
+                                            F.col("l_returnflag").alias("o_orderstatus"), "l_linenumber")
+    return keyed.update_by_key(o, ch, ["o_orderkey"], ["o_orderstatus"], version=["l_linenumber"])
+
+
 @query("insert_absent")
 def q_insert_absent(spark, d):
     old, new = _orders_old_new(spark, d)
@@ -571,7 +602,8 @@ def q_cascade_delete(spark, d):
 # ------------------------------------------------------------------ alerts
 def rules(spark, d):
     c = table(spark, d, "customer")
-    return c.filter(F.col("c_nationkey") < 20).select(
+    # customers of one segment have no rule of their own
+    return c.filter(F.col("c_mktsegment") != "MACHINERY").select(
         F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("username"),
         (F.col("c_mktsegment") != "HOUSEHOLD").alias("email_enabled"),
         (F.floor(F.abs("c_acctbal")) / F.lit(20.0)).alias("titer_threshold"),
@@ -643,7 +675,7 @@ def q_bootstrap_ci(spark, d):
 def q_trend_ci(spark, d):
     e = ev(spark, d)
     out = bootstrap.trend_with_ci(e, F.to_date("ts").cast("string"), "value", key="event_id",
-                                  replicates=200)
+                                  replicates=1000)
     return _r6(out)
 
 
@@ -676,13 +708,13 @@ def q_rff_score(spark, d):
 @query("model_leaderboard")
 def q_model_leaderboard(spark, d):
     tr, te = _part_split(spark, d)
-    return _r6(models.leaderboard(tr, te, PART_X2, PART_Y, "p_partkey", num_trees=50))
+    return _r6(models.leaderboard(tr, te, PART_X2, PART_Y, "p_partkey"))
 
 
 @query("best_model")
 def q_best_model(spark, d):
     tr, te = _part_split(spark, d)
-    board = models.leaderboard(tr, te, PART_X2, PART_Y, "p_partkey", cv=False, num_trees=50)
+    board = models.leaderboard(tr, te, PART_X2, PART_Y, "p_partkey")
     return _r6(models.best_model(board))
 
 
@@ -735,15 +767,18 @@ def q_trend_buckets(spark, d):
     return _r6(distribution.bucket_trend(e, t, ["value", "k"]))
 
 
+BATCHES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query("batch_union")
 def q_batch_union(spark, d):
-    """Per-batch results concatenated (two batches scored separately)."""
+    """Per-batch results concatenated (every batch scored separately)."""
     e = ev(spark, d)
-    parts = []
-    for b in ["click", "view"]:
+    out = None
+    for b in BATCHES:
         s = summary.batch_stats(e.filter(F.col("event_type") == b), "value").withColumn("batch", F.lit(b))
-        parts.append(s)
-    return _r6(parts[0].unionByName(parts[1]))
+        out = s if out is None else out.unionByName(s)
+    return _r6(out)
 
 
 def _np_model(pdf):
@@ -818,3 +853,129 @@ def q_missing_profile(spark, d):
 def q_preview_rows(spark, d):
     """The first 20 input rows by id (an ordered top-k preview)."""
     return _r6(cleaning.head(ev(spark, d).drop("ts"), 20, ["event_id"]))
+
+
+# ------------------------------------------------------------------ the commands themselves
+CMD_FEATURES = ["k", "value_diff", "ratio", "value_z"]
+
+
+def _cmd_model(spark, d):
+    """A fitted model with fixed weights; its z-score statistics come from the complete click rows."""
+    train = cleaning.drop_incomplete(ev_nulls(spark, d)).filter(F.col("event_type") == "click")
+    return linear.LinearModel(CMD_FEATURES, "value", [50.0, 0.0, 1.0, 0.0], [50.0, 0.0, 1.0, 0.0],
+                              [10.0, 20.0, 2.0, 1.0], [1.5, -0.5, 0.25, 2.0], 3.0,
+                              zstats=summary.zscore_stats(train, ["value"]))
+
+
+def _raw_batch(spark, d):
+    """A batch as it arrives: k is text, with cells that are no number and NaN among the values."""
+    e = ev_nulls(spark, d)
+    return e.withColumns({
+        "k": F.when(F.col("event_id") % 13 == 0, F.lit("n/a")).otherwise(F.col("k").cast("string")),
+        "value": F.when(F.col("event_id") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("value"))})
+
+
+def _predicted(spark, d, **how):
+    from vatlens.plans import commands
+    return commands.predict(spark, _raw_batch(spark, d), _cmd_model(spark, d), ev_spec(), **how)
+
+
+@query("predict_model_stats")
+def q_predict_model_stats(spark, d):
+    """L11 through the command, z-scores with the training statistics."""
+    return _r6(_predicted(spark, d, stats="model").select("event_id", "prediction"))
+
+
+@query("predict_batch_stats")
+def q_predict_batch_stats(spark, d):
+    """L11 through the command, z-scores with the batch's own statistics."""
+    return _r6(_predicted(spark, d, stats="batch").select("event_id", "prediction"))
+
+
+@query("predict_keep_all")
+def q_predict_keep_all(spark, d):
+    """J1 / L11 through the command: every raw row, NULL score where a cell is missing."""
+    return _r6(_predicted(spark, d, output="input").select("event_id", "value_diff", "prediction"))
+
+
+@query("benchmark_cmd")
+def q_benchmark_cmd(spark, d):
+    """L13 through the command."""
+    from vatlens.plans import commands
+    return _rk(commands.benchmark(_raw_batch(spark, d), _cmd_model(spark, d), ev_spec(), stats="model"))
+
+
+@query("train_cmd")
+def q_train_cmd(spark, d):
+    """L19 through the command: what the saved model and schema say, read back."""
+    import uuid
+
+    from vatlens.plans import commands
+    from vatlens.session import checkpoint_dir
+    from vatlens.sources import feature_schema
+    out = f"{checkpoint_dir(spark)}/train-{uuid.uuid4().hex}"
+    commands.train(spark, ev_nulls(spark, d), ev_spec(), "value", out)
+    m = feature_schema.load_linear_model(spark, f"{out}/model")
+    schema = feature_schema.load_feature_schema(spark, f"{out}/schema")
+    rows = [(f, i, md, m.n, schema["features"][i] == f) for i, (f, md) in enumerate(zip(m.features, m.medians))]
+    return _r6(spark.createDataFrame(rows, "feature string, position int, median double, n long, in_schema boolean"))
+
+
+@query("nan_metrics")
+def q_nan_metrics(spark, d):
+    """A10 with NaN among the values: NaN is missing."""
+    e = ev(spark, d).withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return _r6(summary.regression_metrics(e, "value", "k"))
+
+
+@query("nan_corr")
+def q_nan_corr(spark, d):
+    """A8 with NaN: pairwise-complete rows."""
+    e = ev(spark, d).withColumn("value", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    return _r6(summary.corr_matrix(e, ["value", "k"]))
+
+
+@query("nan_hist_by_class")
+def q_nan_hist_by_class(spark, d):
+    """A14 with NaN values and rows without a class."""
+    e = ev(spark, d).withColumns({
+        "value": F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")),
+        "event_type": F.when(F.col("event_type") != "error", F.col("event_type"))})
+    return _r6(distribution.histogram(e, "value", 20, by=["event_type"]))
+
+
+@query("fill_median_int")
+def q_fill_median_int(spark, d):
+    """P12 on an integer column: the filled column is double."""
+    o = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(
+        F.col("l_orderkey") % 3 != 0, F.col("l_linenumber")).cast("int").alias("x"))
+    return _r6(cleaning.fill_median(o, ["x"]))
+
+
+@query("pending_rows")
+def q_pending_rows(spark, d):
+    """P20: rows whose flag is false or missing."""
+    o = table(spark, d, "orders").select("o_orderkey", F.when(
+        F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("approved"))
+    return cleaning.pending(o).select("o_orderkey")
+
+
+@query("strip_and_drop")
+def q_strip_and_drop(spark, d):
+    """Names without blanks, a column dropped, one that is not there ignored."""
+    n = table(spark, d, "nation")
+    n = n.toDF(*[f"  {c} " for c in n.columns])
+    return cleaning.drop_columns(cleaning.strip_column_names(n), ["n_comment", "nothing"]).select("n_nationkey", "n_name")
+
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, d):
+    """A table written as CSV and read back with inferred types."""
+    import uuid
+
+    from vatlens.session import checkpoint_dir
+    from vatlens.sources import files
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    history.write_csv(c, path)
+    return _r6(files.read_csv(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long")))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vatlens.operators.cleaning import to_number
+
 # The cells pandas' read_csv reads as missing by default.
 MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                   "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -58,15 +60,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     for i, c in enumerate(cols):
         v = F.trim(F.col(f"`{c}`"))
         aggs.append(F.bool_and(F.when(v.isNotNull(), v.try_cast("long").isNotNull())).alias(f"l{i}"))
-        aggs.append(F.bool_and(F.when(v.isNotNull(), v.try_cast("double").isNotNull())).alias(f"d{i}"))
+        # a Java suffix (``1d``) is text to pandas, so it is no number here either
+        aggs.append(F.bool_and(F.when(v.isNotNull(), to_number(v).isNotNull())).alias(f"d{i}"))
+        aggs.append(F.bool_and(F.when(v.isNotNull(), v.isin("True", "False", "TRUE", "FALSE", "true", "false")))
+                    .alias(f"b{i}"))
     row = raw.agg(*aggs).first()
     out = []
     for i, c in enumerate(cols):
         v = F.trim(F.col(f"`{c}`"))
-        if row[f"l{i}"] is not False and row[f"l{i}"] is not None:
+        if row[f"l{i}"]:
             out.append(v.try_cast("long").alias(c))
-        elif row[f"d{i}"] is not False and row[f"d{i}"] is not None:
-            out.append(v.try_cast("double").alias(c))
+        elif row[f"d{i}"] or row[f"d{i}"] is None:   # a column without values is double, as in pandas
+            out.append(to_number(v).alias(c))
+        elif row[f"b{i}"]:
+            out.append(v.try_cast("boolean").alias(c))
         else:
             out.append(F.col(f"`{c}`"))
     return raw.select(*out)
