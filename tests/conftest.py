@@ -11,9 +11,14 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from vatlens.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
-    yield s
+    with tempfile.TemporaryDirectory(prefix="vatlens-test-") as folder:
+        s = get_session("local[4]", shuffle_partitions=8, extra={
+            "spark.checkpoint.dir": f"file://{folder}/checkpoints", "spark.sql.warehouse.dir": f"file://{folder}/warehouse"})
+        yield s
+        s.stop()
 
 
 @pytest.fixture()

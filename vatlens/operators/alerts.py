@@ -68,9 +68,13 @@ def batch_alerts(scored: DataFrame, rules: DataFrame, score: str, batch: Sequenc
     return g.withColumn("triggered", trig)
 
 
-def alert_records(alerts: DataFrame, user: str = "username") -> DataFrame:
+def alert_records(alerts: DataFrame, user: str = "username", source: str | None = None,
+                  at=None) -> DataFrame:
     """One record per triggered batch, with a readable one-line message.
 
+    ``source`` and ``at`` (the data source and the run's time) are added as columns
+    ``data_source`` and ``run_time`` when given.
+
     Numbers use fixed decimals (mean/min/max .2f, percent .1f) and thousands
     separators for counts, as in the reference's alert text.
     """
@@ -80,4 +84,12 @@ def alert_records(alerts: DataFrame, user: str = "username") -> DataFrame:
         F.lit(": actual "), format_fixed("mean", 2), F.lit("; "), thousands("n_violators"),
         F.lit(" of "), thousands("n"), F.lit(" rows ("), format_fixed("pct_violators", 1),
         F.lit("%) beyond; min "), format_fixed("min", 2), F.lit(", max "), format_fixed("max", 2))
-    return t.withColumn("message", msg)
+    t = t.withColumn("message", msg)
+    if source is not None:
+        t = t.withColumn("data_source", F.lit(source))
+    return t if at is None else t.withColumn("run_time", F.lit(at).cast("timestamp"))
+
+
+def append_alerts(records: DataFrame, path: str) -> None:
+    """Add alert records to the alert table at ``path``."""
+    records.write.mode("append").parquet(path)

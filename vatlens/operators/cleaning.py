@@ -111,6 +111,17 @@ def alignment_report(spark: SparkSession, columns: Sequence[str], features: Sequ
     return spark.createDataFrame(rows, schema)
 
 
+def alignment_losses(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Per expected column ``(column_name, n_rows, n_lost)``: cells that are there but no
+    number and become NULL, or every row where the column is missing. One pass."""
+    feats, types = _names(features), {f.name: f.dataType for f in df.schema.fields}
+    lost = [F.count_if(F.col(c).isNotNull() & to_number(F.col(c), types[c]).isNull()) if c in types
+            else F.count(F.lit(1)) for c in feats]
+    wide = df.agg(F.count(F.lit(1)).alias("_vl_n"), *[x.cast("long").alias(c) for c, x in zip(feats, lost)])
+    return wide.unpivot(["_vl_n"], feats, "column_name", "n_lost").select(
+        "column_name", F.col("_vl_n").cast("long").alias("n_rows"), "n_lost")
+
+
 # ---------------------------------------------------------------- P7
 def numeric_columns(df: DataFrame, exclude: Sequence[str] | None = None) -> list[str]:
     """Names of numeric columns (booleans excluded)."""
@@ -195,10 +206,13 @@ def fill_mode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         return df
     from vatlens.operators.quantiles import MAP_LIMIT, max_distinct
     # ``mode`` merges one value -> count map per column in a single task:
-    # used only when the distinct count is proven small, otherwise the
-    # counts are a distributed groupBy and only two one-row reductions follow
-    nd = max_distinct(df, cols)
-    small = [c for c in cols if nd[c] <= MAP_LIMIT]
+    # used only while the estimated distinct counts add up to a small number,
+    # otherwise the counts are a distributed groupBy and two one-row reductions
+    nd, held, small = max_distinct(df, cols), 0, []
+    for c in sorted(cols, key=nd.get):
+        held += nd[c]
+        if held <= MAP_LIMIT:
+            small.append(c)
     row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in small]).first().asDict() if small else {}
     for c in cols:
         if c in small:

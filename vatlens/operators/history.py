@@ -71,6 +71,15 @@ def history_page(runs: DataFrame, username: str, page: int = 1,
             .offset((page - 1) * page_size).limit(page_size))
 
 
+def history_after(runs: DataFrame, username: str, timestamp, run_id: int,
+                  page_size: int = PAGE_SIZE) -> DataFrame:
+    """T1 by key: the page after the run ``(timestamp, run_id)``, the last one of the page
+    before. Reads one page at any depth, where an offset gathers all pages before."""
+    last = F.lit(timestamp).cast(runs.schema["timestamp"].dataType)
+    older = (F.col("timestamp") < last) | ((F.col("timestamp") == last) & (F.col("id") < F.lit(run_id)))
+    return user_runs(runs, username).filter(older).orderBy(F.desc("timestamp"), F.desc("id")).limit(page_size)
+
+
 def page_counts(runs: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """A4 + T2: runs per user and the page count ``max(1, ceil(n / size))``."""
     g = runs.groupBy("username").agg(F.count(F.lit(1)).cast("long").alias("n_runs"))
@@ -86,20 +95,21 @@ def history_summary(runs: DataFrame) -> DataFrame:
     ``Mean: <mean_pred .2f> | Rows: <count>``; a run without a mode reads
     ``N/A``.
     """
-    r = F.col("results")
-    r2 = F.get_json_object(r, "$.R2").cast("double")
-    rmse = F.get_json_object(r, "$.RMSE").cast("double")
-    mean = F.get_json_object(r, "$.mean_pred").cast("double")
-    cnt = F.get_json_object(r, "$.count")
-    summary = (F.when(r2.isNotNull() | F.get_json_object(r, "$.R2").isNotNull(),
-                      F.concat(F.lit("R²: "), format_fixed(r2, 3), F.lit(" | RMSE: "), format_fixed(rmse, 3)))
-               .when(F.get_json_object(r, "$.mean_pred").isNotNull(),
-                     F.concat(F.lit("Mean: "), format_fixed(mean, 2), F.lit(" | Rows: "), cnt))
+    # one parse of each document
+    parsed = runs.select("id", "timestamp", "model_name",
+                         F.from_json("results", "R2 string, RMSE string, mean_pred string, count string").alias("_r"),
+                         F.from_json("inputs", "mode string").alias("_in"))
+    r2, rmse, mean, cnt = (F.col(f"_r.{c}") for c in ("R2", "RMSE", "mean_pred", "count"))
+    number = lambda c: c.try_cast("double")
+    summary = (F.when(r2.isNotNull(),
+                      F.concat(F.lit("R²: "), format_fixed(number(r2), 3),
+                               F.lit(" | RMSE: "), format_fixed(number(rmse), 3)))
+               .when(mean.isNotNull(),
+                     F.concat(F.lit("Mean: "), format_fixed(number(mean), 2), F.lit(" | Rows: "), cnt))
                .otherwise(F.lit("")))
-    return runs.select(
-        F.col("id"), F.col("timestamp"), basename("model_name").alias("model"),
-        summary.alias("summary"),
-        F.coalesce(F.get_json_object("inputs", "$.mode"), F.lit("N/A")).alias("mode"))
+    return parsed.select(
+        "id", "timestamp", basename("model_name").alias("model"), summary.alias("summary"),
+        F.coalesce(F.col("_in.mode"), F.lit("N/A")).alias("mode"))
 
 
 def run_profile(runs: DataFrame) -> DataFrame:

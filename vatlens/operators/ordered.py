@@ -64,22 +64,32 @@ def order_position(df: DataFrame, column: str) -> Column:
 
 
 ROWS_PER_BUCKET = 4_000_000   # target rows per order bucket at scale
-MAX_BUCKETS = 65536
+LEAST_ROWS = 1_000            # below this a bucket is not worth a task
+CUT_SAMPLE = 200              # sampled rows per bucket that its cut points are taken from
 
 
-def _n0(df: DataFrame) -> int:
-    return max(2, 2 * shuffle_width(df.sparkSession))
+def _buckets_for(df: DataFrame, rows: int) -> int:
+    """Buckets by the number of rows: enough tasks for the cluster, no bucket above the target."""
+    spread_out = min(2 * shuffle_width(df.sparkSession), rows // LEAST_ROWS)
+    return max(2, spread_out, -(-rows // ROWS_PER_BUCKET))
 
 
-def _cut_points(df: DataFrame, pos: Column, buckets: int, with_count: bool = False):
+def _cut_points(df: DataFrame, pos: Column, buckets: int | None) -> list[float]:
+    """Cut points of about equal buckets. They need not be exact (any cuts give the same
+    result), so they come from a sample of ``CUT_SAMPLE`` rows per bucket and what
+    meets in one task does not grow with the table."""
+    rows = df.agg(F.count(pos).alias("n")).first()["n"]
+    if not rows:
+        return []
+    buckets = buckets or _buckets_for(df, rows)
     probs = [i / buckets for i in range(1, buckets)]
-    # rank error 1/accuracy must stay well below one bucket (1/buckets)
-    accuracy = max(10000, 10 * buckets)
-    row = df.agg(F.percentile_approx(pos, probs, accuracy).alias("q"),
-                 F.count(pos).alias("n")).first()
-    qs = row["q"] if row is not None else None
-    cuts = sorted({float(q) for q in (qs or []) if q is not None})
-    return (cuts, row["n"] if row is not None else 0) if with_count else cuts
+    if not probs:
+        return []
+    fraction = min(1.0, CUT_SAMPLE * buckets / rows)
+    some = df.select(pos.alias("_vl_p"))
+    some = some.sample(fraction, seed=17) if fraction < 1.0 else some
+    qs = some.agg(F.percentile_approx("_vl_p", probs, max(10000, 10 * buckets)).alias("q")).first()["q"]
+    return sorted({float(q) for q in (qs or []) if q is not None})
 
 
 def _bucket_expr(pos: Column, cuts: list[float]) -> Column:
@@ -100,19 +110,19 @@ def _bucket_expr(pos: Column, cuts: list[float]) -> Column:
     return F.when(pos.isNull(), F.lit(-1)).otherwise(build(0, len(cuts)))
 
 
-GROUP_BUCKETS_MAX = 256
-
-
 def _group_buckets(df: DataFrame, pos: Column, groups: list[str], buckets: int | None,
                    name: str) -> DataFrame:
     """Per-group cut points (a small table, checkpointed once), attached by a
     join on the group key; the bucket is the number of the group's cut points
-    at or below the value (``size(filter(...))``, at most
-    ``GROUP_BUCKETS_MAX`` comparisons). Meant for many groups of moderate
-    size; one huge ordered set takes the global path (``per_group=None``)."""
+    at or below the value (``size(filter(...))``). The largest group sets their
+    number. Meant for many groups of moderate size; one huge ordered set takes
+    the global path (``per_group=None``)."""
     from vatlens.session import materialize
 
-    n = min(buckets or _n0(df), GROUP_BUCKETS_MAX)
+    if not buckets:
+        most = df.groupBy(*groups).agg(F.count(pos).alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = _buckets_for(df, most)
+    n = max(2, buckets)
     probs = [i / n for i in range(1, n)]
     c = materialize(df.groupBy(*groups).agg(
         F.percentile_approx(pos, probs, max(10000, 10 * n)).alias("_vl_cuts")))
@@ -140,16 +150,7 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | Non
     groups = _names(per_group)
     if groups:
         return _group_buckets(df, pos, groups, buckets, name)
-    if buckets:
-        cuts = _cut_points(df, pos, buckets)
-    else:
-        # one pass gives the default cut points and the row count; a second,
-        # finer pass runs only when the count asks for more buckets
-        n0 = _n0(df)
-        cuts, count = _cut_points(df, pos, n0, with_count=True)
-        need = min(MAX_BUCKETS, (count or 0) // ROWS_PER_BUCKET)
-        if need > n0:
-            cuts = _cut_points(df, pos, need)
+    cuts = _cut_points(df, pos, buckets)
     if len(cuts) <= 256:
         return df.withColumn(name, _bucket_expr(pos, cuts))
     # long cut lists: MLlib's Bucketizer (a JVM binary search) instead of a

@@ -35,7 +35,7 @@ def _names(x) -> list[str]:
     return list(x)
 
 
-MAP_LIMIT = 1_000_000   # distinct values one task may merge in the single-pass path (~80 MB)
+MAP_LIMIT = 1_000_000   # distinct values, over all columns, that one task may merge (~80 MB)
 
 
 def max_distinct(df: DataFrame, cols: Sequence[str],
@@ -60,16 +60,21 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     ``method``: ``"distributed"`` (the ranking plan above, any cardinality),
     ``"percentile"`` (Spark's single-pass exact aggregate: its final merge
     holds one value map per group and column in one task), or ``"auto"``:
-    measure the distinct count first and use the single pass only when that
-    map is proven small (``<= map_limit`` values), the distributed plan
-    otherwise. Both give the same numbers.
+    estimate the distinct counts first and use the single pass only for columns
+    whose maps together hold about ``map_limit`` values or fewer, the distributed
+    plan otherwise. Both give the same numbers, so the estimate decides the plan only.
     """
     keys, cols = _names(by), _names(cols)
     if method == "auto":
         limit = MAP_LIMIT if map_limit is None else map_limit
         nd = max_distinct(df, cols, keys)
-        small = [c for c in cols if nd[c] <= limit]
-        large = [c for c in cols if nd[c] > limit]
+        # the maps of all columns meet in one task, so their sum is what counts
+        small, held = [], 0
+        for c in sorted(cols, key=nd.get):
+            held += nd[c]
+            if held <= limit:
+                small.append(c)
+        large = [c for c in cols if c not in small]
         parts = []
         if small:
             parts.append(exact_quantiles(df, small, probs, keys, buckets, "percentile"))

@@ -32,6 +32,7 @@ from vatlens.operators import ordered, summary
 from vatlens.operators.cleaning import to_number
 from vatlens.plans import linear
 from vatlens.plans.split import hash_bucket
+from vatlens.session import materialize
 
 
 def _imputed(df: DataFrame, features: Sequence[str], medians: Sequence) -> DataFrame:
@@ -187,7 +188,7 @@ def leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], targ
     rows and test R² / MAE / RMSE; sorted by test R² descending."""
     spark = train.sparkSession
     features = list(features)
-    tr = train.withColumn("_vl_fold", hash_bucket(key, k, seed="cv")).cache()
+    tr = materialize(train.withColumn("_vl_fold", hash_bucket(key, k, seed="cv")))   # read by every fit
     rows = []
     for name in models:
         cv_scores = []
@@ -205,7 +206,6 @@ def leaderboard(train: DataFrame, test: DataFrame, features: Sequence[str], targ
         arr = np.array(cv_scores, dtype=float)
         rows.append((name, float(arr.mean()) if cv else None, float(arr.std()) if cv else None,
                      r["r2"], r["mae"], r["rmse"]))
-    tr.unpersist()
     df = spark.createDataFrame(rows, "model string, cv_r2_mean double, cv_r2_std double, "
                                      "test_r2 double, test_mae double, test_rmse double")
     return df.orderBy(F.desc("test_r2"))
@@ -222,17 +222,25 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], target
                            repeats: int = 10, seed: int = 42) -> DataFrame:
     """Mean / std drop of R² when one feature is permuted among the rows.
 
-    For repeat r the rows are ordered by ``xxhash64(key, r, seed)``; the row
-    at position i of that order donates its feature values to the row at
-    position i of the key order. Every (feature, repeat) frame is scored in
+    For repeat r the rows are ordered by the MD5 of ``key:r:seed``; the row at
+    position i of that order donates its feature values to the row at position
+    i of one fixed hashed order, which is indexed once. Every (feature, repeat) frame is scored in
     one pass (``model.transform`` on the union) and reduced per (feature, r).
     """
     features = list(features)
     base_r2 = summary.regression_metrics(model.transform(df, "_vl_p"), target, "_vl_p").first()["r2"]
     cols = list(dict.fromkeys([key, target, *features]))
-    rep = df.select(*cols).withColumn("_vl_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    a = ordered.with_row_index(rep, [key], ["_vl_r"], name="_vl_i")
-    h = rep.withColumn("_vl_h", F.xxhash64(F.col(key), F.col("_vl_r"), F.lit(seed)))
+
+    def place(*salt):
+        """Position of a row in an order: 60 bits of an MD5, which any engine has; keys of any type."""
+        text = F.concat_ws(":", F.col(key).cast("string"), *salt)
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+    fixed = df.select(*cols, place(F.lit("rows"), F.lit(seed)).alias("_vl_h"))
+    a = ordered.with_row_index(fixed, ["_vl_h", key], name="_vl_i").drop("_vl_h") \
+        .withColumn("_vl_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    h = df.select(*cols).withColumn("_vl_r", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))) \
+        .withColumn("_vl_h", place(F.col("_vl_r"), F.lit(seed)))
     b = ordered.with_row_index(h, ["_vl_h", key], ["_vl_r"], name="_vl_i")
     b = b.select(F.col("_vl_r").alias("_vl_rb"), F.col("_vl_i").alias("_vl_ib"),
                  *[F.col(f).alias(f"_vl_d{i}") for i, f in enumerate(features)])

@@ -777,3 +777,19 @@ FROM c JOIN (SELECT g, avg(v) AS mean, CAST(count(*) AS BIGINT) AS n FROM b GROU
 
 SQL["bootstrap_ci"] = _bootstrap_sql("event_type", "event_type")
 SQL["trend_ci"] = _bootstrap_sql("strftime(ts, '%Y-%m-%d')", "t")
+
+
+SQL["box_outliers_squared"] = """
+WITH b AS (SELECT o_orderpriority, o_orderkey, o_totalprice * o_totalprice AS sq FROM orders),
+q AS (SELECT o_orderpriority, quantile_cont(sq, 0.25) AS q1, quantile_cont(sq, 0.75) AS q3 FROM b GROUP BY o_orderpriority),
+f AS (SELECT o_orderpriority, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT o_orderpriority, o_orderkey, CASE WHEN sq < lo THEN 'low' ELSE 'high' END AS side
+FROM b JOIN f USING (o_orderpriority) WHERE sq < lo OR sq > hi"""
+
+SQL["history_next_page"] = f"""
+SELECT id, username FROM ({RUNS}) r WHERE username = 'user_8' ORDER BY timestamp DESC, id DESC LIMIT 10 OFFSET 10"""
+
+SQL["alignment_losses"] = """
+SELECT unnest(['o_orderkey', 'o_totalprice', 'o_orderpriority', 'missing_col']) AS column_name,
+       CAST(count(*) AS BIGINT) AS n_rows,
+       unnest([0, 0, CAST(count(o_orderpriority) AS BIGINT), CAST(count(*) AS BIGINT)]) AS n_lost FROM orders"""

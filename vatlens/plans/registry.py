@@ -979,3 +979,28 @@ def q_csv_round_trip(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     history.write_csv(c, path)
     return _r6(files.read_csv(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("long")))
+
+
+@query("box_outliers_squared")
+def q_box_outliers_squared(spark, d):
+    """A16 on a skewed measure, where rows do lie beyond the whiskers."""
+    o = table(spark, d, "orders").select("o_orderpriority", "o_orderkey",
+                                         (F.col("o_totalprice") * F.col("o_totalprice")).alias("sq"))
+    return _r6(distribution.box_outliers(o, "sq", by=["o_orderpriority"], keep=["o_orderkey"]).select("o_orderpriority", "o_orderkey", "side"))
+
+
+@query("history_next_page")
+def q_history_next_page(spark, d):
+    """T1 by key: the second page, from the last run of the first."""
+    r = runs(spark, d)
+    last = history.history_page(r, HIST_USER, page=1).orderBy("timestamp", "id").first()
+    if last is None:
+        return history.history_page(r, HIST_USER, page=1).select("id", "username")
+    return history.history_after(r, HIST_USER, last["timestamp"], last["id"]).select("id", "username")
+
+
+@query("alignment_losses")
+def q_alignment_losses(spark, d):
+    """P4 on the data: cells of each expected column that hold no number, or are not there at all."""
+    o = table(spark, d, "orders")
+    return cleaning.alignment_losses(o, ALIGN_FEATURES)
