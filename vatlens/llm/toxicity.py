@@ -7,10 +7,10 @@ windows, each window is compressed with either dictionary, and the bytes that
 the toxic dictionary saves in the best windows are the distance. Isotonic
 regression on labelled rows that no dictionary saw turns it into a score.
 
-Training: which words are toxic is learned from byte grams. A gram counts as
-toxic if it is in ``RATIO`` times as large a share of the toxic texts as of the
-ordinary ones, by a likelihood ratio of ``EVIDENCE`` or more; the toxic dictionary holds the words around
-such grams, by frequency. The fit uses a documented, bounded sample of labelled
+Training: which words are toxic is learned from byte grams. A gram or word counts
+as toxic if it is in ``MIN_SHARE`` of the toxic texts and in ``RATIO`` times as large a
+share of them as of the ordinary ones, by a likelihood ratio of ``EVIDENCE`` or more;
+the toxic dictionary holds the toxic words that have such grams, by frequency. The fit uses a documented, bounded sample of labelled
 rows (``TOXIC_ROWS``, ``ORDINARY_ROWS``, drawn by a hash of doc_id); scoring is over
 every whole text.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from vatlens.llm.common import field, held_out, isotonic, labels_of, map_texts, remainder, saved, small
 
 WINDOW, STEP = 8, 4
-GRAM, RATIO, EVIDENCE, MAX_GRAMS = 5, 8.0, 30.0, 20_000
+GRAM, RATIO, EVIDENCE, MIN_SHARE, MAX_GRAMS = 5, 8.0, 30.0, 0.01, 20_000
 TOXIC_ROWS, ORDINARY_ROWS = 4_000, 12_000
 TOXIC_WORDS, ORDINARY_WORDS = 2_000, 12_000
 PIECE, LEVEL = 64, 6
@@ -47,6 +47,13 @@ def _words(text) -> list[bytes]:
     return words
 
 
+def _shingle(text) -> int:
+    """Smallest hash of four consecutive words."""
+    import xxhash
+    words = _words(text)
+    return min(xxhash.xxh64_intdigest(b" ".join(words[i:i + 4])) for i in range(max(1, len(words) - 3))) - (1 << 63)
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, label, rate, fold``: the bounded training sample; ``rate`` is the
     sampled share of its class, fold 1 is kept for the calibration."""
@@ -57,7 +64,13 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     ids = saved(learn.withColumn("rate", share).where(place < F.col("rate"))
                 .withColumn("fold", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(10)) < 3).cast("int")), "sample-ids")
-    return saved(docs.select("doc_id", "text").join(small(ids), "doc_id"), "sample")
+    rows = docs.select("doc_id", "text").join(small(ids), "doc_id")
+    # a group of copies says what one text says: of rows with the same smallest shingle hash and
+    # label the lowest doc_id is learned from
+    keyed = map_texts(rows, ["doc_id", "text", "label", "rate", "fold"], [field("key", "bigint")],
+                      lambda: lambda texts: [[_shingle(t) for t in texts]])
+    pick = keyed.groupBy("label", "key").agg(F.min(F.struct("doc_id", "text", "rate", "fold")).alias("_r"))
+    return saved(pick.select("_r.doc_id", "_r.text", "label", "_r.rate", "_r.fold"), "sample")
 
 
 def _counts(rows: DataFrame, of, schema: str) -> DataFrame:
@@ -95,8 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     ratio = (a / size[1]) / ((c + 1) / size[0])
     evidence = 2 * (a * F.log(a / ((a + c) * part))
                     + F.when(c > 0, c * F.log(c / ((a + c) * (1 - part)))).otherwise(0.0))
+    telling = (ratio >= RATIO) & (evidence >= EVIDENCE) & (a >= MIN_SHARE * size[1])
     marks = {bytes(r["key"]) for r in _counts(build, grams, schema)
-             .where(a > 0).where((ratio >= RATIO) & (evidence >= EVIDENCE))
+             .where(a > 0).where(telling)
              .orderBy(F.desc("toxic"), "key").limit(MAX_GRAMS).select("key").collect()}
 
     def marked(w: bytes) -> bool:
@@ -104,14 +118,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         return any(w[i:i + GRAM] in marks for i in range(len(w) - GRAM + 1))
 
     def words(label, found):
-        return [w for w in found if marked(w)] if label else found
+        return {w for w in found if not label or marked(w)}
 
     counted = saved(_counts(build, words, schema), "words")
-    top = lambda c, n: [bytes(r["key"]) for r in counted.where(F.col(c) > 0).orderBy(
+    top = lambda c, n, which: [bytes(r["key"]) for r in counted.where(F.col(c) > 0).where(which).orderBy(
         F.desc(c), "key").limit(n).select("key").collect()]
     # the most frequent words stand last, where offsets are shortest
-    ordinary = b" " + b" ".join(top("ordinary", ORDINARY_WORDS)[::-1]) + b" "
-    toxic = b" " + b" ".join(top("toxic", TOXIC_WORDS)[::-1]) + ordinary
+    ordinary = b" " + b" ".join(top("ordinary", ORDINARY_WORDS, F.lit(True))[::-1]) + b" "
+    toxic = b" " + b" ".join(top("toxic", TOXIC_WORDS, telling)[::-1]) + ordinary
     model = {"ordinary": ordinary, "toxic": toxic}
     held = map_texts(rows.where("fold = 1"), ["label", "rate"], [field("s", "double")], lambda: _distances(model))
     steps = held.groupBy("s").agg(F.sum(1 / F.col("rate")).alias("n"),
