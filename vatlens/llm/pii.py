@@ -1,20 +1,20 @@
 r"""Personal data by pattern and by disclosure (built-in functions only).
 
 Base spans are the matches of four patterns. The method then looks for terms that
-give a protected value away: with N distinct texts, a term t and a value e of which
-``df`` texts hold them, ``PMI(t; e) = log2(N df(t, e) / (df(t) df(e)))`` bits of the
+give a protected value away: with N documents, a term t and a value e of which ``df``
+documents hold them, ``PMI(t; e) = log2(N df(t, e) / (df(t) df(e)))`` bits of the
 ``IC(e) = log2(N / df(e))`` bits that name e are disclosed by t. A term beside a
 value (``CONTEXT`` code points either side) is removed where it discloses ``REMOVE``
 of them or more, and generalised from ``GENERALISE`` on, if ``SUPPORT`` different
-contexts speak for it. Words beside values are counted over their contexts, df(t)
-over every distinct word of every text; copies of a text count once.
+texts speak for it, copies apart. Words beside values are counted over their
+contexts, df(t) over every different word of every document.
 
 Patterns are the contract's, rewritten for the engine so that no text makes it
 backtrack: possessive repeats where the next sign cannot be part of the repeat,
 and a match can only start where a run starts or where the last match ended.
 
-Skew: the pair counts are sums with partial aggregation over (term, value);
-copies of a text are dropped by hash before; spans of a document are its own.
+Skew: the counts are sums with partial aggregation, and common words meet the
+asked-for terms only as one row each; spans of a document are its own.
 
 Defined results: a null text is an empty one and stays null when redacted;
 overlapping spans of different kinds all count, and their union is replaced;
@@ -51,8 +51,9 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``_id, _h, kind, start, end, value, left, right``: one row per base span of each
-    different row of ``docs``; ``end`` is exclusive, both count code points."""
+    """``_id, _h, _m, kind, start, end, value, left, right``: one row per base span of each
+    different row of ``docs``, which occurs ``_m`` times; ``end`` is exclusive, both count
+    code points."""
     rows = docs.where(F.col("text").isNotNull()).select(
         F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text")
     each = F.explode(F.array(*[F.struct(
@@ -65,7 +66,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
         .select("_id", "_h", "kind", "_n", F.col("_z.found").alias("value"),
                 F.length("_z.gaps").alias("_gap"), F.length("_z.found").alias("_len"),
                 F.substring(F.col("_z.gaps"), -CONTEXT, CONTEXT).alias("left"),
-                F.substring(F.col("_z.gaps"), 1, CONTEXT).alias("_ahead")).distinct()
+                F.substring(F.col("_z.gaps"), 1, CONTEXT).alias("_ahead")) \
+        .groupBy("_id", "_h", "kind", "_n", "value", "_gap", "_len", "left", "_ahead").agg(F.count("*").alias("_m"))
     w = Window.partitionBy("_id", "_h", "kind").orderBy("_n")  # the spans of one text
     placed = found.withColumns({
         "end": F.sum(F.col("_gap") + F.coalesce("_len", F.lit(0))).over(w),
@@ -73,7 +75,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     valid = F.lit(False)
     for k in KINDS:
         valid = valid | ((F.col("kind") == k) & _valid(k, F.col("value")))
-    return placed.where(valid).select("_id", "_h", "kind", (F.col("end") - F.col("_len")).alias("start"), "end",
+    return placed.where(valid).select("_id", "_h", "_m", "kind", (F.col("end") - F.col("_len")).alias("start"), "end",
                                       "value", "left", "right")
 
 
@@ -83,7 +85,7 @@ def _terms(text: Column) -> Column:
 
 
 def contexts(spans: DataFrame) -> DataFrame:
-    """``_id, _h, value, term, start, end, side``: the whole words beside each span, outside any base span."""
+    """``_id, _h, _m, value, term, start, end``: the whole words beside each span."""
     word = F.lit(rf"\p{{L}}{{{LETTERS},}}+")
     # a word cut off at the rim of the context is none: what follows the first gap counts
     left = F.when(F.length("left") < CONTEXT, F.col("left")).otherwise(F.regexp_replace("left", r"^\p{L}++", ""))
@@ -91,33 +93,32 @@ def contexts(spans: DataFrame) -> DataFrame:
     pieces = lambda c: F.struct(F.split(c, rf"\p{{L}}{{{LETTERS},}}+", -1).alias("gaps"),
                                 F.regexp_extract_all(c, word, F.lit(0)).alias("found"))
     sides = spans.withColumns({"_l": left, "_r": F.coalesce(right, F.lit(""))})
-    rows = sides.select("_id", "_h", "value", F.explode(F.array(
+    rows = sides.select("_id", "_h", "_m", "value", F.explode(F.array(
         F.struct(pieces(F.col("_l")).alias("p"), (F.col("start") - F.length("_l")).alias("at")),
         F.struct(pieces(F.col("_r")).alias("p"), F.col("end").cast("bigint").alias("at")))).alias("_s")) \
-        .select("_id", "_h", "value", "_s.at", "_s.p")
+        .select("_id", "_h", "_m", "value", "_s.at", "_s.p")
     # at most CONTEXT / LETTERS words: offsets by short sums
     offset = lambda i: F.aggregate(F.slice("p.gaps", 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) \
         + F.aggregate(F.slice("p.found", 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    words = rows.select("_id", "_h", "value", F.explode(F.transform("p.found", lambda x, i: F.struct(
+    words = rows.select("_id", "_h", "_m", "value", F.explode(F.transform("p.found", lambda x, i: F.struct(
         F.lower(x).alias("term"), (F.col("at") + offset(i)).alias("start"),
         F.length(x).alias("n")))).alias("_w")) \
-        .select("_id", "_h", "value", "_w.term", "_w.start", (F.col("_w.start") + F.col("_w.n")).alias("end"))
+        .select("_id", "_h", "_m", "value", "_w.term", "_w.start", (F.col("_w.start") + F.col("_w.n")).alias("end"))
     return words.distinct()
 
 
 def disclosures(docs: DataFrame, spans: DataFrame, beside: DataFrame) -> DataFrame:
     """``value, term, action``: terms that disclose a value beyond the thresholds."""
     texts = docs.where(F.col("text").isNotNull())
-    n = texts.agg(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0] or 1
-    of_value = spans.select("value", "_h").distinct().groupBy("value").agg(F.count("*").alias("df_e"))
-    pairs = beside.groupBy("term", "value", "_h").agg(F.min("start").alias("start")) \
-        .groupBy("term", "value").agg(F.count("*").alias("df_te"))
-    pairs = saved(pairs.where(F.col("df_te") >= SUPPORT).join(of_value, "value"), "pairs")
-    terms = saved(pairs.select("term").distinct(), "terms")
-    # every distinct word of every text, counted once a copy group; only asked-for terms are shuffled on
-    words = texts.select(F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")) \
-        .join(small(terms), "term", "left_semi").distinct()
-    of_term = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    n = texts.count() or 1
+    of_value = spans.select("value", "_id", "_h", "_m").distinct().groupBy("value").agg(F.sum("_m").alias("df_e"))
+    pairs = beside.select("term", "value", "_id", "_h", "_m").distinct() \
+        .groupBy("term", "value", "_h").agg(F.sum("_m").alias("_m")) \
+        .groupBy("term", "value").agg(F.sum("_m").alias("df_te"), F.count("*").alias("support"))
+    pairs = saved(pairs.where(F.col("support") >= SUPPORT).join(of_value, "value"), "pairs")
+    # every different word of every document, added up before it meets a pair
+    of_term = texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")) \
+        .groupBy("term").agg(F.count("*").alias("df_t"))
     bits = lambda x: F.log2(x)
     pmi = bits(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
     share = pmi / F.greatest(bits(F.lit(float(n)) / F.col("df_e")), F.lit(1e-9))
