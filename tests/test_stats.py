@@ -126,7 +126,7 @@ def test_kde_matches_direct_sum(spark):
     bw = vals.std(ddof=1) * len(vals) ** (-0.2)
     xs = np.linspace(vals.min(), vals.max(), 50)
     ref = np.exp(-0.5 * ((xs[:, None] - vals[None, :]) / bw) ** 2).sum(1) / (len(vals) * bw * np.sqrt(2 * np.pi))
-    assert [r["density"] for r in k] == pytest.approx(list(ref), rel=1e-9)
+    assert [r["density"] for r in k] == pytest.approx(list(ref), rel=1e-5)   # values are binned first
 
 
 def test_describe_approx_close_to_exact(spark):
