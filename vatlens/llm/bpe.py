@@ -1,6 +1,6 @@
 """Byte-level BPE by corpus merge replay.
 
-A block of the corpus is some documents of a partition (``BLOCK`` characters). The distinct
+A block of the corpus is some documents of a partition (a slice of 12 MB). The distinct
 pre-tokens of a block are laid out as one sequence of byte tokens. An inverted
 index maps the rank of each mergeable pair to its positions; ranks are replayed
 in order, a merge links its neighbours and touches only the two pairs beside it.
@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,6 @@ from vatlens.llm.common import field, map_texts
 
 #: Units whose ids a task keeps between blocks.
 CACHE = 100_000
-#: Characters of a block (a longer text is a block of its own).
-BLOCK = 12_000_000
 #: Fixed: the code points with the Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -182,7 +182,7 @@ def splitter(pattern: str):
 
 
 def encoder(vocabulary: Vocabulary, pattern: str):
-    """Function from a list of texts (None is empty) that yields, for each, a list of
+    """Function from a list of texts (None is empty) to, for each, a list of
     ``(ids, their decimal text)`` of its units in order."""
     units, match = splitter(pattern)
     heads: dict[str, tuple] = {}  # whole units: a text's first, or a pre-token
@@ -192,19 +192,10 @@ def encoder(vocabulary: Vocabulary, pattern: str):
         words = list({w for parts in new.values() for w in parts})
         ids = dict(zip(words, replay(vocabulary, [w.encode() for w in words])))
         for u, parts in new.items():
-            got = [i for w in parts for i in ids[w]]
+            got = array("i", [i for w in parts for i in ids[w]])
             into[u] = (got, " ".join(map(str, got)))
 
-    def encode(texts: list):
-        at = size = 0
-        for k, t in enumerate(texts):
-            size += len(t or "")
-            if size >= BLOCK:
-                yield from block(texts[at:k + 1])
-                at, size = k + 1, 0
-        yield from block(texts[at:])
-
-    def block(texts: list) -> list[list[tuple]]:
+    def encode(texts: list) -> list[list[tuple]]:
         for table in (heads, known):
             if len(table) > CACHE:
                 table.clear()
@@ -236,8 +227,14 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         encode = encoder(vocabulary.value, pattern)
 
         def run(texts):
-            ids = [[i for u in doc for i in u[0]] for doc in encode(texts)]
-            return [ids, [len(x) for x in ids]]
+            ids, ends = array("i"), array("i", [0])
+            for doc in encode(texts):
+                for u, _ in doc:
+                    ids.extend(u)
+                ends.append(len(ids))
+            ends = np.frombuffer(ends, np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.frombuffer(ids, np.int32) if ids else pa.array([], pa.int32()))
+            return [lists, np.diff(ends).astype(np.int64)]
         return run
 
     new = [field("input_ids", "array<int>"), field("n_tokens", "bigint")]

@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from vatlens.session import checkpoint_dir
 #: A side with more rows than this is never broadcast. The rows joined this way
 #: are a few fixed-width values or one short string, so 200,000 stay under 30 MB.
 BROADCAST_ROWS = 200_000
+#: Bytes of text that a Python task works on at a time.
+SLICE = 12_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +71,10 @@ def map_texts(docs: DataFrame, keep: list[str], fields: list[T.StructField],
               make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """Append ``fields`` computed from ``text`` in Python, one Arrow batch at a time.
 
-    ``make()`` runs once per task and returns a function from the texts of a
-    batch (null as None) to one list per field. ``keep`` columns pass through
-    untouched. Spark bounds a batch by rows and by bytes, so memory is bounded
-    by the batch and the longest single text.
+    ``make()`` runs once per task and returns a function from texts (null as None)
+    to one list or Arrow array per field. ``keep`` columns pass through untouched.
+    A batch is cut into slices of about ``SLICE`` bytes of text, so memory is bounded
+    by the slice and the longest single text.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
     kept, cols = len(keep), [f.name for f in fields]
@@ -79,16 +82,32 @@ def map_texts(docs: DataFrame, keep: list[str], fields: list[T.StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
-            out = fn(b.column(kept).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(i) for i in range(kept)] + [pa.array(v, t) for v, t in zip(out, arrow)],
-                names=list(keep) + cols)
+        for batch in batches:
+            for b in _slices(batch, kept):
+                out = fn(b.column(kept).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(i) for i in range(kept)]
+                    + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out, arrow)],
+                    names=list(keep) + cols)
 
     # a second copy of text, so that text may also be among the kept columns
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``SLICE`` bytes (or list items) in a column, at least one row each."""
+    at = size = 0
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    for k, n in enumerate(pc.fill_null(length(values), 0).to_pylist()):
+        size += n
+        if size >= SLICE:
+            yield batch.slice(at, k + 1 - at)
+            at, size = k + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def _arrow(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.ArrayType):
         return pa.list_(_arrow(t.elementType))
