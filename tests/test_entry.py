@@ -20,7 +20,7 @@ def test_oracle_keys_subset():
     assert len(E.queries()) >= 60
 
 
-@pytest.mark.parametrize("key", ["flagship", "preprocess_full", "diff_global", "ridge_path", "alert_report",
+@pytest.mark.parametrize("key", ["flagship_two_features", "preprocess_full", "diff_global", "ridge_path", "alert_report",
                                  "describe_numeric", "hist_auto", "history_summary", "upsert_latest"])
 def test_oracle_agrees_small(spark, key):
     import math
