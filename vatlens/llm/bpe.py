@@ -253,9 +253,9 @@ def decoded(ids: DataFrame, path: str, column: str = "input_ids") -> DataFrame:
         return lambda rows: [[None if x is None else b"".join(map(token.__getitem__, x)) for x in rows]]
 
     # map_texts reads the column named text
-    keep = ids.select(F.struct("*").alias("_row"), F.col(column).alias("text"))
-    return map_texts(keep, ["_row"], [field("bytes", "binary")], make).select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in ids.columns if c.lower() != "bytes"], "bytes")
+    keep = ids.select(F.struct("*").alias("_all"), F.col(column).alias("text"))
+    return map_texts(keep, ["_all"], [field("bytes", "binary")], make).select(
+        *[F.col(f"_all.`{c}`").alias(c) for c in ids.columns if c.lower() != "bytes"], "bytes")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:

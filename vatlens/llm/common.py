@@ -74,30 +74,38 @@ def map_texts(docs: DataFrame, keep: list[str], fields: list[T.StructField],
     ``make()`` runs once per task and returns a function from texts (null as None)
     to one list or Arrow array per field. ``keep`` columns pass through untouched.
     A batch is cut into slices of about ``SLICE`` bytes of text, so memory is bounded
-    by the slice and the longest single text.
+    by the slice and the longest single text. The text is sent once: if ``keep`` holds
+    it, as ``text`` or as a field of ``_row``, it is read there.
     """
     schema = T.StructType([docs.schema[c] for c in keep] + fields)
     kept, cols = len(keep), [f.name for f in fields]
+    row = docs.schema["_row"].dataType.fieldNames() if "_row" in keep else []
+    place = keep.index("text") if "text" in keep else keep.index("_row") if "text" in row else kept
+    inside = row.index("text") if "text" in row and "text" not in keep else None
+
+    def texts_of(b: pa.RecordBatch) -> pa.Array:
+        # flatten() and not field(), which leaves out a slice's offset
+        return b.column(place) if inside is None else b.column(place).flatten()[inside]
+
     arrow = [_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for b in _slices(batch, kept):
-                out = fn(b.column(kept).to_pylist())
+            for b in _slices(batch, texts_of(batch)):
+                out = fn(texts_of(b).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [b.column(i) for i in range(kept)]
                     + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(out, arrow)],
                     names=list(keep) + cols)
 
-    # a second copy of text, so that text may also be among the kept columns
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    sent = docs.select(*keep) if place < kept else docs.select(*keep, F.col("text").alias("_text"))
+    return sent.mapInArrow(run, schema)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with about ``SLICE`` bytes (or list items) in a column, at least one row each."""
+def _slices(batch: pa.RecordBatch, values: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about ``SLICE`` bytes (or list items) of ``values``, at least one row each."""
     at = size = 0
-    values = batch.column(column)
     length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
     for k, n in enumerate(pc.fill_null(length(values), 0).to_pylist()):
         size += n
