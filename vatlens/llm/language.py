@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,23 +53,34 @@ RANGES = [
 _STARTS = np.array([a for a, _ in RANGES])
 SCRIPTS = sorted({s for _, s in RANGES})
 _SCRIPT = np.array([SCRIPTS.index(s) for _, s in RANGES])
-_letters = re.compile(r"[^\W\d_]+")
-
-
-def _words(piece: str) -> list[str]:
-    """The letter words of a piece, lowered, long ones cut."""
-    return [w[i:i + PIECE] for w in _letters.findall(piece.lower()) for i in range(0, len(w), PIECE)]
-
-
-def _grams(word: str) -> list[int]:
-    """Hashed trigrams of a word with its ends marked."""
-    p = [1, *map(ord, word), 1]
-    return [((a * 0x9E3779B1 ^ b * 0x85EBCA6B ^ c * 0xC2B2AE35) * 0x27D4EB2F >> 13) & ((1 << BITS) - 1)
-            for a, b, c in zip(p, p[1:], p[2:])]
-
-
-def _script(word: str) -> int:
-    return int(_SCRIPT[np.searchsorted(_STARTS, ord(word[0]), side="right") - 1])
+_GAP = re.compile(r"(?:[^\w\n]|[\d_])+")
+
+
+def _words(pieces: list[str]) -> tuple[list[str], np.ndarray]:
+    """The lower-case letter words of white-space pieces, long ones cut, and how many each has."""
+    words, count = [], np.zeros(len(pieces), np.int64)
+    for k, line in enumerate(_GAP.sub(" ", "\n".join(pieces).lower()).split("\n") if pieces else []):
+        own = line.split()
+        if len(own) != 1 or len(own[0]) > PIECE or not own[0].isalpha():
+            own = [w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in own]
+            own = [w[i:i + PIECE] for w in own for i in range(0, len(w), PIECE)]
+        words += own
+        count[k] = len(own)
+    return words, count
+
+
+def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed trigrams of all words with their ends marked, one per letter; letters and script per word."""
+    letters = np.fromiter(map(len, words), np.int64, len(words))
+    p = np.frombuffer(("\1" + "\1\1".join(words) + "\1").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    h = (p[:-2] * np.uint64(0x9E3779B1) ^ p[1:-1] * np.uint64(0x85EBCA6B) ^ p[2:] * np.uint64(0xC2B2AE35)) \
+        * np.uint64(0x27D4EB2F)
+    first = np.cumsum(letters + 2) - letters - 2  # each word stands between two marks
+    inside = np.ones(len(p), bool)
+    inside[first + letters] = inside[first + letters + 1] = False
+    grams = ((h >> np.uint64(13)) & np.uint64((1 << BITS) - 1)).astype(np.int64)[inside[:-2]]
+    script = _SCRIPT[np.searchsorted(_STARTS, p[first + 1].astype(np.int64), side="right") - 1]
+    return grams, letters, script
 
 
 def fit(docs: DataFrame) -> dict:
@@ -88,15 +100,14 @@ def fit(docs: DataFrame) -> dict:
                     if len(total) >= LANGS:
                         yield from flush(total, scripts)
                     total[lang] = np.zeros(1 << BITS, np.int64)
-                grams, times = [], []
-                for piece, n in found.items():
-                    for w in _words(piece):
-                        g = _grams(w)
-                        grams += g
-                        times += [n] * len(g)
-                        scripts[lang, _script(w)] += n * len(w)
-                total[lang] += np.bincount(grams, weights=times, minlength=1 << BITS).astype(np.int64) \
-                    if grams else 0
+                words, count = _words(list(found))
+                if not words:
+                    continue
+                grams, letters, script = _grams(words)
+                times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), count)
+                total[lang] += np.bincount(grams, weights=np.repeat(times, letters), minlength=1 << BITS).astype(np.int64)
+                for s, n in enumerate(np.bincount(script, weights=times * letters)):
+                    scripts[lang, s] += int(n)
         yield from flush(total, scripts)
 
     def flush(total, scripts):
@@ -173,42 +184,58 @@ class Decoder:
 
     def __init__(self, model: dict):
         self.model = model
-        self.known: dict[str, tuple | None] = {}  # scores of a piece's words and their letters
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}  # number of a piece
+        self.start = self.count = np.zeros(0, np.int64)  # its words
+        self.letters = np.zeros(0, np.int64)
+        self.scores = np.zeros((0, len(self.model["langs"])), np.float32)
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
+        if not pieces:
+            return
         logp, allowed = self.model["logp"], self.model["allowed"]
-        todo = [(p, _words(p)) for p in pieces]
-        words = [w for _, ws in todo for w in ws]
-        if words:
-            grams = [_grams(w) for w in words]
-            starts = np.cumsum([0] + [len(g) for g in grams[:-1]])
-            flat = np.array([x for g in grams for x in g])
-            scores = np.stack([np.add.reduceat(row[flat], starts) for row in logp], 1).astype(np.float64)
-            may = allowed[:, [_script(w) for w in words]].T
-            may |= ~may.any(1, keepdims=True)  # a script no language uses rules none out
-            scores = np.where(may, scores, scores.min(1, keepdims=True) - 50.0)
-        at = 0
-        for p, ws in todo:
-            self.known[p] = (scores[at:at + len(ws)], [len(w) for w in ws]) if ws else None
-            at += len(ws)
+        words, count = _words(pieces)
+        at = len(self.letters)
+        self.start = np.concatenate([self.start, at + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        if not words:
+            return
+        grams, letters, script = _grams(words)
+        begin = np.cumsum(letters) - letters
+        scores = np.stack([np.add.reduceat(row[grams], begin) for row in logp], 1)
+        may = allowed[:, script].T
+        may = may | ~may.any(1, keepdims=True)  # a script no language uses rules none out
+        scores = np.where(may, scores, scores.min(1, keepdims=True) - 50.0)
+        self.scores = np.concatenate([self.scores, scores.astype(np.float32)])
+        self.letters = np.concatenate([self.letters, letters])
 
     def __call__(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text the language of each letter word (index into ``langs``) and its letters."""
-        split = [t.split() if t else [] for t in texts]
         if not self.model["langs"]:
             return [(np.zeros(0, np.int64),) * 2 for _ in texts]
+        split = [t.split() if t else [] for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        need = set().union(*split)
-        self.learn(need.difference(self.known))
-        found = [[k for k in map(self.known.__getitem__, s) if k] for s in split]
-        letters = [np.array([n for k in f for n in k[1]], np.int64) for f in found]
-        scores = [k[0] for f in found for k in f]
-        if not scores:
-            return [(x, x) for x in letters]
-        firsts = np.concatenate([np.arange(len(x)) == 0 for x in letters])
-        path = viterbi(np.concatenate(scores), firsts)
-        return list(zip(np.split(path, np.cumsum([len(x) for x in letters])[:-1]), letters))
+            self.clear()
+        need = set()
+        for s in split:
+            need.update(s)
+        self.learn(list(need.difference(self.known)))
+        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
+        count = self.count[which]
+        ramp = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        words = np.repeat(self.start[which], count) + ramp
+        # words per text, from its pieces
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ends = upto[np.cumsum([len(s) for s in split])]
+        begins = np.concatenate([[0], ends[:-1]])
+        firsts = np.zeros(len(words), bool)
+        firsts[begins[begins < ends]] = True
+        path = viterbi(self.scores[words].astype(np.float64), firsts)
+        letters = self.letters[words]
+        return [(path[x:y], letters[x:y]) for x, y in zip(begins.tolist(), ends.tolist())]
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
