@@ -43,7 +43,7 @@ from vatlens.llm.common import saved
 
 LENGTH, GRAM, HOT = 50, 16, 20_000
 #: Bytes of a block, and of the texts whose segments one bucket compares.
-BLOCK, BUCKET = 8_000_000, 32_000_000
+BLOCK, BUCKET = 2_000_000, 32_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D, 0xC2B2AE3D27D4EB4F))
 _NONE = -(1 << 63)  # a null doc_id in a block
 FULL, OPEN, HOT_OPEN = 1, 2, 4
@@ -200,7 +200,7 @@ def _keys(leads: np.ndarray, whole: np.ndarray) -> np.ndarray:
 def _splitters(blocks: DataFrame, total: int) -> np.ndarray:
     """Sort keys that cut the segments into buckets of about ``BUCKET`` bytes of text, from a sample."""
     buckets = max(8, -(-total // BUCKET))
-    every = max(1, total // 400_000_000)  # blocks whose segments are sampled
+    every = max(1, total // 100_000_000)  # blocks whose segments are sampled
 
     def run(batches):
         for _, b, _ in _each_block(batches):
@@ -210,7 +210,7 @@ def _splitters(blocks: DataFrame, total: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([x.ljust(GRAM + 8, b"\0") for x in keys.tolist()])], names=["key"])
 
     keys = blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).mapInArrow(run, "key binary")
-    # a sample of about 100,000 keys at any size of the corpus
+    # a sample of about 30,000 keys at any size of the corpus
     found = sorted(bytes(r["key"]) for r in keys.collect())
     cuts = [found[len(found) * i // buckets] for i in range(1, buckets)] if len(found) >= buckets else []
     return np.array(sorted(set(cuts)), f"S{GRAM + 8}")
@@ -420,9 +420,9 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, starts array<bigint>, ends array<bigint>, kept binary")
 
 
-def _per_block(told: DataFrame, name: str) -> DataFrame:
+def _per_block(told: DataFrame, name: str, *more) -> DataFrame:
     """What each block was told, as one list; it is bounded by the block."""
-    return told.groupBy("block").agg(F.collect_list("blob").alias(name))
+    return told.groupBy("block").agg(F.collect_list("blob").alias(name), *more)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -434,22 +434,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     cuts = spark.sparkContext.broadcast(_splitters(blocks, total))
     answer = "block bigint, hot boolean, open boolean, blob binary"
     told = saved(_entries(blocks, cuts).groupBy("bucket").applyInArrow(_compare(cuts), answer), "told")
-    per_block = saved(_per_block(told, "flags"), "flags")
-    asked = told.where("open").select("block").distinct()
+    per_block = saved(_per_block(told, "flags", F.max("open").alias("open"), F.max("hot").alias("hot")), "flags")
     flagged = blocks.join(per_block, "block")
-    windows = saved(_open_entries(flagged.join(asked, "block", "left_semi"), cuts).groupBy("bucket")
+    windows = saved(_open_entries(flagged.where("open"), cuts).groupBy("bucket")
                     .applyInArrow(_compare_windows, "block bigint, blob binary"), "windows")
-    hot = told.where("hot").select("block").distinct()
     late = spark.createDataFrame([], "block bigint, late array<binary>")
-    if hot.take(1):
-        rows = saved(_hot_windows(flagged.join(hot, "block", "left_semi")), "hot-windows")
+    if per_block.where("hot").take(1):
+        rows = saved(_hot_windows(flagged.where("hot")), "hot-windows")
         first = rows.groupBy("a", "b").agg(F.min("doc").alias("first"), F.max("doc").alias("other")) \
             .where("first < other").select("a", "b", "first")
         gone = rows.join(first, ["a", "b"]).where("doc > first").select("block", "own", "step").distinct()
         late = gone.groupBy("block").agg(F.collect_list(F.struct("own", "step")).alias("_p")) \
             .select("block", F.col("_p.own").alias("own"), F.col("_p.step").alias("step"))
         late = saved(late.mapInArrow(_zipped, "block bigint, late array<binary>"), "late")
-    joined = blocks.join(per_block, "block", "left").join(_per_block(windows, "found"), "block", "left") \
+    joined = blocks.join(per_block.select("block", "flags"), "block", "left").join(_per_block(windows, "found"), "block", "left") \
         .join(late, "block", "left").select("block", "ids", "sizes", "data", "flags", "found", "late")
     return _cut(joined)
 
