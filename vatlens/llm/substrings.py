@@ -43,7 +43,7 @@ from vatlens.llm.common import saved
 
 LENGTH, GRAM, HOT = 50, 16, 20_000
 #: Bytes of a block, and of the texts whose segments one bucket compares.
-BLOCK, BUCKET = 2_000_000, 32_000_000
+BLOCK, BUCKET = 2_000_000, 8_000_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D, 0xC2B2AE3D27D4EB4F))
 _NONE = -(1 << 63)  # a null doc_id in a block
 FULL, OPEN, HOT_OPEN = 1, 2, 4
