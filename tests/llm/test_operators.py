@@ -167,6 +167,22 @@ def test_pii_disclosing_terms(spark):
                            t[int(s.split(":")[1]):int(s.split(":")[2])] in ("plain", "words") for s in spans[k].split(","))
 
 
+def test_pii_unique_values(spark):
+    """Values that are in one text each: what stands by them only goes, common words stay."""
+    rnd = random.Random(4)
+    texts = [f"common {' '.join(rnd.choice(WORDS) for _ in range(20))} words" for _ in range(1200)]
+    names = ["Quorlin", "Vestapol", "Drymoor", "Hexwick"]
+    for k, name in enumerate(names):
+        texts[k * 100] += f" common {name} wrote from box{k}@host{k}.org words"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: r.spans.split(",") for r in pii.found(docs).collect()}
+    for k, name in enumerate(names):
+        t, own = texts[k * 100], spans[k * 100]
+        extra = {t[int(a):int(b)] for x, a, b in (s.split(":") for s in own) if x in ("removed", "generalised")}
+        assert name in extra and not extra & {"common", "words", *WORDS}
+    assert sum(s != [""] for s in spans.values()) == len(names)
+
+
 @pytest.mark.parametrize("sizes", [(8_000_000, 20_000, 32_000_000), (3_000, 1, 5_000)])
 def test_substrings(spark, docs, rows, empty, monkeypatch, sizes):
     for name, x in zip(("BLOCK", "HOT", "BUCKET"), sizes):

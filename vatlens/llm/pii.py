@@ -3,11 +3,16 @@ r"""Personal data by pattern and by disclosure (built-in functions only).
 Base spans are the matches of four patterns. The method then looks for terms that
 give a protected value away: with N documents, a term t and a value e of which ``df``
 documents hold them, ``PMI(t; e) = log2(N df(t, e) / (df(t) df(e)))`` bits of the
-``IC(e) = log2(N / df(e))`` bits that name e are disclosed by t. A term beside a
-value (``CONTEXT`` code points either side) is removed where it discloses ``REMOVE``
-of them or more, and generalised from ``GENERALISE`` on, if ``SUPPORT`` different
-texts speak for it, copies apart. Words beside values are counted over their
-contexts, df(t) over every different word of every document.
+``IC(e) = log2(N / df(e))`` bits that name e are disclosed by t. There is no least
+number of texts: the share ``df(t, e) / df(t)`` is taken at its lower confidence bound
+(Wilson, ``Z`` standard errors, copies of a text apart), so a term seen with a value once
+counts for less than one seen with it always, and common words, whose df(t) is large,
+never pass. A term beside a value (``CONTEXT`` code points either side) is generalised
+where it surely discloses ``GENERALISE`` of the bits, and removed where the estimate is
+``REMOVE`` or more and more than half of its texts surely hold e. e is a whole value or a part
+that different values share (name or host of an address, network of an ip, issuer of a
+card, exchange of a phone), so values that occur once have evidence, too. Words beside
+values are counted over their contexts, df(t) over every different word of every document.
 
 Patterns are the contract's, rewritten for the engine so that no text makes it
 backtrack: possessive repeats where the next sign cannot be part of the repeat,
@@ -37,7 +42,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)?(?:\.|$)){4}$"
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.8, 0.95
+CONTEXT, GENERALISE, REMOVE = 48, 0.8, 0.95
+#: Standard errors of the lower bound (95 % one-sided).
+Z = 1.645
 #: Letters a term has at least.
 LETTERS = 4
 
@@ -107,23 +114,52 @@ def contexts(spans: DataFrame) -> DataFrame:
     return words.distinct()
 
 
+def entities(spans: DataFrame) -> DataFrame:
+    """``_id, _h, _m, value, entity``: each value of a row, and the parts that other values may share."""
+    value, digits = F.lower("value"), F.regexp_replace("value", "[^0-9]", "")
+    whole = F.when(F.col("kind").isin("card", "phone"), digits).otherwise(value)
+    part = F.when(F.col("kind") == "email", F.substring_index(value, "@", 1)) \
+        .when(F.col("kind") == "ip", F.substring_index(value, ".", 3)) \
+        .when(F.col("kind") == "card", F.substring(digits, 1, 6)) \
+        .otherwise(F.expr("substring(regexp_replace(value, '[^0-9]', ''), 1, length(regexp_replace(value, '[^0-9]', '')) - 4)"))
+    host = F.when(F.col("kind") == "email", F.substring_index(value, "@", -1))
+    named = lambda name, c: F.concat(F.col("kind"), F.lit(f"-{name}:"), c)
+    every = F.array(named("whole", whole), named("part", part), named("host", host))
+    return spans.select("_id", "_h", "_m", "value", F.explode(F.array_compact(every)).alias("entity")).distinct()
+
+
+def told_by(n: int, df_t: Column, df_e: Column, df_te: Column, support: Column) -> Column:
+    """``action`` on a term that ``support`` different texts show beside an entity; null for none."""
+    p = F.least(F.lit(1.0), df_te / df_t)
+    m = support / p  # different texts that hold the term: copies are no evidence
+    z = Z * Z / m
+    least = (p + z / 2 - F.sqrt(p * (1 - p) * z + z * z / 4)) / (1 + z)
+    names = F.log2(F.lit(float(n)) / df_e)
+    share = lambda q: (names + F.log2(q)) / F.greatest(names, F.lit(1e-9))
+    return F.when(share(least) >= GENERALISE, F.when(
+        (share(p) >= REMOVE) & (least >= 0.5), "removed").otherwise("generalised"))
+
+
 def disclosures(docs: DataFrame, spans: DataFrame, beside: DataFrame) -> DataFrame:
-    """``value, term, action``: terms that disclose a value beyond the thresholds."""
+    """``value, term, action``: terms that disclose a value, or a part of it, beyond the thresholds."""
     texts = docs.where(F.col("text").isNotNull())
     n = texts.count() or 1
-    of_value = spans.select("value", "_id", "_h", "_m").distinct().groupBy("value").agg(F.sum("_m").alias("df_e"))
-    pairs = beside.select("term", "value", "_id", "_h", "_m").distinct() \
-        .groupBy("term", "value", "_h").agg(F.sum("_m").alias("_m")) \
-        .groupBy("term", "value").agg(F.sum("_m").alias("df_te"), F.count("*").alias("support"))
-    pairs = saved(pairs.where(F.col("support") >= SUPPORT).join(of_value, "value"), "pairs")
+    held = saved(entities(spans), "entities")
+    of_entity = held.select("entity", "_id", "_h", "_m").distinct().groupBy("entity").agg(F.sum("_m").alias("df_e"))
+    pairs = beside.select("term", "value", "_id", "_h", "_m").distinct().join(
+        held.select("_id", "_h", "value", "entity"),
+        beside["_id"].eqNullSafe(held["_id"]) & (beside["_h"] == held["_h"]) & (beside["value"] == held["value"])) \
+        .select("term", "entity", beside["_id"], beside["_h"], "_m").distinct() \
+        .groupBy("term", "entity", "_h").agg(F.sum("_m").alias("_m")) \
+        .groupBy("term", "entity").agg(F.sum("_m").alias("df_te"), F.count("*").alias("support"))
     # every different word of every document, added up before it meets a pair
     of_term = texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")) \
         .groupBy("term").agg(F.count("*").alias("df_t"))
-    bits = lambda x: F.log2(x)
-    pmi = bits(F.lit(float(n)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
-    share = pmi / F.greatest(bits(F.lit(float(n)) / F.col("df_e")), F.lit(1e-9))
-    return pairs.join(of_term, "term").withColumn("share", share).where(F.col("share") >= GENERALISE) \
-        .select("value", "term", F.when(F.col("share") >= REMOVE, "removed").otherwise("generalised").alias("action"))
+    action = told_by(n, *[F.col(c) for c in ("df_t", "df_e", "df_te", "support")])
+    told = pairs.join(of_entity, "entity").join(of_term, "term").withColumn("action", action) \
+        .where(F.col("action").isNotNull())
+    return told.join(held.select("entity", "value").distinct(), "entity").groupBy("value", "term") \
+        .agg(F.max("action").alias("action"))  # removed, if any entity asks for it
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
