@@ -183,6 +183,25 @@ def test_pii_unique_values(spark):
     assert sum(s != [""] for s in spans.values()) == len(names)
 
 
+def test_pii_whole_documents(spark):
+    """A short name far from its value, an identifier, their other places, and a text without the value."""
+    rnd = random.Random(6)
+    fill = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n))
+    texts = [f"common {fill(25)} words" for _ in range(1500)]
+    for k in range(8):
+        texts[k] = f"Li \x01 {fill(40)} ab12x {fill(40)} li@mail.org {fill(40)} Li, {fill(3)}"
+    texts[20] += " Li was here"
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(3, texts[3])], "doc_id bigint, text string")
+    out = pii.found(docs).collect()
+    assert len(out) == 1501
+    for r in out:
+        t = texts[r.doc_id]
+        got = [t[int(a):int(b)] for x, a, b in (s.split(":") for s in r.spans.split(",") if s) if x in ("removed", "generalised")]
+        assert got == (["Li", "ab12x", "Li"] if r.doc_id < 8 else ["Li"] if r.doc_id == 20 else [])
+    clean = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert not any("Li" in t or "ab12x" in t or "li@" in t for t in clean.values())
+
+
 @pytest.mark.parametrize("sizes", [(8_000_000, 20_000, 32_000_000), (3_000, 1, 5_000)])
 def test_substrings(spark, docs, rows, empty, monkeypatch, sizes):
     for name, x in zip(("BLOCK", "HOT", "BUCKET"), sizes):
