@@ -246,6 +246,23 @@ def test_bands_reject_noise(spark):
     assert all(kept[i] for i in kept if i < 150) and not any(kept[i] for i in kept if i >= 150)
 
 
+@pytest.mark.parametrize("codes", [quality_rules.CODES if hasattr(quality_rules, "CODES") else 0, 1])
+def test_languages_share_no_model(spark, monkeypatch, codes):
+    """Languages whose hashes agree mod 64 (de and pl, es and th) are scored as if alone; null is one, too."""
+    monkeypatch.setattr(quality_rules, "CODES", codes, raising=False)
+    rnd = random.Random(8)
+    own = {"de": "und haus garten klein gehen", "pl": "dom oraz ogród mały iść", "es": "casa jardín pequeño",
+           "th": "baan suan lek", None: "alpha beta gamma", "=": "one two three", "": "four five six"}
+    rows = [(len(own) * k + j, " ".join(rnd.choice(w.split()) for _ in range(40)), lang)
+            for j, (lang, w) in enumerate(own.items()) for k in range(60 if lang == "de" else 8)]
+    schema = "doc_id bigint, text string, lang string"
+    both = {r.doc_id: (r.log_ppl, r.kept) for r in quality_rules.rules(spark.createDataFrame(rows, schema)).collect()}
+    assert len(both) == len(rows)
+    for lang in ("de", "pl"):
+        alone = quality_rules.rules(spark.createDataFrame([r for r in rows if r[2] == lang], schema)).collect()
+        assert {r.doc_id: (r.log_ppl, r.kept) for r in alone} == {r[0]: both[r[0]] for r in rows if r[2] == lang}
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(0)
     for n in (1, 5, 300, 1000):
