@@ -1,7 +1,10 @@
 """Plain Python versions of what the operators must return."""
 
+import collections
 import hashlib
+import itertools
 import re
+import zlib
 
 import numpy as np
 import xxhash
@@ -108,3 +111,68 @@ def base_counts(t):
     at = {k + j for k, x in enumerate(five) if x in often for j in range(5)}
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(at))
+
+
+def variants(rows):
+    """``word, form, root, n, n_near, form_n`` from every edit of every word."""
+    count = collections.Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+    letters, form, near = sorted({c for w in words for c in w}), {}, {}
+
+    def one_edit(a, b):
+        a, b = sorted((a, b), key=len)
+        i = next((i for i, c in enumerate(a) if c != b[i]), len(a))
+        return a != b and len(b) - len(a) < 2 and a[i + (len(a) == len(b)):] == b[i + 1:]
+
+    for w, n in words.items():
+        if len(w) < 50:
+            edits = {w[:i] + w[i + 1:] for i in range(len(w))}
+            for c in letters:
+                edits |= {w[:i] + c + w[i + 1:] for i in range(len(w))} | {w[:i] + c + w[i:] for i in range(len(w) + 1)}
+            near[w] = [e for e in edits if e in words and e != w]
+        else:
+            near[w] = [e for e in words if one_edit(w, e)]
+        best = min(near[w], key=lambda e: (-words[e], e), default=None)
+        if best and words[best] >= 10 * n:
+            form[w] = best
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return [(w, form.get(w), root(w), n, len(near[w]), words.get(form.get(w))) for w, n in words.items()]
+
+
+def alignment(rows, a, b, a_bytes, b_bytes):
+    """Rows of op12: two sweeps over token ends, every pair compared by its ranges."""
+    found, count = [], collections.Counter()
+    for i, t in rows:
+        ids = (a(" " + t), b(t)) if t else ([], [])
+        spelled = [[x(k) for k in side] for x, side in zip((a_bytes, b_bytes), ids)]
+        if not t or any(b"".join(s) != (" " + t).encode() for s in spelled):
+            found.append((i, None))
+            continue
+        ends = [list(itertools.accumulate(map(len, s))) for s in spelled]
+        links = []
+        for k, (x, e) in enumerate(zip(ids[0], ends[0])):
+            for y, f, s in zip(ids[1], ends[1], spelled[1]):
+                if f > e - len(spelled[0][k]) and f - len(s) < e:
+                    links.append((x, y))
+        groups, at = [], 0
+        for cut in sorted(set(ends[0]) & set(ends[1])):
+            groups.append("|".join(",".join(str(x) for x, e in zip(side, end) if at < e <= cut) for side, end in zip(ids, ends)))
+            at = cut
+        count.update(set(links))
+        found.append((i, (len(ids[0]), len(ids[1]), len(groups), links, sha(";".join(groups)))))
+    top = collections.Counter()
+    for (x, _), n in count.items():
+        top[x] = max(top[x], n)
+    return [(i, 0, 0, 0, 0, 0, 0, "") if f is None else
+            (i, *f[:3], len(f[3]), sum(count[x] == top[x[0]] for x in f[3]), sum(count[x] for x in f[3]), f[4])
+            for i, f in found]

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vatlens.llm import bpe, chat, decontaminate, language, pii, quality, quality_rules, simhash, substrings, toxicity
+from vatlens.llm import (alignment, bpe, chat, decontaminate, language, pieces, pii, quality, quality_rules, simhash,
+                         substrings, toxicity, variants)
 from vatlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,24 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def tokenizers() -> tuple[str, str]:
+    """The byte-level tokenizer and the piece vocabulary that ship with the tokenizers."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), *tokenizers())
+
+
+@query
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), tokenizers()[1])
