@@ -42,7 +42,11 @@ from pyspark.sql import types as T
 from vatlens.llm.common import _slices, field, saved
 
 #: Size of the units whose results a task keeps, in characters, 16 more a unit.
-CACHE = 16_000_000
+CACHE = 8_000_000
+#: Units that the tokenizers get at a time.
+BATCH = 40_000
+#: Before the first id of a unit, an id of the same side, the B side, the next group.
+SIGNS = np.array(["", ",", "|", ";"], object)
 
 
 def _content(spark, path: str) -> bytes:
@@ -67,6 +71,11 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def distinct(v: np.ndarray) -> np.ndarray:
+    v = np.sort(v)
+    return v[np.append(True, v[1:] != v[:-1])] if len(v) else v
+
+
 def labels(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ends of A and B tokens over the same bytes (strictly ascending, the last equal): the label
     of each A and each B token, which is the place of the B token that ends its group."""
@@ -103,6 +112,7 @@ class Aligner:
         self.b_len = np.array([len(x) for x in self.b_bytes])
         self.lone = [self.b.piece_to_id("\u2581")]
         self.digits = np.array([str(i) for i in range(max(self.width, len(self.a_bytes)))], object)
+        self.places = np.array([len(x) for x in self.digits])
         self.cut = re.compile(r"(?<=\S) ").split
         self.clear()
 
@@ -115,26 +125,33 @@ class Aligner:
         self.pair = np.zeros(0, np.int64)
 
     def learn(self, units: list[str]) -> None:
-        """Align ``units`` (the space before each left out) that are not known yet."""
+        """Align ``units`` (the space before each left out) that are not known yet, ``BATCH`` at a time."""
+        for at in range(0, len(units), BATCH):
+            self._learn(units[at:at + BATCH])
+
+    def _learn(self, units: list[str]) -> None:
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         ids_b = self.b.encode(units, num_threads=1)
-        spell_a, spell_b = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        good = np.zeros(len(units), bool)
         for k, u in enumerate(units):
             if not u:
-                ids_b[k] = self.lone
-            want = (" " + u).encode()
-            good[k] = b"".join(map(spell_a, ids_a[k])) == want and b"".join(map(spell_b, ids_b[k])) == want
-            if not good[k]:
-                ids_a[k] = ids_b[k] = []
+                ids_b[k] = self.lone  # the library adds no space to an empty text
+        want = (" " + " ".join(units)).encode()
+        good = np.ones(len(units), bool)
+        if any(b"".join(map(spell.__getitem__, chain.from_iterable(ids))) != want
+               for spell, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))):
+            for k, u in enumerate(units):
+                want = (" " + u).encode()
+                good[k] = b"".join(map(self.a_bytes.__getitem__, ids_a[k])) == want \
+                    and b"".join(map(self.b_bytes.__getitem__, ids_b[k])) == want
+                if not good[k]:
+                    ids_a[k] = ids_b[k] = []
         n_a = np.fromiter(map(len, ids_a), np.int64, len(units))
         n_b = np.fromiter(map(len, ids_b), np.int64, len(units))
         a = np.fromiter(chain.from_iterable(ids_a), np.int64, n_a.sum())
         b = np.fromiter(chain.from_iterable(ids_b), np.int64, n_b.sum())
         unit_a, unit_b = np.repeat(np.arange(len(units)), n_a), np.repeat(np.arange(len(units)), n_b)
         text = [""] * len(units)
-        n_groups = np.zeros(len(units), np.int64)
-        n_links = np.zeros(len(units), np.int64)
+        n_groups, n_links = np.zeros((2, len(units)), np.int64)
         pair = np.zeros(0, np.int64)
         if len(a):
             a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
@@ -147,13 +164,13 @@ class Aligner:
             # group by group, A before B: a sign before each id, none before a unit's first
             side = np.concatenate([label_a * 2, label_b * 2 + 1])
             order = np.argsort(side, kind="stable")
-            side, unit = side[order], np.concatenate([unit_a, unit_b])[order]
+            side, unit, ids = side[order], np.concatenate([unit_a, unit_b])[order], np.concatenate([a, b])[order]
             step, begin = np.diff(side, prepend=-2), np.diff(unit, prepend=-1) > 0
-            sign = np.where(begin, "", np.where(step == 0, ",", np.where(side % 2 == 1, "|", ";"))).astype(object)
-            parts = (sign + self.digits[np.concatenate([a, b])[order]]).tolist()
-            at = np.flatnonzero(begin)
-            for k, x, y in zip(unit[at].tolist(), at.tolist(), np.append(at[1:], len(parts)).tolist()):
-                text[k] = "".join(parts[x:y])
+            sign = np.where(begin, 0, np.where(step == 0, 1, np.where(side % 2 == 1, 2, 3)))
+            every = "".join((SIGNS[sign] + self.digits[ids]).tolist())
+            ends = np.append(0, np.cumsum(np.bincount(unit, weights=self.places[ids] + (sign > 0), minlength=len(units))))
+            ends = ends.astype(np.int64).tolist()
+            text = [every[x:y] for x, y in zip(ends, ends[1:])]
         self.known.update(zip(units, range(len(self.text), len(self.text) + len(units))))
         self.text += text
         self.first = np.concatenate([self.first, len(self.pair) + np.cumsum(n_links) - n_links])
@@ -164,43 +181,45 @@ class Aligner:
 
     def block(self, texts: list) -> tuple[dict, dict]:
         """Columns of the documents of a block, and the block's own row."""
-        split = [self.cut(t) if t else [] for t in texts]
-        for again in (False, True):
-            new = set()
-            for x in split:
-                new.update(x)
-            new.difference_update(self.known)
-            size = sum(map(len, new)) + 16 * len(new)
-            if again or not self.known or self.size + size <= CACHE:
-                break
+        number = Numbers()
+        local = [np.fromiter(map(number.__getitem__, self.cut(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        new = [u for u in number if u not in self.known]
+        size = sum(map(len, new)) + 16 * len(new)
+        if self.known and self.size + size > CACHE:
             self.clear()
+            new = list(number)
+            size = sum(map(len, new)) + 16 * len(new)
         self.size += size
-        self.learn(list(new))
-        n = np.fromiter(map(len, split), np.int64, len(split))
-        at = [list(map(self.known.__getitem__, x)) for x in split]
-        unit = np.fromiter(chain.from_iterable(at), np.int64, n.sum())
-        doc = np.repeat(np.arange(len(texts)), n)
-        bad = np.bincount(doc[~self.good[unit]], minlength=len(texts)) > 0
-        whole = ~bad[doc]
-        unit, doc, n = unit[whole], doc[whole], np.where(bad, 0, n)
-        sums = [np.bincount(doc, weights=v[unit], minlength=len(texts)).astype(np.int64)
+        self.learn(new)
+        used = np.fromiter(map(self.known.__getitem__, number), np.int64, len(number))
+        bad = np.array([not self.good[used[x]].all() for x in local])
+        digests = ["" if odd or not len(x) else
+                   sha256(";".join(map(self.text.__getitem__, used[x].tolist())).encode()).hexdigest() for x, odd in zip(local, bad)]
+        local = [x[:0] if odd else x for x, odd in zip(local, bad)]
+        n = np.fromiter(map(len, local), np.int64, len(local))
+        unit, doc = np.concatenate(local), np.repeat(np.arange(len(texts)), n)
+        sums = [np.bincount(doc, weights=v[used][unit], minlength=len(texts)).astype(np.int64)
                 for v in (self.n_a, self.n_b, self.n_groups, self.n_links)]
-        digests = [sha256(";".join(map(self.text.__getitem__, x)).encode()).hexdigest() if k else ""
-                   for x, k in zip(at, n.tolist())]
-        used, local = np.unique(unit, return_inverse=True)
         many = self.n_links[used]
         keys, links = np.unique(self.pair[ragged(self.first[used], many)], return_inverse=True)
         first = np.cumsum(many) - many
         # how many documents hold each pair: distinct units of a document, then distinct pairs
-        doc_unit = np.unique(doc * max(len(used), 1) + local)
-        d, u = np.divmod(doc_unit, max(len(used), 1))
-        held = np.unique(np.repeat(d, many[u]) * max(len(keys), 1) + links[ragged(first[u], many[u])])
+        d, u = np.divmod(distinct(doc * max(len(used), 1) + unit), max(len(used), 1))
+        held = distinct(np.repeat(d, many[u]) * max(len(keys), 1) + links[ragged(first[u], many[u])])
         holders = np.bincount(held % max(len(keys), 1), minlength=len(keys))
         docs = {"n_a": sums[0], "n_b": sums[1], "n_groups": sums[2], "n_links": sums[3], "groups_sha256": digests,
-                "_units": pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), local.astype(np.int32))}
+                "_units": pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), unit)}
         return docs, {"_keys": keys, "_held": holders, "_many": many.astype(np.int32), "_links": links.astype(np.int32)}
 
 
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = at = len(self)
+        return at
+
+
 _ARRAYS = {"_keys": pa.list_(pa.int64()), "_held": pa.list_(pa.int64()),
            "_many": pa.list_(pa.int32()), "_links": pa.list_(pa.int32())}
 _DOC = {"n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "groups_sha256": "string",
