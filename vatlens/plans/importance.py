@@ -25,6 +25,5 @@ def coefficient_importance(spark: SparkSession, model) -> DataFrame:
 
 
 def tree_importance(spark: SparkSession, features: Sequence[str], tree_model) -> DataFrame:
-    """MLlib ``featureImportances`` of a tree ensemble."""
-    return zip_importances(spark, features, tree_model.featureImportances.toArray().tolist(),
-                           "tree")
+    """Mean over the trees of each tree's shares of gain."""
+    return zip_importances(spark, features, tree_model.importances(), "tree")

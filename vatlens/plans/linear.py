@@ -324,71 +324,31 @@ def path_frame(spark: SparkSession, path: list[dict]) -> DataFrame:
                                  "alpha double, mean_r2 double, std_r2 double, folds int")
 
 
+def model_of_moments(features: list[str], target: str, medians: list, cells: dict, alphas=None, alpha: float = 0.0) -> LinearModel:
+    """A fit from the moments of its imputed rows, one entry per inner fold. With ``alphas`` the best of them over
+    the inner folds is taken (L3), else ``alpha``."""
+    p = len(features)
+    total = (0, np.zeros(p + 1), np.zeros((p + 1, p + 1)))
+    for m in cells.values():
+        total = _merge(total, m)
+    n = total[0]
+    means = [float(v) for v in total[1][:p]]
+    stds = [float(np.sqrt(max(total[2][i, i], 0.0) / n)) for i in range(p)]
+    path = []
+    if alphas is not None:
+        path = _path({i: _scale(m, means, stds) for i, m in cells.items()}, p, alphas)
+        alpha = best_alpha(path)
+    out = _model(features, target, medians, means, stds, _scale(total, means, stds), alpha, "ridge_cv" if path else None)
+    out.cv = [{k: v for k, v in r.items() if k != "fold_r2"} for r in path]
+    return out
+
+
 # ---------------------------------------------------------------- L9
 def cross_validate(df: DataFrame, features: list[str], target: str, fold: str,
                    alpha: float = 0.0) -> DataFrame:
-    """Refit the *whole* pipeline per fold (impute / scale statistics from
-    the training folds only) and score R² on the held-out fold.
-
-    Rows are expanded once into the k-1 training sets they belong to
-    (``explode``), so every fold's medians and moments come from one
-    aggregate each; k is a small constant.
-    """
-    spark = df.sparkSession
-    ks = sorted(r[0] for r in df.select(fold).distinct().collect())
-    x = {f: to_number(F.col(f), df.schema[f].dataType) for f in features}
-    base = df.select(F.col(fold).alias("_fold"), *[x[f].alias(f"_x{i}") for i, f in enumerate(features)],
-                     to_number(F.col(target), df.schema[target].dataType).alias("_y")) \
-             .filter(F.col("_y").isNotNull())
-    ex = base.withColumn("_train_of", F.explode(
-        F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: k != F.col("_fold"))))
-    p = len(features)
-    med = {k: {} for k in ks}
-    for r in exact_quantiles(ex, [f"_x{i}" for i in range(p)], [0.5], by=["_train_of"]).collect():
-        med[r["_train_of"]]["q" + r["column_name"][2:]] = r["value"]
-    med = {k: {f"q{i}": v.get(f"q{i}") for i in range(p)} for k, v in med.items()}
-    # per-fold imputation inside the same expanded frame
-    def imp(i):
-        e = None
-        for k in ks:
-            v = med[k][f"q{i}"]
-            cond = F.col("_train_of") == F.lit(k)
-            e = (F.when(cond, F.lit(v)) if e is None else e.when(cond, F.lit(v)))
-        return F.coalesce(F.col(f"_x{i}"), e)
-    exi = ex.select("_train_of", *[imp(i).alias(f"_x{i}") for i in range(p)], "_y")
-    st = {r["_train_of"]: r for r in exi.groupBy("_train_of").agg(
-        *[F.avg(f"_x{i}").alias(f"m{i}") for i in range(p)],
-        *[F.stddev_pop(f"_x{i}").alias(f"s{i}") for i in range(p)]).collect()}
-    models = {}
-    for k in ks:
-        medians = [med[k][f"q{i}"] for i in range(p)]
-        means = [st[k][f"m{i}"] or 0.0 for i in range(p)]
-        stds = [st[k][f"s{i}"] or 0.0 for i in range(p)]
-        models[k] = (medians, means, stds)
-    # moments of the standardised training sets, one aggregate over the expansion
-    def zcol(i):
-        e = None
-        for k in ks:
-            medians, means, stds = models[k]
-            z = ((F.col(f"_x{i}") - F.lit(means[i])) / F.lit(stds[i])) if stds[i] else F.lit(0.0)
-            cond = F.col("_train_of") == F.lit(k)
-            e = F.when(cond, z) if e is None else e.when(cond, z)
-        return e
-    zs = exi.select(F.col("_train_of").alias("_fold"), *[zcol(i).alias(f"_z{i}") for i in range(p)], "_y")
-    mom = fold_moments(zs, p, True)
-    coefs = {}
-    for k in ks:
-        medians, means, stds = models[k]
-        w, b = _solve(*mom[k], p, alpha)
-        coefs[k] = LinearModel(features, target, medians, means, stds, [float(v) for v in w],
-                               float(b), alpha=alpha, n=mom[k][0])
-    # score each held-out fold with its own model (a CASE on the fold id)
-    pred = None
-    for k in ks:
-        cond = F.col(fold) == F.lit(k)
-        pe = coefs[k].prediction()
-        pred = F.when(cond, pe) if pred is None else pred.when(cond, pe)
-    scored = df.withColumn("_y", to_number(F.col(target), df.schema[target].dataType)) \
-               .withColumn("_p", pred)
-    from vatlens.operators.summary import regression_metrics
-    return regression_metrics(scored, "_y", "_p", group_by=[fold]).withColumnRenamed(fold, "fold")
+    """Refit the *whole* pipeline per fold (impute / scale statistics from the training folds only) and score
+    R² on the held-out fold: ``fold, n, r2, mae, rmse``. One pass gives the moments of every training set, one
+    pass the predictions of every held-out fold; no row is copied (``design.Design``)."""
+    from vatlens.plans.models import cross_validate as of_models
+    kind = "LinearRegression" if not alpha else "Ridge"
+    return of_models(df, features, target, fold, models=[kind], alpha=alpha).drop("model")

@@ -793,3 +793,60 @@ SQL["alignment_losses"] = """
 SELECT unnest(['o_orderkey', 'o_totalprice', 'o_orderpriority', 'missing_col']) AS column_name,
        CAST(count(*) AS BIGINT) AS n_rows,
        unnest([0, 0, CAST(count(o_orderpriority) AS BIGINT), CAST(count(*) AS BIGINT)]) AS n_lost FROM orders"""
+
+
+# L9 with two features: normal equations of each training set, total less fold.
+SQL["cv_scores_two_features"] = f"""
+WITH p AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_partkey AS DOUBLE) AS x2, p_retailprice AS y,
+                  {HASH5.format(k='p_partkey')} AS fold FROM part),
+f AS (SELECT DISTINCT fold FROM p),
+m AS (SELECT f.fold, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS c11, covar_pop(x1, x2) AS c12,
+             var_pop(x2) AS c22, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y
+      FROM f JOIN p ON p.fold <> f.fold GROUP BY f.fold),
+s AS (SELECT fold, m1, m2, my, (c1y * c22 - c12 * c2y) / (c11 * c22 - c12 * c12) AS w1,
+             (c11 * c2y - c12 * c1y) / (c11 * c22 - c12 * c12) AS w2 FROM m),
+e AS (SELECT p.fold, p.y, p.y - (my + w1 * (x1 - m1) + w2 * (x2 - m2)) AS e FROM p JOIN s USING (fold))
+SELECT fold, CAST(count(*) AS BIGINT) AS n,
+       {RK('CASE WHEN count(*) < 2 THEN NULL ELSE 1 - sum(e * e) / (var_pop(y) * count(*)) END')} AS r2,
+       {RK('avg(abs(e))')} AS mae, {RK('sqrt(avg(e * e))')} AS rmse FROM e GROUP BY fold"""
+
+
+# The ridge model of the training rows, then the test rows permuted by the keyed bijection
+# (pairs of an index, one MD5 a round, places beyond the rows sent through again).
+def _partner_sql(source: str, x: str, key: str) -> str:
+    def word(half: str, turn: int) -> str:
+        return f"CAST(('0x' || substr(md5({half} || ':' || rep || ':42:{turn}'), 1, 8)) AS BIGINT)"
+
+    out = f"SELECT i, rep, n, a, b, {x} // b AS l, {x} % b AS r FROM {source}"
+    for turn in range(4):
+        l, r = (f"(l + {word('r', turn)}) % a AS l", "r") if turn % 2 == 0 else ("l", f"(r + {word('l', turn)}) % b AS r")
+        out = f"SELECT i, rep, n, a, b, {l}, {r} FROM ({out}) {key}{turn}"
+    return f"SELECT i, rep, n, a, b, l * b + r AS x FROM ({out}) {key}"
+
+
+_PERM_BASE = _REFIT.replace("""base AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_partkey AS DOUBLE) AS x2, p_retailprice AS y,
+                NTILE(5) OVER (ORDER BY p_partkey) - 1 AS fold FROM part)""", f"""
+base AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_partkey AS DOUBLE) AS x2, p_retailprice AS y,
+                CAST(CAST(('0x' || substr(md5(CAST(p_partkey AS VARCHAR) || 'cv'), 1, 8)) AS BIGINT) % 5 AS INTEGER) AS fold
+         FROM part WHERE {HASH5.format(k='p_partkey')} < 4)""")
+
+SQL["perm_importance"] = f"""
+WITH RECURSIVE {_PERM_BASE},
+te AS (SELECT CAST(p_size AS DOUBLE) AS x1, CAST(p_partkey AS DOUBLE) AS x2, p_retailprice AS y,
+              row_number() OVER (ORDER BY CAST(('0x' || substr(md5(p_partkey || ':rows:42'), 1, 15)) AS BIGINT), p_partkey) - 1 AS i
+       FROM part WHERE {HASH5.format(k='p_partkey')} >= 4),
+size0 AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM te),
+size AS (SELECT n, a, (n + a - 1) // a AS b FROM size0),
+starts AS (SELECT i, rep, n, a, b FROM te, size, range(10) t(rep)),
+walk AS (SELECT * FROM ({_partner_sql('starts', 'i', 's')}) f0
+         UNION ALL SELECT * FROM ({_partner_sql('(SELECT * FROM walk WHERE x >= n) again', 'x', 'w')}) f1),
+pairs AS (SELECT w.rep, te.y, te.x1, te.x2, d.x1 AS d1, d.x2 AS d2
+          FROM walk w JOIN te USING (i) JOIN te d ON d.i = w.x WHERE w.x < w.n),
+frames AS (SELECT 'p_size' AS feature, rep, y, d1 AS x1, x2 FROM pairs
+           UNION ALL SELECT 'p_partkey', rep, y, x1, d2 FROM pairs
+           UNION ALL SELECT '', 0, y, x1, x2 FROM te),
+e AS (SELECT feature, rep, y, y - (b + w1 * (x1 - m1) / s1 + w2 * (x2 - m2) / s2) AS e FROM frames, fin2, st),
+r2 AS (SELECT feature, rep, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY feature, rep),
+drops AS (SELECT q.feature, base.r2 - q.r2 AS d FROM r2 q, (SELECT r2 FROM r2 WHERE feature = '') base WHERE q.feature <> '')
+SELECT feature, {R('avg(d)')} AS importance_mean, {R('stddev_pop(d)')} AS importance_std, CAST(count(*) AS BIGINT) AS repeats
+FROM drops GROUP BY feature"""

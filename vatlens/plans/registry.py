@@ -423,6 +423,12 @@ def q_block_folds(spark, d):
     return split.block_folds(ev(spark, d).select("event_id", "ts"), ORDER, 5).select("event_id", "fold")
 
 
+@query("cv_scores_two_features")
+def q_cv_scores_two_features(spark, d):
+    p = split.hash_folds(_part(spark, d), "p_partkey", 5)
+    return _rk(linear.cross_validate(p, PART_X2, PART_Y, "fold").select("fold", "n", "r2", "mae", "rmse"))
+
+
 @query("cv_scores")
 def q_cv_scores(spark, d):
     p = split.hash_folds(_part(spark, d), "p_partkey", 5)
@@ -662,7 +668,7 @@ def q_attach_scores(spark, d):
 
 # ------------------------------------------------------------------ random / iterative (rows-only)
 from vatlens.operators import bootstrap  # noqa: E402
-from vatlens.plans import models  # noqa: E402
+from vatlens.plans import importance, models  # noqa: E402
 
 
 @query("bootstrap_ci")
@@ -687,7 +693,7 @@ def _part_split(spark, d):
 @query("rf_score")
 def q_rf_score(spark, d):
     tr, te = _part_split(spark, d)
-    m = models.fit_tree(tr, PART_X2, PART_Y, "rf", num_trees=300)
+    m = models.fit_tree(tr, PART_X2, PART_Y, "rf", num_trees=300, key="p_partkey")
     return _r6(summary.regression_metrics(m.transform(te), PART_Y, "prediction"))
 
 
@@ -705,6 +711,33 @@ def q_rff_score(spark, d):
     return _r6(summary.regression_metrics(m.transform(te), PART_Y, "prediction"))
 
 
+@query("svr_score")
+def q_svr_score(spark, d):
+    tr, te = _part_split(spark, d)
+    m = models.svr.fit_svr(tr, PART_X2, PART_Y)
+    scored = summary.regression_metrics(m.transform(te), PART_Y, "prediction")
+    return _r6(scored.withColumn("gap_below_tolerance", F.lit(m.params["gap"] < models.svr.TOLERANCE)))
+
+
+@query("cv_models")
+def q_cv_models(spark, d):
+    """L9 for every kind of model, two features: R² of each held-out fold."""
+    p = split.hash_folds(_part(spark, d), "p_partkey", 5)
+    return _r6(models.cross_validate(p, PART_X2, PART_Y, "fold", key="p_partkey").select("model", "fold", "n", "r2"))
+
+
+@query("tree_importance")
+def q_tree_importance(spark, d):
+    """Importances of a forest and of boosted trees."""
+    tr, _ = _part_split(spark, d)
+    out = None
+    for kind, trees in (("rf", 100), ("gbt", 100)):
+        m = models.fit_tree(tr, PART_X2, PART_Y, kind, num_trees=trees, key="p_partkey")
+        one = importance.tree_importance(spark, PART_X2, m).withColumn("model", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return _r6(out)
+
+
 @query("model_leaderboard")
 def q_model_leaderboard(spark, d):
     tr, te = _part_split(spark, d)
