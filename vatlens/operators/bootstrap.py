@@ -3,24 +3,36 @@
 Poisson bootstrap: instead of resampling n rows with replacement, every row
 takes a weight ~ Poisson(1) in each replicate, drawn from the MD5 of
 ``(row key, replicate, seed)`` - deterministic in any engine, no shuffle of the rows and
-no driver-side sampling. Each row expands into ``replicates`` weighted
-copies inside the generator that feeds the partial aggregate, so the
-shuffle carries at most groups x replicates partial sums per task; a hot
-group is combined map-side like any sum. The interval is the percentile
-interval of the replicate means.
+no driver-side sampling. The weights of all replicates of a row are one array,
+added to the arrays of its group within the task (weights, and weights times value),
+so a row never becomes a row per replicate: the shuffle carries one pair of arrays
+per group and task, and a hot group is combined map-side like any sum. The interval
+is the percentile interval of the replicate means.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vatlens.operators.cleaning import to_number
 from vatlens.session import spread
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Bytes of the arrays a task holds before it hands them on, and rows whose weights are drawn at a time.
+HELD_BYTES, ROWS = 64_000_000, 1_024
+#: Arrays of one group that meet in one task; with more partitions they are added in two steps.
+FAN_IN = 512
+
 
 def _names(x) -> list[str]:
     if x is None:
@@ -30,27 +42,23 @@ def _names(x) -> list[str]:
     return list(x)
 
 
-def poisson1(u: Column, kmax: int = 12) -> Column:
-    """Inverse CDF of Poisson(1) at a uniform ``u`` in [0, 1)."""
-    cdf, p, edges = 0.0, math.exp(-1.0), []
-    for k in range(kmax):
-        cdf += p
-        edges.append(cdf)
-        p = p / (k + 1)
-    e = F.lit(kmax)
-    for k in reversed(range(kmax)):
-        e = F.when(u < F.lit(edges[k]), F.lit(k)).otherwise(e)
-    return e
+def poisson1_edges(kmax: int = 12) -> np.ndarray:
+    """Distribution function of Poisson(1) at 0 .. kmax - 1; weights are at most ``kmax``."""
+    return np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(kmax)])
 
 
 #: Replicates that one MD5 of (row key, block of replicates, seed) serves: 32 bits each.
 _PER_HASH = 4
 
 
-def _uniform(digest: Column, part: Column) -> Column:
-    """Uniform in [0, 1): one of the four 32-bit parts of an MD5 in hexadecimal."""
-    word = F.conv(F.substring(digest, part * 8 + 1, F.lit(8)), 16, 10).cast("double")
-    return word / F.lit(float(1 << 32))
+def replicate_weights(keys: list[str], replicates: int, seed: int) -> np.ndarray:
+    """Weights ``(rows, replicates)``: the inverse distribution function at each 32-bit part of the digests."""
+    blocks = [f":{b}:{seed}".encode() for b in range(-(-replicates // _PER_HASH))]
+    raw = b"".join([md5(k + b).digest() for k in map(str.encode, keys) for b in blocks])
+    u = np.frombuffer(raw, ">u4").reshape(len(keys), -1)[:, :replicates]
+    # the least 32-bit number whose share is not below an edge
+    edges = np.ceil(poisson1_edges() * float(1 << 32)).astype(np.uint32)
+    return np.searchsorted(edges, u.astype(np.uint32), side="right").astype(np.float64)
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, by: Sequence[str] | None = None,
@@ -67,24 +75,58 @@ def bootstrap_mean_ci(df: DataFrame, value: str, by: Sequence[str] | None = None
                      F.col(key).cast("string").alias("_k")).filter(F.col("_v").isNotNull())
     means = base.groupBy(*keys).agg(F.avg("_v").alias("mean"),
                                     F.count(F.lit(1)).cast("long").alias("n"))
-    blocks = -(-replicates // _PER_HASH)
-    ex = spread(base).select(*keys, "_v", "_k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")) \
-        .select(*keys, "_v", "_b", F.md5(F.concat_ws(":", "_k", "_b", F.lit(seed)).cast("binary")).alias("_h"))
-    ex = ex.select(*keys, "_v", "_h", "_b", F.explode(F.sequence(F.lit(0), F.lit(_PER_HASH - 1))).alias("_p")) \
-        .withColumn("_r", F.col("_b") * _PER_HASH + F.col("_p")).filter(F.col("_r") < replicates)
-    w = poisson1(_uniform(F.col("_h"), F.col("_p")))
-    reps = ex.groupBy(*keys, "_r").agg(F.sum(w * F.col("_v")).alias("_sw"),
-                                      F.sum(w).alias("_w"))
-    reps = reps.withColumn("_m", F.try_divide(F.col("_sw"), F.col("_w").cast("double")))
-    a = (1.0 - level) / 2.0
-    ci = reps.groupBy(*keys).agg(
-        F.percentile("_m", F.array(F.lit(a), F.lit(1.0 - a))).alias("_ci"))
-    ci = ci.select(*keys, F.col("_ci")[0].alias("ci_lo"), F.col("_ci")[1].alias("ci_hi"))
+    # groups travel as one text, equal for equal keys, and are read back by name
+    group = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])) if keys else F.lit("")
+    sent = spread(base).select(group.alias("_g"), "_v", "_k")
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out():
+            for g, v in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([g]), *[pa.array([x], pa.list_(pa.float64())) for x in v]],
+                                                 names=["_g", "w", "s"])
+            held.clear()
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                w = replicate_weights(["" if k is None else k for k in b.column(2).to_pylist()], replicates, seed)
+                v = b.column(1).to_numpy()
+                codes = b.column(0).dictionary_encode()
+                code = codes.indices.to_numpy()
+                order = np.argsort(code, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(code[order]) > 0))
+                both = [np.add.reduceat(x[order], starts, axis=0) for x in (w, w * v[:, None])]
+                for g, *sums in zip(codes.dictionary.take(pa.array(code[order][starts])).to_pylist(), *both):
+                    held[g] = held[g] + np.array(sums) if g in held else np.array(sums)
+                if len(held) * 16 * replicates > HELD_BYTES:
+                    yield from out()
+        yield from out()
+
+    def add(part: pa.Table) -> pa.Table:
+        sums = [np.sum([x.values.to_numpy() for x in part.column(c)], axis=0) for c in ("w", "s")]
+        return pa.table([part.column("_g")[:1], *[pa.array([x], pa.list_(pa.float64())) for x in sums]], names=["_g", "w", "s"])
+
+    tail = (1.0 - level) / 2.0
+
+    def interval(part: pa.Table) -> pa.Table:
+        sums = add(part)
+        w, s = (sums.column(c)[0].values.to_numpy() for c in ("w", "s"))
+        m = s[w > 0] / w[w > 0]
+        ends = np.quantile(m, [tail, 1.0 - tail]).tolist() if len(m) else [None, None]
+        return pa.table([sums.column("_g"), *[pa.array([x], pa.float64()) for x in ends]], names=["_g", "ci_lo", "ci_hi"])
+
+    parts = sent.mapInArrow(partial, "_g string, w array<double>, s array<double>")
+    if sent.rdd.getNumPartitions() > FAN_IN:
+        parts = parts.withColumn("_p", F.spark_partition_id() % FAN_IN).groupBy("_g", "_p") \
+            .applyInArrow(lambda t: add(t.select(["_g", "w", "s"])), "_g string, w array<double>, s array<double>")
+    ci = parts.groupBy("_g").applyInArrow(interval, "_g string, ci_lo double, ci_hi double")
     if keys:
-        return means.join(ci, on=keys, how="left")
+        return means.withColumn("_g", group).join(ci, "_g", "left").select(*means.columns, "ci_lo", "ci_hi")
     row = ci.first()
-    return means.withColumns({"ci_lo": F.lit(row["ci_lo"]).cast("double"),
-                              "ci_hi": F.lit(row["ci_hi"]).cast("double")})
+    lo, hi = (row["ci_lo"], row["ci_hi"]) if row else (None, None)
+    return means.withColumns({"ci_lo": F.lit(lo).cast("double"), "ci_hi": F.lit(hi).cast("double")})
 
 
 def trend_with_ci(df: DataFrame, time: str | Column, value: str, key: str | None = None,
