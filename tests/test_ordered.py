@@ -74,3 +74,44 @@ def test_hot_run_is_split_into_pieces(spark):
     got = ordered.diff(df, ["v"], ["t"], ["run"], buckets=16).select("t", "v_diff")
     exp = df.select("t", (F.col("v") - F.lag("v").over(Window.partitionBy("run").orderBy("t"))).alias("v_diff"))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
+ORDERS = {
+    "tied": (["const", "event_id"], None), "tied twice": (["const", "hour", "event_id"], None),
+    "text": (["event_type", "name"], None), "decimal": (["dec", "event_id"], None),
+    "nulls": (["maybe", "event_id"], None), "run": (["const", "event_id"], ["event_type"]),
+    "text run": (["name"], ["event_type"])}
+
+
+@pytest.fixture(scope="module")
+def keyed_events(events):
+    return events.withColumns({
+        "const": F.lit("2024-01-01").cast("timestamp_ntz"), "hour": F.hour("ts"), "dec": (F.col("event_id") % 50).cast("decimal(20,3)") / 7,
+        "name": F.concat(F.lit("é"), F.lpad(F.col("event_id").cast("string"), 7, "0")),
+        "maybe": F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 5)})
+
+
+@pytest.mark.parametrize("buckets", [3, 24, 600])
+@pytest.mark.parametrize("kind", list(ORDERS))
+def test_splitters_over_the_whole_order(keyed_events, kind, buckets):
+    order, run = ORDERS[kind]
+    sub = ordered.with_order_bucket(keyed_events, order, buckets)
+    sizes = [r["count"] for r in sub.groupBy(ordered._SUB).count().collect()]
+    assert len(sizes) > buckets / 2 and max(sizes) < max(6 * sum(sizes) / buckets, 80)   # no piece holds a tie whole
+    got = ordered.diff(keyed_events, ["value"], order, run, buckets=buckets).select("event_id", "value_diff")
+    w = Window.partitionBy(*(run or [])).orderBy(*order)
+    exp = keyed_events.select("event_id", (F.col("value") - F.lag("value").over(w)).alias("value_diff"))
+    assert got.exceptAll(exp).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["tied", "text"])
+def test_folds_over_the_whole_order(keyed_events, kind):
+    order, _ = ORDERS[kind]
+    got = ordered.contiguous_folds(keyed_events, order, 5, buckets=16).select("event_id", "fold")
+    exp = keyed_events.select("event_id", (F.ntile(5).over(Window.orderBy(*order)) - 1).alias("fold"))
+    assert got.exceptAll(exp).count() == 0
+
+
+def test_hot_table_of_one_timestamp_is_split_by_default(keyed_events):
+    sub = ordered.with_order_bucket(keyed_events, ["const", "event_id"])
+    assert sub.select(ordered._SUB).distinct().count() > 4

@@ -6,13 +6,13 @@ A DataFrame has no row order, so every operator here takes ``order_by``
 sends a whole run to one task, and with no run key the whole table to one
 task. To keep every task bounded we split each run into *order buckets*:
 
-1. one ``percentile_approx`` pass over the leading order key gives
-   ``buckets - 1`` equal-frequency cut points (a bounded list of doubles) and
-   the row count; the default is twice the shuffle width, and when the count
-   asks for more (about 4M rows per bucket, at most 65,536 buckets) a second,
-   finer pass runs - so small inputs pay one job and 100 TB inputs get
-   buckets of bounded size;
-2. each row gets ``sub = bucket(order key)``, a deterministic function of the
+1. a sample of the order tuples, ``CUT_SAMPLE`` per bucket, is sorted and gives
+   ``buckets - 1`` equal-frequency splitters; the row count sets the number of
+   buckets (about 4M rows each at scale). A splitter keeps only as many keys of
+   its tuple as tell it from its neighbour, so untied leading keys cost one
+   comparison, and a table with one timestamp is split by the keys behind it.
+   Keys may be of any type with an order: numbers, decimals, text, times;
+2. each row gets ``sub = bucket(order tuple)``, a deterministic function of the
    row, so every branch below computes the same value without a shuffle;
 3. the window runs over ``(partition_by, sub)`` - a hot run is cut into as
    many pieces as the order key allows;
@@ -48,12 +48,15 @@ def _names(x) -> list[str]:
 
 def order_position(df: DataFrame, column: str) -> Column:
     """A double that increases with ``column`` (timestamps become microseconds)."""
-    t = df.schema[column].dataType
-    c = F.col(column)
+    return order_position_of(F.col(column), df.schema[column].dataType)
+
+
+_FAST = (T.TimestampNTZType, T.TimestampType, T.DateType, T.IntegralType, T.FloatType, T.DoubleType)
+
+
+def order_position_of(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.TimestampNTZType):
-        return F.expr(
-            f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)"
-        ).cast("double")
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c).cast("double")
     if isinstance(t, T.TimestampType):
         return F.unix_micros(c).cast("double")
     if isinstance(t, T.DateType):
@@ -65,7 +68,9 @@ def order_position(df: DataFrame, column: str) -> Column:
 
 ROWS_PER_BUCKET = 4_000_000   # target rows per order bucket at scale
 LEAST_ROWS = 1_000            # below this a bucket is not worth a task
-CUT_SAMPLE = 200              # sampled rows per bucket that its cut points are taken from
+CUT_SAMPLE = 200              # sampled rows per bucket that its splitters are taken from
+CUT_ROWS = 2_000_000          # sampled rows in all, which one task sorts (at least 2 a bucket)
+CASE_CUTS = 256               # longer lists of splitters would outgrow a generated method
 
 
 def _buckets_for(df: DataFrame, rows: int) -> int:
@@ -74,47 +79,77 @@ def _buckets_for(df: DataFrame, rows: int) -> int:
     return max(2, spread_out, -(-rows // ROWS_PER_BUCKET))
 
 
-def _cut_points(df: DataFrame, pos: Column, buckets: int | None) -> list[float]:
-    """Cut points of about equal buckets. They need not be exact (any cuts give the same
-    result), so they come from a sample of ``CUT_SAMPLE`` rows per bucket and what
+def _splitters(df: DataFrame, order_by: list[str], buckets: int | None) -> list[tuple]:
+    """Ascending splitters of about equal buckets, as tuples of texts that cast back to the keys' types.
+    They need not be exact (any splitters give the same result), so they come from a sample and what
     meets in one task does not grow with the table."""
-    rows = df.agg(F.count(pos).alias("n")).first()["n"]
+    rows = df.count()
     if not rows:
         return []
     buckets = buckets or _buckets_for(df, rows)
-    probs = [i / buckets for i in range(1, buckets)]
-    if not probs:
+    if buckets < 2:
         return []
-    fraction = min(1.0, CUT_SAMPLE * buckets / rows)
-    some = df.select(pos.alias("_vl_p"))
-    some = some.sample(fraction, seed=17) if fraction < 1.0 else some
-    qs = some.agg(F.percentile_approx("_vl_p", probs, max(10000, 10 * buckets)).alias("q")).first()["q"]
-    return sorted({float(q) for q in (qs or []) if q is not None})
-
-
-def _bucket_expr(pos: Column, cuts: list[float]) -> Column:
-    """Index of the cut interval holding ``pos`` as a balanced CASE tree.
-
-    Depth is log2(len(cuts)); null positions go to bucket -1 (nulls sort
-    first in an ascending window).
-    """
+    wanted = min(CUT_SAMPLE * buckets, max(CUT_ROWS, 2 * buckets))
+    some = df.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)]).alias("_vl_k"))
+    some = some.sample(min(1.0, wanted / rows), seed=17) if wanted < rows else some
+    tile = some.withColumn("_vl_t", F.ntile(buckets).over(Window.orderBy("_vl_k")))
+    firsts = tile.groupBy("_vl_t").agg(F.min("_vl_k").alias("_vl_k")).where("_vl_t > 1").orderBy("_vl_t")
+    found = [tuple(r) for r in firsts.select(*[F.col(f"_vl_k.k{i}").cast("string") for i in range(len(order_by))]).collect()]
+    out: list[tuple] = []
+    last: tuple = ()
+    for t in found:
+        if t == last:
+            continue
+        same = next((i for i, (x, y) in enumerate(zip(t, last)) if x != y), 0)
+        # keys up to the first that differs; a leading null is the smallest key and splits nothing
+        cut = t[:same + 1]
+        last = t
+        if any(x is not None for x in cut):
+            out.append(cut)
+    return out
+
+
+def _below(df: DataFrame, order_by: list[str], cut: tuple) -> Column:
+    """Whether a row's keys come before ``cut`` (nulls first, as in an ascending window)."""
+    out = F.lit(False)
+    for c, text in reversed(list(zip(order_by, cut))):
+        if text is None:
+            out = F.col(c).isNull() & out
+        else:
+            v = F.lit(text).cast(df.schema[c].dataType)
+            out = F.col(c).isNull() | (F.col(c) < v) | ((F.col(c) == v) & out)
+    return out
+
+
+def _bucket_expr(below: list[Column]) -> Column:
+    """Number of splitters at or before the row, as a balanced CASE tree of depth log2."""
     def build(lo: int, hi: int) -> Column:
-        # bucket index in [lo, hi]; cuts[i] is the lower edge of bucket i+1
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi + 1) // 2
-        return F.when(pos < F.lit(cuts[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
+        return F.when(below[mid - 1], build(lo, mid - 1)).otherwise(build(mid, hi))
+
+    return build(0, len(below))
+
+
+def _at_or_below(cuts: Column, size: Column, key: Column, most: int) -> Column:
+    """Number of the ascending ``cuts`` (an array of at most ``most``) that are <= ``key``, by binary search."""
+    def step(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        go = F.get(cuts, mid) <= key
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & go, mid + 1).otherwise(s["lo"]).alias("lo"),
+                        F.when(open_ & ~go, mid).otherwise(s["hi"]).alias("hi"))
 
-    if not cuts:
-        return F.when(pos.isNull(), F.lit(-1)).otherwise(F.lit(0))
-    return F.when(pos.isNull(), F.lit(-1)).otherwise(build(0, len(cuts)))
+    steps = F.sequence(F.lit(1), F.lit(max(1, most.bit_length())))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.cast("int").alias("hi")), step, lambda s: s["lo"])
 
 
 def _group_buckets(df: DataFrame, pos: Column, groups: list[str], buckets: int | None,
                    name: str) -> DataFrame:
     """Per-group cut points (a small table, checkpointed once), attached by a
     join on the group key; the bucket is the number of the group's cut points
-    at or below the value (``size(filter(...))``). The largest group sets their
+    at or below the value (binary search). The largest group sets their
     number. Meant for many groups of moderate size; one huge ordered set takes
     the global path (``per_group=None``)."""
     from vatlens.session import materialize
@@ -133,7 +168,7 @@ def _group_buckets(df: DataFrame, pos: Column, groups: list[str], buckets: int |
         cond = t if cond is None else cond & t
     j = df.join(c, cond, "left")
     b = F.when(pos.isNull(), F.lit(-1)).otherwise(
-        F.coalesce(F.size(F.filter(F.col("_vl_cuts"), lambda x: x <= pos)), F.lit(0)))
+        F.coalesce(_at_or_below(F.col("_vl_cuts"), F.size("_vl_cuts"), pos, n), F.lit(0)))
     return j.withColumn(name, b.cast("int")).drop("_vl_cuts", *["_vr_" + g for g in groups])
 
 
@@ -146,22 +181,42 @@ def with_order_bucket(df: DataFrame, order_by: Sequence[str], buckets: int | Non
     the values of different columns.
     """
     order_by = _names(order_by)
-    pos = order_position(df, order_by[0])
     groups = _names(per_group)
     if groups:
-        return _group_buckets(df, pos, groups, buckets, name)
-    cuts = _cut_points(df, pos, buckets)
-    if len(cuts) <= 256:
-        return df.withColumn(name, _bucket_expr(pos, cuts))
-    # long cut lists: MLlib's Bucketizer (a JVM binary search) instead of a
-    # CASE tree that would outgrow the generated-method size limit
-    from pyspark.ml.feature import Bucketizer
-    tmp = df.withColumn("_vl_pos", pos)
-    bz = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_vl_pos",
-                    outputCol="_vl_bkt", handleInvalid="keep")
-    out = bz.transform(tmp)
-    b = F.when(F.col("_vl_pos").isNull(), F.lit(-1)).otherwise(F.col("_vl_bkt").cast("int"))
-    return out.withColumn(name, b).drop("_vl_pos", "_vl_bkt")
+        return _group_buckets(df, order_position(df, order_by[0]), groups, buckets, name)
+    cuts = _splitters(df, order_by, buckets)
+    if len(cuts) <= CASE_CUTS:
+        return df.withColumn(name, _bucket_expr([_below(df, order_by, c) for c in cuts]))
+    if all(len(c) == 1 for c in cuts) and isinstance(df.schema[order_by[0]].dataType, _FAST):
+        # MLlib's Bucketizer: a JVM binary search over one numeric key
+        from pyspark.ml.feature import Bucketizer
+        pos = order_position(df, order_by[0])
+        first = df.schema[order_by[0]].dataType
+        as_numbers = df.sparkSession.range(1).select(F.array(*[
+            order_position_of(F.lit(c[0]).cast(first), first) for c in cuts]).alias("v")).first()["v"]
+        bz = Bucketizer(splits=[-float("inf"), *sorted(set(as_numbers)), float("inf")], inputCol="_vl_pos",
+                        outputCol="_vl_bkt", handleInvalid="keep")
+        out = bz.transform(df.withColumn("_vl_pos", pos))
+        b = F.when(F.col("_vl_pos").isNull(), F.lit(-1)).otherwise(F.col("_vl_bkt").cast("int"))
+        return out.withColumn(name, b).drop("_vl_pos", "_vl_bkt")
+    # two levels of CASE trees: every ``CASE_CUTS``-th splitter, then those between, one tree per stretch
+    step = -(-len(cuts) // CASE_CUTS)
+    coarse = df.withColumn("_vl_c", _bucket_expr([_below(df, order_by, c) for c in cuts[::step]]))
+    first = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    keys = coarse.select(first.alias("k")).schema["k"].dataType
+    table = F.array(*[F.array(*[_as_key(df, order_by, c) for c in cuts[i:i + step]]) for i in range(0, len(cuts), step)])
+    row = df.sparkSession.range(1).select(F.to_json(F.struct(table.alias("t"))).alias("t")).first()["t"]
+    shape = T.StructType([T.StructField("t", T.ArrayType(T.ArrayType(keys)))])
+    within = F.get(F.from_json(F.lit(row), shape)["t"], F.col("_vl_c") - 1)
+    found = _at_or_below(F.array_sort(within), F.size(within), first, step)
+    return coarse.withColumn(name, (F.when(F.col("_vl_c") == 0, F.lit(0)).otherwise(
+        (F.col("_vl_c") - 1) * F.lit(step) + F.coalesce(found, F.lit(0)))).cast("int")).drop("_vl_c")
+
+
+def _as_key(df: DataFrame, order_by: list[str], cut: tuple) -> Column:
+    """A splitter as a whole key; the keys it leaves out are null, the smallest."""
+    return F.struct(*[(F.lit(cut[i]) if i < len(cut) else F.lit(None)).cast(df.schema[c].dataType).alias(f"k{i}")
+                      for i, c in enumerate(order_by)])
 
 
 def _default(t: T.DataType) -> Column:
