@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_golden import COLS, RAW
 from test_sources_commands import _write_csv
 from vatlens import cli
+from vatlens.operators import history
 from vatlens.plans.eda import eda_report, missing_by_bucket
 
 
@@ -26,6 +27,15 @@ def test_cli_train_predict_benchmark_clean(spark, tmp_path, capsys):
     cli.main(["benchmark", "--model", out, "--data", data])
     m = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert m["n"] == 66 and m["r2"] > 0.9
+    runs = str(tmp_path / "runs")
+    cli.main(["predict", "--model", out, "--input", data, "--output", pred, "--history", runs, "--user", "ann"])
+    cli.main(["predict", "--model", out, "--input", data, "--output", pred + "csv", "--csv", "--history", runs, "--user", "ann"])
+    cli.main(["benchmark", "--model", out, "--data", data, "--history", runs, "--user", "ann"])
+    records = history.history_summary(history.read_runs(spark, runs)).orderBy("id").collect()
+    assert [r["mode"] for r in records] == ["Predict", "Predict", "Benchmark"]
+    assert records[0]["summary"] == records[1]["summary"] and records[0]["summary"].endswith("Rows: 66")
+    assert records[2]["summary"].startswith("R²: ")
+    assert history.history_page(history.read_runs(spark, runs), "ann").count() == 3
     cl = str(tmp_path / "c")
     cli.main(["clean", "--data", data, "--out", cl, "--csv"])
     assert spark.read.option("header", True).csv(cl).count() == 66

@@ -136,3 +136,55 @@ def test_describe_approx_close_to_exact(spark):
     assert ex["count"] == ap["count"] == 2000 and ex["mean"] == pytest.approx(ap["mean"])
     for q in ("p25", "p50", "p75"):
         assert abs(ex[q] - ap[q]) < 0.2
+
+
+def test_wide_correlations_equal_the_narrow_ones(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        v = [float(x) for x in rng.normal(size=7) * [1, 1e4, 1e-3, 1, 1, 1, 1] + [0, 1e8, 0, 5, 0, 0, 0]]
+        v[3] = 7.25                                                    # constant
+        v[4] = None if i % 3 else v[0]                                 # mostly missing
+        v[5] = float("nan") if i % 5 == 0 else (0.1 if i % 3 == 0 else v[5])   # constant where v[4] is there
+        v[6] = None                                                    # nothing
+        rows.append((*v,))
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(7))).repartition(5)
+    narrow = {(r["col_a"], r["col_b"]): r["corr"] for r in summary.corr_matrix(df).collect()}
+    monkeypatch.setattr(summary, "FAN_IN", 2)
+    for block, held in ((3, summary.PASS_BYTES), (2, 500)):
+        monkeypatch.setattr(summary, "PASS_BYTES", held)
+        wide = {(r["col_a"], r["col_b"]): r["corr"] for r in summary.corr_blocks(df, df.columns, block).collect()}
+        assert wide.keys() == narrow.keys()
+        for k, v in narrow.items():
+            assert (wide[k] is None) == (v is None), k
+            assert v is None or abs(wide[k] - v) < 1e-9, k
+
+
+def test_two_thousand_columns(spark):
+    df = spark.range(200).select(*[(F.sin(F.col("id") * (i + 1)) + F.col("id") % (i % 7 + 2)).alias(f"c{i}") for i in range(2000)])
+    got = summary.corr_matrix(spark.createDataFrame(df.toPandas()))
+    assert got.count() == 4_000_000
+    assert got.where("corr > 1.0000001 or corr < -1.0000001").count() == 0
+
+
+def test_pixel_trend_keeps_the_drawn_range(spark):
+    rows = [(i, float((i * 37) % 101) if i % 11 else None, float(i % 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "t long, a double, b double").repartition(4)
+    got = distribution.pixel_trend(df, "t", ["a", "b"], "t", pixels=50)
+    assert got.count() == 2 * 50 * 4
+    for c in ("a", "b"):
+        for p in range(0, 50, 7):
+            here = [(i, r) for i, *v in rows for r in [v["ab".index(c)]] if r is not None and min(int(i / 1999 * 50), 49) == p]
+            point = {r["role"]: (r["time"], r["value"]) for r in got.where((F.col("metric") == c) & (F.col("pixel") == p)).collect()}
+            assert point["first"] == here[0] and point["last"] == here[-1]
+            assert point["lowest"] == min(here, key=lambda x: (x[1], x[0])) and point["highest"] == min(here, key=lambda x: (-x[1], x[0]))
+    assert distribution.pixel_trend(df.limit(0), "t", ["a"], "t").count() == 0
+
+
+def test_class_sample_is_exact_and_independent_of_partitions(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") % 7 == 0, None).otherwise("hot").alias("c"))
+    one = sorted(r["id"] for r in distribution.class_sample(df.repartition(1), ["c"], "id", 150).collect())
+    many = distribution.class_sample(df.repartition(13), ["c"], "id", 150)
+    assert sorted(r["id"] for r in many.collect()) == one
+    assert {r["c"]: r["count"] for r in many.groupBy("c").count().collect()} == {"rare": 100, "hot": 150, None: 150}

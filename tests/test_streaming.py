@@ -28,6 +28,9 @@ def test_stream_scores_and_alerts(spark, tmp_path):
     b = {r["username"]: r for r in spark.read.parquet(sink + "/batches").collect()}
     assert b["u1"]["triggered"] and not b["u2"]["triggered"]
     assert spark.read.parquet(sink + "/alerts").count() == 1
+    runs = spark.read.parquet(sink + "/runs")
+    assert {r["username"] for r in runs.collect()} == {"u1", "u2"} and runs.select("id").distinct().count() == 2
+    assert {r["n"] for r in runs.select(F.get_json_object("results", "$.count").cast("int").alias("n")).collect()} == {5}
 
 
 def test_stream_restart_resumes_from_checkpoint(spark, tmp_path):

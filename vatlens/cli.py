@@ -3,6 +3,7 @@
     train      --data X.csv --target T --out DIR [--run COL]
     predict    --model DIR --input X.csv --output OUT [--keep-all] [--stats batch|model]
     benchmark  --model DIR --data X.csv [--target T]
+               both: [--history RUNS --user NAME] append a run record
     clean      --data X.csv --out OUT [--csv]
     eda        --data X.csv --out DIR --numeric C --category C [--hue C] [--value C] [--key C | --order-by C...]
 
@@ -27,6 +28,23 @@ def _read(spark: SparkSession, path: str):
     return files.read_csv(spark, path)
 
 
+def _read_back(spark: SparkSession, path: str, csv: bool):
+    from vatlens.sources import files
+    return files.read_csv(spark, path) if csv else files.read_table(spark, path)
+
+
+def _run_id() -> int:
+    """Microseconds since 1970: ascending over the runs of a history."""
+    import time
+    return time.time_ns() // 1000
+
+
+def _record(a, run) -> None:
+    """Append the run to the history table."""
+    from vatlens.operators import history
+    history.append_runs(run, a.history)
+
+
 def cmd_train(spark, a):
     from vatlens.plans import commands
     from vatlens.plans.preprocess import bioprocess_spec
@@ -36,6 +54,7 @@ def cmd_train(spark, a):
 
 
 def cmd_predict(spark, a):
+    from vatlens.operators import history
     from vatlens.plans import commands
     from vatlens.plans.preprocess import bioprocess_spec
     from vatlens.sources import feature_schema, files
@@ -44,17 +63,26 @@ def cmd_predict(spark, a):
                            output="input" if a.keep_all else "processed", stats=a.stats,
                            name="Pred_" + model.target)
     files.write_table(out, a.output, "csv" if a.csv else "parquet")
+    if a.history:
+        # from what was written: the scores are not computed again
+        done = _read_back(spark, a.output, a.csv)
+        _record(a, history.prediction_run(done, "Pred_" + model.target, a.user, a.input, a.model, _run_id()))
     print(json.dumps({"predictions": a.output}))
 
 
 def cmd_benchmark(spark, a):
+    from vatlens.operators import history
     from vatlens.plans import commands
     from vatlens.plans.preprocess import bioprocess_spec
     from vatlens.sources import feature_schema
     model = feature_schema.load_linear_model(spark, f"{a.model}/model")
     if a.target and a.target != model.target:
         raise SystemExit(f"model was trained for {model.target}, not {a.target}")
-    m = commands.benchmark(_read(spark, a.data), model, bioprocess_spec(a.run), a.stats).first()
+    metrics = commands.benchmark(_read(spark, a.data), model, bioprocess_spec(a.run), a.stats)
+    m = metrics.first()
+    if a.history:
+        one = spark.createDataFrame([m], metrics.schema)
+        _record(a, history.benchmark_run(one, a.user, a.data, a.model, _run_id()))
     print(json.dumps({"r2": m["r2"], "mae": m["mae"], "rmse": m["rmse"], "n": m["n"]}))
 
 
@@ -87,6 +115,8 @@ def build_parser() -> argparse.ArgumentParser:
         s = sub.add_parser(name)
         s.add_argument("--model", required=True, help="training output folder")
         s.add_argument("--run", default=None)
+        s.add_argument("--history", default=None, help="append a run record to this history table")
+        s.add_argument("--user", default="cli", help="user named in the run record")
         s.add_argument("--stats", choices=["batch", "model"], default="batch",
                        help="z-score statistics of this batch (reference) or of the training set")
         if name == "predict":

@@ -24,6 +24,10 @@ from vatlens.operators.cleaning import to_number
 from vatlens.session import spread
 
 
+#: Slices of a class whose smallest hashes are found apart before they are merged.
+SLICES = 512
+
+
 def _names(x) -> list[str]:
     if x is None:
         return []
@@ -261,6 +265,70 @@ def bucket_trend(df: DataFrame, time_bucket: Column, cols: Sequence[str]) -> Dat
                                         F.count("value").cast("long").alias("n")))
 
 
+def pixel_trend(df: DataFrame, time: str, cols: Sequence[str], key: str, pixels: int = 800) -> DataFrame:
+    """A21 at scale without loss to the eye: ``(metric, pixel, role, time, value)`` with the first, last, lowest
+    and highest point of every (pixel bucket, metric).
+
+    A line through these points covers the same pixels as one through all points: within a column of pixels it
+    enters at the first, leaves at the last and spans lowest to highest. Four ``min_by`` / ``max_by`` per group,
+    combined map-side; ties go to the earliest row, then the smallest ``key``.
+    """
+    cols = _names(cols)
+    t = F.col(time)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType), t) \
+        if isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType)) else t.cast("double")
+    base = df.select(t.alias("_t"), micros.alias("_u"), F.col(key).alias("_k"), *[F.col(c).cast("double").alias(c) for c in cols])
+    span = base.agg(F.min("_u").alias("a"), F.max("_u").alias("z")).first()
+    if span["a"] is None:
+        wide, low = 1.0, 0.0
+    else:
+        low, wide = float(span["a"]), float(span["z"] - span["a"]) or 1.0
+    pixel = F.least(F.floor((F.col("_u") - F.lit(low)) / F.lit(wide) * F.lit(pixels)), F.lit(pixels - 1)).cast("int")
+    rows = base.select("_t", "_k", pixel.alias("pixel"), *cols).unpivot(["_t", "_k", "pixel"], cols, "metric", "value") \
+        .where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("pixel").isNotNull())
+    point = F.struct(F.col("_t").alias("time"), "value")
+    order = F.struct("_t", "_k")
+    g = rows.groupBy("metric", "pixel").agg(
+        F.min_by(point, order).alias("first"), F.max_by(point, order).alias("last"),
+        F.min_by(point, F.struct("value", "_t", "_k")).alias("lowest"),
+        # the highest value, then the earliest row: the smallest of (-value, row)
+        F.min_by(point, F.struct((-F.col("value")).alias("v"), "_t", "_k")).alias("highest"))
+    roles = ["first", "last", "lowest", "highest"]
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("p")) for r in roles])).alias("_e")
+    return g.select("metric", "pixel", each).select("metric", "pixel", "_e.role", "_e.p.time", "_e.p.value")
+
+
+def class_sample(df: DataFrame, by: Sequence[str] | None, key: str, k: int = 1000, seed: int = 42) -> DataFrame:
+    """``k`` rows of every class (all of a smaller one): those with the smallest MD5 of ``key:seed``.
+
+    A bottom-k sketch: a part of the rows keeps its ``k`` smallest, and parts merge by keeping the smallest of
+    both, so the sample is exact in size, the same for any partitioning, and a hot class never meets whole in one
+    task (its rows are cut to ``k`` per slice first). ``key`` must tell the rows apart.
+    """
+    keys = _names(by)
+    h = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    x = df.withColumns({"_vl_h": h, "_vl_p": F.pmod(F.spark_partition_id(), F.lit(SLICES))})
+    order = [F.col("_vl_h"), F.col(key)]
+    part = x.withColumn("_vl_r", F.row_number().over(Window.partitionBy(*keys, "_vl_p").orderBy(*order))).where(F.col("_vl_r") <= k)
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    return part.withColumn("_vl_r", F.row_number().over(w)).where(F.col("_vl_r") <= k).drop("_vl_h", "_vl_p", "_vl_r")
+
+
+def pair_plot(df: DataFrame, cols: Sequence[str], by: Sequence[str] | None, key: str, k: int = 1000, seed: int = 42,
+              grid: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The points of every pair of columns, and the diagonal, one density per column and class, both from
+    the same sample (``class_sample``, checkpointed: the charts read it once per column)."""
+    from vatlens.session import materialize
+    keys = _names(by)
+    sample = materialize(class_sample(df, by, key, k, seed).select(*dict.fromkeys([*keys, key, *_names(cols)])))
+    points = pair_points(sample, cols, keep=list(dict.fromkeys([*keys, key])))
+    diagonal = None
+    for c in _names(cols):
+        one = kde(sample, c, by=keys, grid=grid).withColumn("col_x", F.lit(c))
+        diagonal = one if diagonal is None else diagonal.unionByName(one)
+    return points, diagonal
+
+
 def pair_points(df: DataFrame, cols: Sequence[str], keep: Sequence[str] | None = None,
                 fraction: float = 1.0, seed: int = 42, key: str | None = None) -> DataFrame:
     """``(col_x, col_y, x, y)`` for every ordered pair of distinct columns.

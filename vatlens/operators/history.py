@@ -10,7 +10,7 @@ resolution).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vatlens.functions.scalar import basename, format_fixed
@@ -21,32 +21,43 @@ PAGE_SIZE = 10           # fixed value: rows per history page
 EXPORT_LIMIT = 1000      # fixed value: rows in a history export page of the dashboard
 
 
+def _now(at) -> Column:
+    return F.lit(at).cast("timestamp") if at is not None else F.date_trunc("second", F.current_timestamp())
+
+
+def _record(df: DataFrame, username: Column, file: Column, rows: Column, mode: str, results: Column, model_name: str,
+            run_id: Column, at) -> DataFrame:
+    inputs = F.to_json(F.struct(file.alias("file"), rows.alias("rows"), F.lit(mode).alias("mode")))
+    return df.select(run_id.cast("long").alias("id"), username.alias("username"), _now(at).alias("timestamp"),
+                     inputs.alias("inputs"), F.to_json(results).alias("results"), F.lit(model_name).alias("model_name"))
+
+
+def new_run_id(*salt) -> Column:
+    """A positive id for a run record that no counter has to hand out: a hash of what tells the run apart."""
+    return F.shiftrightunsigned(F.xxhash64(*[F.lit(str(s)) if not isinstance(s, Column) else s for s in salt]), 1)
+
+
+def prediction_runs(scored: DataFrame, score: str, file: str, model_name: str, run_id, user: str, at=None) -> DataFrame:
+    """One run record per user of a scored batch (mean and count of the scores). ``run_id`` is salt, text."""
+    g = scored.groupBy(user).agg(F.avg(score).alias("_m"), F.count(F.col(score)).alias("_c"), F.count(F.lit(1)).alias("_n"))
+    return _record(g, F.col(user).cast("string"), F.lit(file), F.col("_n"), "Predict",
+                   F.struct(F.col("_m").alias("mean_pred"), F.col("_c").alias("count")), model_name,
+                   new_run_id(run_id, F.coalesce(F.col(user).cast("string"), F.lit(""))), at)
+
+
 def prediction_run(scored: DataFrame, score: str, username: str, file: str,
                    model_name: str, run_id: int, at=None) -> DataFrame:
     """One run record of a prediction batch (mean and count of the scores)."""
-    ts = F.lit(at).cast("timestamp") if at is not None else F.date_trunc("second", F.current_timestamp())
-    return scored.agg(F.avg(score).alias("m"), F.count(F.col(score)).alias("c"),
-                      F.count(F.lit(1)).alias("rows")).select(
-        F.lit(run_id).cast("long").alias("id"), F.lit(username).alias("username"),
-        ts.alias("timestamp"),
-        F.to_json(F.struct(F.lit(file).alias("file"), F.col("rows").alias("rows"),
-                           F.lit("Predict").alias("mode"))).alias("inputs"),
-        F.to_json(F.struct(F.col("m").alias("mean_pred"), F.col("c").alias("count"))).alias("results"),
-        F.lit(model_name).alias("model_name"))
-
-
-def benchmark_run(metrics: DataFrame, rows: int, username: str, file: str, model_name: str,
-                  run_id: int, at=None) -> DataFrame:
-    """One run record of a benchmark (R2, MAE, RMSE from ``regression_metrics``)."""
-    ts = F.lit(at).cast("timestamp") if at is not None else F.date_trunc("second", F.current_timestamp())
-    return metrics.select(
-        F.lit(run_id).cast("long").alias("id"), F.lit(username).alias("username"),
-        ts.alias("timestamp"),
-        F.to_json(F.struct(F.lit(file).alias("file"), F.lit(rows).alias("rows"),
-                           F.lit("Benchmark").alias("mode"))).alias("inputs"),
-        F.to_json(F.struct(F.col("r2").alias("R2"), F.col("mae").alias("MAE"),
-                           F.col("rmse").alias("RMSE"))).alias("results"),
-        F.lit(model_name).alias("model_name"))
+    g = scored.agg(F.avg(score).alias("_m"), F.count(F.col(score)).alias("_c"), F.count(F.lit(1)).alias("_n"))
+    return _record(g, F.lit(username), F.lit(file), F.col("_n"), "Predict",
+                   F.struct(F.col("_m").alias("mean_pred"), F.col("_c").alias("count")), model_name, F.lit(run_id), at)
+
+
+def benchmark_run(metrics: DataFrame, username: str, file: str, model_name: str, run_id: int, at=None) -> DataFrame:
+    """One run record of a benchmark (R2, MAE, RMSE and the rows from ``regression_metrics``)."""
+    return _record(metrics, F.lit(username), F.lit(file), F.col("n"), "Benchmark",
+                   F.struct(F.col("r2").alias("R2"), F.col("mae").alias("MAE"), F.col("rmse").alias("RMSE")),
+                   model_name, F.lit(run_id), at)
 
 
 def append_runs(records: DataFrame, path: str) -> None:

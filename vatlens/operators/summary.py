@@ -9,8 +9,10 @@ group key; AQE broadcasts that side when it is small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +130,18 @@ def quantile_cutoff(df: DataFrame, col: str, q: float = 0.8, truncate: bool = Tr
 
 
 # ---------------------------------------------------------------- A8
+#: Columns up to which one aggregate holds an expression per pair.
+WIDE = 40
+#: Columns of a block, and bytes of the block pairs' sums that a task holds in one pass.
+BLOCK, PASS_BYTES = 256, 256_000_000
+#: Arrays of one block pair that meet in one task; with more partitions they are added in two steps.
+FAN_IN = 128
+#: A share of its square sum below which a variance is rounding.
+ROUNDING = 1e-13
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation for every ordered column pair, pairwise-complete.
 
+    Tables of more than ``WIDE`` columns go through ``corr_blocks``, with the same result.
     One pass over the data: ``covar_pop`` and the two ``stddev_pop`` over the
     rows where both values are present. A constant column gives NULL instead
     of a division error (pandas NaN). Long form ``(col_a, col_b, corr)``.
@@ -138,6 +149,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     from vatlens.operators.cleaning import numeric_columns
 
     cols = _names(cols) or numeric_columns(df)
+    if len(cols) > WIDE:
+        return corr_blocks(df, cols)
     aggs = []
     for i, a in enumerate(cols):
         for b in cols[i:]:
@@ -159,6 +172,87 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return upper.unionByName(lower)
 
 
+def corr_blocks(df: DataFrame, cols: Sequence[str], block: int | None = None) -> DataFrame:
+    """A8 for wide tables: pairwise-complete correlations from products of blocks of columns.
+
+    With values x about the column's mean (0 where missing) and presence masks m, the sums ``x'x``, ``m'm``,
+    ``x'm``, ``m'x``, ``(x^2)'m`` and ``m'(x^2)`` of two blocks give every pair's count, means, variances and
+    covariance over the rows that hold both. A task adds them up for as many block pairs as ``PASS_BYTES``
+    allow, Spark adds those of a block pair, and the task that does so turns them into rows: nothing of the
+    size of the matrix reaches the driver or one task.
+    """
+    cols, size = _names(cols), block or BLOCK
+    d = len(cols)
+    nan = F.lit(float("nan"))
+    x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), nan) for c in cols]).alias("x")
+    rows = df.select(x)
+    # about the mean, and columns of one value are told apart exactly
+    stats = rows.select(F.posexplode("x").alias("j", "v")).where(~F.isnan("v")).groupBy("j").agg(
+        F.avg("v").alias("m"), F.min("v").alias("a"), F.max("v").alias("z")).collect()
+    center, constant = np.zeros(d), np.ones(d, bool)
+    for r in stats:
+        center[r["j"]], constant[r["j"]] = r["m"], r["a"] == r["z"]
+    cuts = list(range(0, d, size))
+    pairs = [(i, j) for i in cuts for j in cuts if i <= j]
+    per_pass = max(1, PASS_BYTES // (48 * size * size))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "i int, c string")
+    out = None
+    for at in range(0, len(pairs), per_pass):
+        one = _block_sums(rows, pairs[at:at + per_pass], size, center, constant)
+        out = one if out is None else out.unionByName(one)
+    a = names.select(F.col("i"), F.col("c").alias("col_a"))
+    b = names.select(F.col("i").alias("j"), F.col("c").alias("col_b"))
+    # one row per column name
+    return out.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("col_a", "col_b", "corr")
+
+
+def _block_sums(rows: DataFrame, pairs: list[tuple[int, int]], size: int, center: np.ndarray, constant: np.ndarray) -> DataFrame:
+    """``i, j, corr`` (both orders of a pair) of the columns of some block pairs."""
+    d = len(center)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at in range(0, b.num_rows, max(1, 4_000_000 // d)):
+                v = b.column(0).slice(at, max(1, 4_000_000 // d)).flatten().to_numpy().reshape(-1, d)
+                m = (~np.isnan(v)).astype(np.float64)
+                v = np.where(m > 0, v - center, 0.0)
+                for k, (i, j) in enumerate(pairs):
+                    xi, mi, xj, mj = (t[:, c:c + size] for c in (i, j) for t in (v, m))
+                    got = np.stack([xi.T @ xj, mi.T @ mj, xi.T @ mj, mi.T @ xj, (xi * xi).T @ mj, mi.T @ (xj * xj)])
+                    held[k] = held[k] + got if k in held else got
+        for k, got in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([got.ravel()], pa.list_(pa.float64()))], names=["k", "v"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = np.sum([t.values.to_numpy() for t in part.column("v")], axis=0)
+        return pa.table([part.column("k")[:1], pa.array([total], pa.list_(pa.float64()))], names=["k", "v"])
+
+    def correlations(part: pa.Table) -> pa.Table:
+        i, j = pairs[part.column("k")[0].as_py()]
+        wi, wj = min(size, d - i), min(size, d - j)
+        p, n, si, sj, qi, qj = add(part).column("v")[0].values.to_numpy().reshape(6, wi, wj)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vi, vj = qi / n - (si / n) ** 2, qj / n - (sj / n) ** 2
+            r = (p / n - si / n * (sj / n)) / np.sqrt(vi * vj)
+            still = constant[i:i + wi, None] | constant[None, j:j + wj] | (vi <= ROUNDING * qi / n) | (vj <= ROUNDING * qj / n)
+        a, b = np.meshgrid(np.arange(i, i + wi), np.arange(j, j + wj), indexing="ij")
+        r = np.where(a == b, 1.0, r)
+        bad = still | ~np.isfinite(r)
+        on = a <= b
+        a, b, r, bad = a[on], b[on], r[on], bad[on]
+        twice = a != b
+        both = [np.concatenate(t) for t in ((a, b[twice]), (b, a[twice]), (r, r[twice]), (bad, bad[twice]))]
+        return pa.table([pa.array(both[0], pa.int32()), pa.array(both[1], pa.int32()), pa.array(both[2], mask=both[3])],
+                        names=["i", "j", "corr"])
+
+    parts = rows.mapInArrow(sums, "k bigint, v array<double>")
+    if rows.rdd.getNumPartitions() > FAN_IN:
+        parts = parts.withColumn("p", F.spark_partition_id() % FAN_IN).groupBy("k", "p") \
+            .applyInArrow(lambda t: add(t.select(["k", "v"])), "k bigint, v array<double>")
+    return parts.groupBy("k").applyInArrow(correlations, "i int, j int, corr double")
+
+
 # ---------------------------------------------------------------- A9
 def zscore(df: DataFrame, cols: Sequence[str] | dict, partition_by: Sequence[str] | None = None,
            ddof: int = 0) -> DataFrame:

@@ -850,3 +850,67 @@ r2 AS (SELECT feature, rep, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM
 drops AS (SELECT q.feature, base.r2 - q.r2 AS d FROM r2 q, (SELECT r2 FROM r2 WHERE feature = '') base WHERE q.feature <> '')
 SELECT feature, {R('avg(d)')} AS importance_mean, {R('stddev_pop(d)')} AS importance_std, CAST(count(*) AS BIGINT) AS repeats
 FROM drops GROUP BY feature"""
+
+
+SQL["corr_wide"] = f"""
+WITH l AS (SELECT vec_id, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT 'e' || a.i AS col_a, 'e' || b.i AS col_b,
+       {R('CASE WHEN a.i = b.i THEN (CASE WHEN stddev_pop(a.v) > 0 THEN 1.0 END) ELSE corr(a.v, b.v) END')} AS corr
+FROM l a JOIN l b USING (vec_id) GROUP BY a.i, b.i"""
+
+SQL["trend_pixels"] = f"""
+WITH e AS ({EV}),
+s AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS z FROM e),
+p AS (SELECT ts, event_id, value, k,
+             CAST(least(floor((epoch_us(ts) - CAST(a AS DOUBLE)) / CAST(z - a AS DOUBLE) * 200), 199) AS INTEGER) AS pixel FROM e, s),
+l AS (SELECT 'value' AS metric, pixel, ts, event_id, value AS v FROM p WHERE value IS NOT NULL
+      UNION ALL SELECT 'k', pixel, ts, event_id, k FROM p WHERE k IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric, pixel ORDER BY ts, event_id) AS f,
+             row_number() OVER (PARTITION BY metric, pixel ORDER BY ts DESC, event_id DESC) AS b,
+             row_number() OVER (PARTITION BY metric, pixel ORDER BY v, ts, event_id) AS lo,
+             row_number() OVER (PARTITION BY metric, pixel ORDER BY v DESC, ts, event_id) AS hi FROM l)
+""" + "\nUNION ALL ".join(f"""SELECT metric, pixel, '{role}' AS role, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, {R('v')} AS value
+FROM r WHERE {rank} = 1""" for role, rank in (("first", "f"), ("last", "b"), ("lowest", "lo"), ("highest", "hi")))
+
+_SAMPLE = f"""
+sample AS (SELECT event_type, event_id, value, k FROM ({EV}) e
+           QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(event_id || ':42'), event_id) <= 500)"""
+
+SQL["pair_sample"] = f"""
+WITH {_SAMPLE}
+SELECT event_type, event_id, 'value' AS col_x, 'k' AS col_y, {R('value')} AS x, {R('k')} AS y FROM sample
+UNION ALL SELECT event_type, event_id, 'k', 'value', {R('k')}, {R('value')} FROM sample"""
+
+
+def _density_sql(source: str, by: list[str], grid: int, cut: float = 0.0, extra: str = "") -> str:
+    """A density of ``v`` per group from 4096 bins, drawn ``cut`` bandwidths beyond the data."""
+    keys = ", ".join(by)
+    x = f"(lo + (hi - lo) / {grid - 1} * p)"
+    u = f"(({x} - v) / bw)"
+    return f"""
+WITH {extra}e0 AS ({source}),
+s AS (SELECT {keys}, count(*) AS n, stddev_samp(v) AS sd, min(v) AS lo0, max(v) AS hi0 FROM e0 GROUP BY {keys}),
+s2 AS (SELECT *, sd * pow(n, -0.2) AS bw FROM s),
+s3 AS (SELECT *, lo0 - {cut} * bw AS lo, hi0 + {cut} * bw AS hi FROM s2),
+e AS (SELECT {keys}, avg(v) AS v, count(*) AS w
+      FROM (SELECT e0.*, least(floor((v - lo0) / ((hi0 - lo0) / 4096)), 4095) AS b FROM e0 JOIN s3 USING ({keys})) GROUP BY {keys}, b),
+g AS (SELECT range AS p FROM range({grid})),
+acc AS (SELECT {keys}, p, n, lo, hi, bw, sum(w * exp(-0.5 * {u} * {u})) AS sm FROM e JOIN s3 USING ({keys}), g GROUP BY ALL)
+SELECT {keys}, CAST(p AS INTEGER) AS point, {R(x)} AS x, {R('sm / (n * bw * sqrt(2 * pi()))')} AS density,
+       CAST(n AS BIGINT) AS n FROM acc"""
+
+
+SQL["violin_density"] = _density_sql("SELECT l_returnflag, l_linestatus, l_extendedprice AS v FROM lineitem WHERE l_extendedprice IS NOT NULL",
+                                     ["l_returnflag", "l_linestatus"], 100, 2.0)
+SQL["pair_diagonal"] = _density_sql("""SELECT event_type, 'value' AS col_x, value AS v FROM sample WHERE value IS NOT NULL
+UNION ALL SELECT event_type, 'k', k FROM sample WHERE k IS NOT NULL""", ["event_type", "col_x"], 50, 0.0, _SAMPLE + ",\n")
+
+SQL["run_records"] = f"""
+WITH {_SPLIT},
+e AS (SELECT 'user_' || (p_size % 3) AS username, p_retailprice AS y, b0 + w * p_partkey AS p FROM te, m)
+SELECT username, '2024-05-01 12:30:45' AS at, 'Predict' AS mode, CAST(count(*) AS BIGINT) AS rows, 'te.csv' AS file,
+       'models/ols' AS model_name, {RK('avg(p)')} AS mean_pred, CAST(count(p) AS BIGINT) AS scores,
+       CAST(NULL AS DOUBLE) AS r2, CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS rmse FROM e GROUP BY username
+UNION ALL
+SELECT 'user_b', '2024-05-01 12:30:45', 'Benchmark', CAST(count(*) AS BIGINT), 'te.csv', 'models/ols', NULL, NULL,
+       {RK('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')}, {RK('avg(abs(y - p))')}, {RK('sqrt(avg((y - p) * (y - p)))')} FROM e"""

@@ -1037,3 +1037,64 @@ def q_alignment_losses(spark, d):
     """P4 on the data: cells of each expected column that hold no number, or are not there at all."""
     o = table(spark, d, "orders")
     return cleaning.alignment_losses(o, ALIGN_FEATURES)
+
+
+EMBEDDED = 64
+
+
+@query("corr_wide")
+def q_corr_wide(spark, d):
+    """A8 on a wide table: every pair of the coordinates of the embeddings."""
+    e = table(spark, d, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(EMBEDDED)])
+    return _r6(summary.corr_matrix(e))
+
+
+@query("trend_pixels")
+def q_trend_pixels(spark, d):
+    """First, last, lowest and highest point of every pixel column and metric."""
+    x = distribution.pixel_trend(ev(spark, d), "ts", ["value", "k"], "event_id", pixels=200)
+    return _r6(x.withColumn("time", scalar.timestamp_text("time")))
+
+
+@query("pair_sample")
+def q_pair_sample(spark, d):
+    """The points of a sample of each class, exact in size."""
+    points, _ = distribution.pair_plot(ev(spark, d), ["value", "k"], ["event_type"], "event_id", k=500)
+    return _r6(points)
+
+
+@query("pair_diagonal")
+def q_pair_diagonal(spark, d):
+    """The diagonal, a density per column and class of the same sample."""
+    _, diagonal = distribution.pair_plot(ev(spark, d), ["value", "k"], ["event_type"], "event_id", k=500, grid=50)
+    return _r6(diagonal)
+
+
+@query("violin_density")
+def q_violin_density(spark, d):
+    """The body of each violin, a density per (category x hue) drawn two bandwidths beyond the data."""
+    li = table(spark, d, "lineitem")
+    return _r6(distribution.kde(li, "l_extendedprice", by=["l_returnflag", "l_linestatus"], grid=100, cut=2.0))
+
+
+@query("run_records")
+def q_run_records(spark, d):
+    """A scored batch and a benchmark recorded in the run table, read back by column."""
+    import uuid
+
+    from vatlens.session import checkpoint_dir
+    from vatlens.sources import files
+    path = f"{checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    tr, te = _part_split(spark, d)
+    m = linear.fit_linear(tr, PART_X1, PART_Y)
+    scored = m.transform(te).withColumn("user", F.concat(F.lit("user_"), (F.col("p_size") % 3).cast("string")))
+    at = "2024-05-01 12:30:45"
+    history.append_runs(history.prediction_runs(scored, "prediction", "te.csv", "models/ols", "batch 1", "user", at), path)
+    metrics = summary.regression_metrics(scored, PART_Y, "prediction")
+    history.append_runs(history.benchmark_run(metrics, "user_b", "te.csv", "models/ols", 7, at), path)
+    back = files.read_table(spark, path, ["username", "timestamp", "inputs", "results", "model_name"])
+    number = lambda f: scalar.json_field("results", f).cast("double").alias(f.lower())
+    return _rk(back.select("username", scalar.timestamp_text("timestamp").alias("at"), scalar.json_field("inputs", "mode").alias("mode"),
+                           scalar.json_field("inputs", "rows").cast("long").alias("rows"), scalar.json_field("inputs", "file").alias("file"),
+                           "model_name", number("mean_pred"), scalar.json_field("results", "count").cast("long").alias("scores"),
+                           number("R2"), number("MAE"), number("RMSE")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vatlens.operators import alerts
+from vatlens.operators import alerts, history
 from vatlens.plans import commands
 from vatlens.plans.linear import LinearModel
 from vatlens.plans.preprocess import FeatureSpec
@@ -25,11 +25,12 @@ from vatlens.session import checkpoint_dir
 def scoring_stream(spark: SparkSession, source: str, schema: T.StructType | str,
                    model: LinearModel, spec: FeatureSpec, rules: DataFrame, sink: str,
                    username_col: str = "username", fmt: str = "parquet",
-                   query_name: str = "vatlens_scoring", stats: str = "model"):
+                   query_name: str = "vatlens_scoring", stats: str = "model", model_name: str = "stream"):
     """Start the query; returns the ``StreamingQuery``.
 
     ``sink/scored``: scored rows with the batch id; ``sink/batches``: per
-    (batch, user) statistics and trigger flag; ``sink/alerts``: triggered rows.
+    (batch, user) statistics and trigger flag; ``sink/alerts``: triggered rows;
+    ``sink/runs``: one run record per (batch, user) for the history (S8).
     """
     stream = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
@@ -49,6 +50,9 @@ def scoring_stream(spark: SparkSession, source: str, schema: T.StructType | str,
         a = a.drop("batch_id")
         a.write.mode("overwrite").parquet(f"{sink}/batches/{part}")
         alerts.alert_records(a, username_col).write.mode("overwrite").parquet(f"{sink}/alerts/{part}")
+        if username_col in done.columns:
+            history.prediction_runs(done, "prediction", f"batch_{batch_id}", model_name, f"{query_name}:{batch_id}", username_col) \
+                .write.mode("overwrite").parquet(f"{sink}/runs/{part}")
 
     ckpt = f"{checkpoint_dir(spark)}/{query_name}"
     return (src.writeStream.foreachBatch(handle).option("checkpointLocation", ckpt)
