@@ -4,8 +4,8 @@ A block of the corpus is some documents of a partition (a slice of 12 MB). The d
 pre-tokens of a block are laid out as one sequence of byte tokens. An inverted
 index maps the rank of each mergeable pair to its positions; ranks are replayed
 in order, a merge links its neighbours and touches only the two pairs beside it.
-Documents are then spelled from their pre-tokens. Blocks bound memory, and the
-table of a task is dropped when it holds ``CACHE`` units.
+Documents are then spelled from their pre-tokens. Blocks bound memory, and a task
+forgets the units it knows when they have the size ``CACHE``.
 
 A merge never needs text outside its pre-token, so a block gives what the whole
 corpus would give; keeping one index for all of it would shuffle every
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from array import array
 from hashlib import sha256
 
 import numpy as np
@@ -31,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vatlens.llm.alignment import Numbers
 from vatlens.llm.common import field, map_texts
 
-#: Units whose ids a task keeps between blocks.
-CACHE = 100_000
+#: Size of the units whose results a task keeps, in characters, 16 more a unit; about 10 bytes of memory each.
+CACHE = 10_000_000
+#: Units learned at a time.
+BATCH = 200_000
 #: Fixed: the code points with the Unicode property White_Space.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -50,20 +52,32 @@ def ranks_of(spark, path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-class Vocabulary:
-    """Ranks with every mergeable pair of tokens as a sorted array; built once, on the driver."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.token = {r: t for t, r in ranks.items()}
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.base = max(ranks.values()) + 1
-        found = [(ranks[t[:i]] * self.base + ranks[t[i:]], r, max(ranks[t[:i]], ranks[t[i:]]))
-                 for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        found.sort()
-        self.keys = np.array([x[0] for x in found] + [np.iinfo(np.int64).max], np.int64)
-        self.values = np.array([x[1] for x in found] + [-1], np.int32)
+def tables(ranks: dict[bytes, int]) -> dict:
+    """Tokens by rank, and every mergeable pair of tokens as a sorted array; plain values, built once on the driver."""
+    base = max(ranks.values()) + 1
+    found = sorted((ranks[t[:i]] * base + ranks[t[i:]], r, max(ranks[t[:i]], ranks[t[i:]]))
+                   for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+    by_rank = [b""] * base
+    for t, r in ranks.items():
+        by_rank[r] = t
+    return {
+        "tokens": by_rank, "base": base, "byte": np.array([ranks[bytes([b])] for b in range(256)], np.int32),
+        "keys": np.array([x[0] for x in found] + [np.iinfo(np.int64).max], np.int64),
+        "values": np.array([x[1] for x in found] + [-1], np.int32),
         # ranks whose token can go on to a token of a lower rank, which then comes first
-        self.early = {high for _, r, high in found if r < high}
+        "early": {high for _, r, high in found if r < high}}
+
+
+class Vocabulary:
+    """A vocabulary from its ranks, or from the tables made of them, and what a task derives from it."""
+
+    def __init__(self, ranks: dict):
+        t = ranks if "tokens" in ranks else tables(ranks)
+        self.token, self.base, self.byte, self.early = t["tokens"], t["base"], t["byte"], t["early"]
+        self.keys, self.values = t["keys"], t["values"]
+        self.lengths = np.array([len(x) for x in self.token])
+        self.decimal = np.array([str(r) for r in range(self.base)], object)
+        self.places = np.array([len(x) for x in self.decimal])
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair of tokens, -1 for none."""
@@ -72,8 +86,8 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.values[at], -1)
 
 
-def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
-    """Ids of each word: every merge in rank order over the words at once.
+def replay(vocabulary: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in order, and where those of each word end: every merge in rank order over the words at once.
 
     ``index`` maps a rank to the positions (left token) at which its pair was
     seen; ``here`` holds the present rank of the pair at each position, so an
@@ -81,7 +95,7 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
     places of one rank the leftmost goes first, as in one word alone.
     """
     if not words:
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
     raw = np.frombuffer(b"".join(words), np.uint8)
     ends = np.cumsum([len(w) for w in words])
     n = len(raw)
@@ -163,9 +177,7 @@ def replay(vocabulary: Vocabulary, words: list[bytes]) -> list[list[int]]:
         before = prv[at]
         refresh(np.concatenate([before[before >= 0], at]))
     alive = tok >= 0
-    ids = tok[alive].tolist()
-    stops = np.cumsum(alive)[ends - 1].tolist()
-    return [ids[a:b] for a, b in zip([0, *stops], stops)]
+    return tok[alive], np.cumsum(alive)[ends - 1]
 
 
 def splitter(pattern: str):
@@ -181,42 +193,82 @@ def splitter(pattern: str):
     return lambda text: None if wide(text) else text.split(" "), regex.compile(white).findall
 
 
+def cut(whole, ends: np.ndarray) -> list:
+    """Consecutive pieces of a text or of bytes."""
+    ends = ends.tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def id_bytes(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids of each word as 32-bit numbers."""
+    return cut(ids.astype(np.int32).tobytes(), ends * 4)
+
+
+def spellings(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[tuple]:
+    """Of each word the ids as decimal text, each with a space before it, and the bytes that its ids spell."""
+    text = cut("".join((" " + vocabulary.decimal[ids]).tolist()), np.cumsum(vocabulary.places[ids] + 1)[ends - 1])
+    back = cut(b"".join(map(vocabulary.token.__getitem__, ids.tolist())), np.cumsum(vocabulary.lengths[ids])[ends - 1])
+    return list(zip(text, back))
+
+
 def encoder(vocabulary: Vocabulary, pattern: str):
-    """Function from a list of texts (None is empty) to, for each, a list of
-    ``(ids, their decimal text)`` of its units in order."""
+    """Function from a list of texts (None is empty) to, for each, ``(ids,)`` of its units in order."""
+    encode = block_encoder(vocabulary, pattern, id_bytes, b"".join)
+
+    def run(texts: list) -> list[list[tuple]]:
+        result, places = encode(texts)
+        ids = [(np.frombuffer(x, np.int32).tolist(),) for x in result]
+        return [[ids[i] for i in x.tolist()] for x in places]
+
+    return run
+
+
+def block_encoder(vocabulary: Vocabulary, pattern: str, describe, joined):
+    """Function from a list of texts (None is empty) to the results of its distinct units and, for each text,
+    the places of its units among them, in order.
+
+    ``describe(vocabulary, ids, ends)`` gives the result of each word, ``joined`` that of several in a row.
+    """
     units, match = splitter(pattern)
-    heads: dict[str, tuple] = {}  # whole units: a text's first, or a pre-token
-    known: dict[str, tuple] = {}  # units after a space, without it
-
-    def learn(new: dict[str, list[str]], into: dict) -> None:
-        words = list({w for parts in new.values() for w in parts})
-        ids = dict(zip(words, replay(vocabulary, [w.encode() for w in words])))
-        for u, parts in new.items():
-            got = array("i", [i for w in parts for i in ids[w]])
-            into[u] = (got, " ".join(map(str, got)))
-
-    def encode(texts: list) -> list[list[tuple]]:
-        for table in (heads, known):
-            if len(table) > CACHE:
-                table.clear()
-        split = [units(t) if t else [] for t in texts]
-        whole = {k: match(texts[k]) for k, x in enumerate(split) if x is None}
-        new = set()
-        for x in split:
-            if x:
-                new.update(x[1:])
-        learn({u: match(" " + u) for u in new.difference(known)}, known)
-        new = {w for x in whole.values() for w in x} | {x[0] for x in split if x}
-        learn({u: match(u) for u in new.difference(heads)}, heads)
-        return [list(map(heads.__getitem__, whole[k])) if x is None
-                else [heads[x[0]], *map(known.__getitem__, x[1:])] if x else []
-                for k, x in enumerate(split)]
+    known: dict = {}  # a unit after a space (text), or one that begins as it is (text in a tuple)
+    kept = 0
+
+    def learn(new: list) -> None:
+        parts = [match(k[0]) if type(k) is tuple else match(" " + k) for k in new]
+        number = Numbers()
+        places = [[number[w] for w in p] for p in parts]
+        ids, ends = replay(vocabulary, [w.encode() for w in number])
+        result = describe(vocabulary, ids, ends) if len(ends) else []
+        for k, at in zip(new, places):
+            known[k] = result[at[0]] if len(at) == 1 else joined([result[i] for i in at])
+
+    def encode(texts: list) -> tuple[list, list[np.ndarray]]:
+        nonlocal kept
+        number, places = Numbers(), []
+        for t in texts:
+            x = units(t) if t else []
+            if x is None:
+                x = [(w,) for w in match(t)]
+            elif x:
+                x[0] = (x[0],)
+            places.append(np.fromiter(map(number.__getitem__, x), np.int32, len(x)))
+        for again in (False, True):
+            new = [k for k in number if k not in known]
+            size = sum(map(len, new)) + 16 * len(new)
+            if again or not known or kept + size <= CACHE:
+                break
+            known.clear()
+            kept = 0
+        kept += size
+        for at in range(0, len(new), BATCH):
+            learn(new[at:at + BATCH])
+        return list(map(known.__getitem__, number)), places
 
     return encode
 
 
 def _shared(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(Vocabulary(ranks_of(docs.sparkSession, path)))
+    return docs.sparkSession.sparkContext.broadcast(tables(ranks_of(docs.sparkSession, path)))
 
 
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -224,17 +276,14 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     vocabulary = _shared(docs, path)
 
     def make():
-        encode = encoder(vocabulary.value, pattern)
+        encode = block_encoder(Vocabulary(vocabulary.value), pattern, id_bytes, b"".join)
 
         def run(texts):
-            ids, ends = array("i"), array("i", [0])
-            for doc in encode(texts):
-                for u, _ in doc:
-                    ids.extend(u)
-                ends.append(len(ids))
-            ends = np.frombuffer(ends, np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.frombuffer(ids, np.int32) if ids else pa.array([], pa.int32()))
-            return [lists, np.diff(ends).astype(np.int64)]
+            result, places = encode(texts)
+            ids = [b"".join(map(result.__getitem__, x.tolist())) for x in places]
+            n = np.array([len(x) // 4 for x in ids], np.int64)
+            flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(ids))])
+            return [pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), flat), n]
         return run
 
     new = [field("input_ids", "array<int>"), field("n_tokens", "bigint")]
@@ -249,7 +298,7 @@ def decoded(ids: DataFrame, path: str, column: str = "input_ids") -> DataFrame:
     vocabulary = _shared(ids, path)
 
     def make():
-        token = vocabulary.value.token
+        token = vocabulary.value["tokens"]
         return lambda rows: [[None if x is None else b"".join(map(token.__getitem__, x)) for x in rows]]
 
     # map_texts reads the column named text
@@ -263,16 +312,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     vocabulary = _shared(docs, path)
 
     def make():
-        encode = encoder(vocabulary.value, pattern)
-        spell = vocabulary.value.token.__getitem__
+        encode = block_encoder(Vocabulary(vocabulary.value), pattern, spellings,
+                         lambda parts: ("".join([x for x, _ in parts]), b"".join([x for _, x in parts])))
 
         def run(texts):
+            result, places = encode(texts)
+            decimal, spelled = [x for x, _ in result], [x for _, x in result]
             count, ids_hash, text_hash = [], [], []
-            for doc in encode(texts):
-                count.append(sum(len(ids) for ids, _ in doc))
-                ids_hash.append(sha256(" ".join([d for _, d in doc]).encode()).hexdigest())
-                back = b"".join([spell(i) for ids, _ in doc for i in ids])  # from the ids alone
-                text_hash.append(sha256(back).hexdigest())
+            for x in places:
+                x = x.tolist()
+                ids = "".join(map(decimal.__getitem__, x))
+                count.append(ids.count(" "))
+                ids_hash.append(sha256(ids[1:].encode()).hexdigest())
+                text_hash.append(sha256(b"".join(map(spelled.__getitem__, x))).hexdigest())
             return [count, ids_hash, text_hash]
         return run
 
