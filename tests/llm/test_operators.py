@@ -370,3 +370,27 @@ def test_oracles(spark, key):
     got = QUERIES[key](spark, SF).toPandas()[list(want.columns)]
     assert sorted(map(repr, got.astype(object).itertuples(index=False, name=None))) == \
         sorted(map(repr, want.astype(object).itertuples(index=False, name=None)))
+
+
+def test_one_row_of_each_component(spark):
+    rows = [(1, "alpha beta gamma delta", "x"), (2, "alpha beta gamma delta", "x"), (2, "something wholly different here now", "y"),
+            (2, "something wholly different here now", "z"), (3, "Something WHOLLY different here now", "x"), (None, "alpha beta gamma delta", "x"),
+            (4, "yet another text of its own", "x"), (4, "one more text under that number", "x"), (5, None, "x"), (6, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _hx string").repartition(3)
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, rows[0][1]), (2, rows[2][1]), (4, rows[6][1]), (4, rows[7][1]), (5, None), (None, rows[0][1])], key=repr)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_kept(spark):
+    """More languages than a task holds counts of, each with its own syllables."""
+    rnd = random.Random(4)
+    tongues = {f"l{k:03}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for k in range(140)}
+    rows = [(k * 10 + i, " ".join(rnd.choice(s) + rnd.choice(s) for _ in range(30)), lang)
+            for k, (lang, s) in enumerate(tongues.items()) for i in range(8)]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id bigint, text string, lang string").repartition(3)
+    out = language.identify(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert len({r.lang_pred for r in out}) == 140
+    assert np.mean([r.lang_pred == r.lang for r in out if r.held_out]) > 0.97

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from vatlens.llm.common import field, held_out, map_texts, remainder, saved
 
-BITS, LANGS, SHARE, SWITCH, BLOCK, PIECE = 16, 128, 0.002, 12.0, 128, 64
+BITS, HELD, SHARE, SWITCH, BLOCK, PIECE = 16, 128, 0.002, 12.0, 128, 64
+#: ``HELD``: languages whose counts a task holds before it hands them on; every learned language is kept.
 #: Words whose scores a task keeps.
 CACHE = 200_000
 #: Fixed: first code point of each range and the script it begins (Unicode blocks, merged by script).
@@ -97,7 +98,7 @@ def fit(docs: DataFrame) -> dict:
                 pieces.setdefault(lang, Counter()).update(text.split())
             for lang, found in pieces.items():
                 if lang not in total:
-                    if len(total) >= LANGS:
+                    if len(total) >= HELD:
                         yield from flush(total, scripts)
                     total[lang] = np.zeros(1 << BITS, np.int64)
                 words, count = _words(list(found))
@@ -124,8 +125,7 @@ def fit(docs: DataFrame) -> dict:
     counted = saved(learn.withColumn("lang", F.col("lang").cast("string")).mapInArrow(
         run, "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")), "trigrams")
     is_gram = F.col("key") < (1 << BITS)
-    langs = sorted(r["lang"] for r in counted.where(is_gram).groupBy("lang").agg(F.sum("n").alias("n"))
-                   .orderBy(F.desc("n"), "lang").limit(LANGS).select("lang").collect())
+    langs = sorted(r["lang"] for r in counted.where(is_gram).select("lang").distinct().collect())
     logp = np.zeros((len(langs), 1 << BITS), np.float32)
     allowed = np.zeros((len(langs), len(SCRIPTS)), bool)
     for k, lang in enumerate(langs):  # 2 ** BITS rows at most, one language at a time

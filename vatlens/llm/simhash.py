@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vatlens.llm.common import field, map_texts, saved
+from vatlens.llm.common import field, map_texts, saved, text_hash
 
 SHINGLE, RADIUS = 3, 3
 #: Fingerprints of a bucket that one task compares with each other.
@@ -43,8 +43,8 @@ HOT = 16_384
 _FEW, _QUERIES = 64, 128  # rows of a small bucket; fingerprints in a block that can be abandoned
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` for every row; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``fp`` for every row; ``fp`` holds the 64 bits as a signed long."""
     def make():
         import xxhash
         digest = xxhash.xxh64_intdigest
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
         return lambda texts: [[one(t) for t in texts]]
 
-    return map_texts(docs, ["doc_id"], [field("fp", "bigint")], make)
+    return map_texts(docs, list(keep), [field("fp", "bigint")], make)
 
 
 def _bits(n: int, blocks: int) -> list[list[int]]:
@@ -308,9 +308,9 @@ def components(edges: DataFrame) -> DataFrame:
                 .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
-    rows = saved(fingerprints(docs, shingle), "fingerprints")
+def _components_of(rows: DataFrame, radius: int) -> DataFrame:
+    """``_fp, root, component_id`` of every distinct fingerprint of ``rows``; components whose smallest
+    ``doc_id`` is the same differ by ``root``."""
     # partial aggregation leaves one row per distinct fingerprint and task
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     found = components(links(distinct.select("fp"), radius))
@@ -318,20 +318,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         .select("fp", "low", F.coalesce("root", "fp").alias("root"))
     linked = saved(linked, "rooted")
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_print = linked.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return linked.join(lowest, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row of ``docs``."""
+    rows = saved(fingerprints(docs, shingle), "fingerprints")
+    of_print = _components_of(rows, radius)
     return rows.join(of_print, rows["fp"] == of_print["_fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with the smallest ``doc_id`` of their component; of repeated
-    rows with that ``doc_id``, one. Rows without a ``doc_id`` stay."""
-    dropped = saved(near_duplicates(docs, shingle, radius).where(
-        F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    left = docs.join(dropped, docs["doc_id"] == dropped["_gone"], "left_anti")
-    twice = saved(left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-                  .select(F.col("doc_id").alias("_twice")), "repeated-ids")
+    """One row of each component: that with the smallest ``doc_id``, of several texts with that ``doc_id`` the
+    one with the smallest hash, of rows that repeat both, one. Rows without a ``doc_id`` stay."""
+    keyed = docs.select(F.struct("*").alias("_row"), "doc_id", "text", text_hash().alias("_h"))
+    rows = saved(fingerprints(keyed.select("doc_id", "_h", "text").where(F.col("doc_id").isNotNull()), shingle, ("doc_id", "_h")),
+                 "fingerprints")
+    of_print = _components_of(rows, radius)
+    member = rows.join(of_print, rows["fp"] == of_print["_fp"])
+    stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "_h")).alias("_stay"))
+    # (doc_id, text) pairs that go, and those that stay but are there more than once
+    pairs = member.groupBy("root", "doc_id", "_h").count()
+    judged = saved(pairs.join(stays, "root").select(
+        F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), "count",
+        (F.struct("doc_id", "_h") == F.col("_stay")).alias("_stays")).where(~F.col("_stays") | (F.col("count") > 1)), "copies")
+    gone, twice = judged.where(~F.col("_stays")), judged.where("_stays")
+    same = (keyed["doc_id"] == F.col("_id")) & (keyed["_h"] == F.col("_hash"))
+    left = keyed.join(gone, same, "left_anti")
     if not twice.take(1):
-        return left
-    once = left.join(twice, left["doc_id"] == twice["_twice"], "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, left["doc_id"] == twice["_twice"], "left_anti").unionByName(once)
+        return left.select("_row.*")
+    same = (left["doc_id"] == F.col("_id")) & (left["_h"] == F.col("_hash"))
+    once = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_h"])
+    return left.join(twice, same, "left_anti").unionByName(once).select("_row.*")
