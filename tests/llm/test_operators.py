@@ -394,3 +394,21 @@ def test_every_language_is_kept(spark):
     out = language.identify(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
     assert len({r.lang_pred for r in out}) == 140
     assert np.mean([r.lang_pred == r.lang for r in out if r.held_out]) > 0.97
+
+
+@pytest.mark.parametrize("stretches, bucket", [(substrings.STRETCHES, 40), (4, 2_000)])
+def test_more_buckets_than_sampled_keys(spark, docs, rows, monkeypatch, stretches, bucket):
+    """Segments spread over the buckets also where the sample has fewer keys than are wanted, or the splitters are bounded."""
+    for name, x in (("BLOCK", 3_000), ("BUCKET", bucket), ("STRETCHES", stretches), ("SAMPLED", 29)):
+        monkeypatch.setattr(substrings, name, x)
+    two = docs.select("doc_id", "text").repartition(3)
+    blocks = substrings._blocks(two).cache()
+    total = sum(len((t or "").encode()) for _, t in rows)
+    cuts = substrings._splitters(blocks, total)
+    wanted, share = substrings._buckets(total)
+    if share == 1:
+        assert 100 < len(cuts) < wanted - 1  # every sampled key is a splitter
+    shared = spark.sparkContext.broadcast(cuts)
+    sizes = [r["n"] for r in substrings._entries(blocks, shared, share).groupBy("bucket").agg(common.F.sum("n").alias("n")).collect()]
+    assert len(sizes) > min(len(cuts) + 1, stretches) * share / 2 and max(sizes) < sum(sizes) / 4
+    assert listed(substrings.digests(two), "*") == sorted(brute.substrings(rows), key=repr)

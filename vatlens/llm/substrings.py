@@ -28,7 +28,7 @@ depends on the order of rows, and every intermediate table is saved.
 
 Defined results: null is an empty text; a text under ``LENGTH`` bytes loses
 nothing; rows with a null doc_id neither lose bytes nor cost others any; rows that
-share a doc_id do not cost each other; empty tables give no rows.
+share a doc_id do not cost each other; empty tables give no rows. ``doc_id`` is an integer.
 """
 
 from __future__ import annotations
@@ -44,6 +44,10 @@ from vatlens.llm.common import saved
 LENGTH, GRAM, HOT = 50, 16, 20_000
 #: Bytes of a block, and of the texts whose segments one bucket compares.
 BLOCK, BUCKET = 2_000_000, 8_000_000
+#: Most stretches between splitters, which are broadcast (24 bytes each); beyond, a stretch is several buckets.
+STRETCHES = 32_768
+#: Sampled keys of a stretch, and the segments of a sampled block of which one is taken.
+KEYS, SAMPLED = 20, 199
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D, 0xC2B2AE3D27D4EB4F))
 _NONE = -(1 << 63)  # a null doc_id in a block
 FULL, OPEN, HOT_OPEN = 1, 2, 4
@@ -197,30 +201,47 @@ def _keys(leads: np.ndarray, whole: np.ndarray) -> np.ndarray:
         .view(f"S{GRAM + 8}").ravel()
 
 
+def _buckets(total: int) -> tuple[int, int]:
+    """Stretches between splitters, and buckets that each is dealt to by a hash of the anchor."""
+    wanted = max(8, -(-total // BUCKET))
+    stretches = min(wanted, STRETCHES)
+    return stretches, -(-wanted // stretches)
+
+
 def _splitters(blocks: DataFrame, total: int) -> np.ndarray:
-    """Sort keys that cut the segments into buckets of about ``BUCKET`` bytes of text, from a sample."""
-    buckets = max(8, -(-total // BUCKET))
-    every = max(1, total // 100_000_000)  # blocks whose segments are sampled
+    """Sort keys that cut the segments into about equal stretches, from a sample in proportion to their number."""
+    stretches, _ = _buckets(total)
+    # blocks whose segments are sampled: 100 MB of text, or what gives ``KEYS`` keys a stretch
+    wanted = max(100_000_000, stretches * KEYS * SAMPLED * LENGTH)
+    every = max(1, total // wanted)
 
     def run(batches):
         for _, b, _ in _each_block(batches):
-            pick = np.unique(b.stands)[::199] if len(b.first) else b.first
+            pick = np.unique(b.stands)[::SAMPLED] if len(b.first) else b.first
             if len(pick):
                 keys = _keys(b.leads(pick), b.whole[pick])
                 yield pa.RecordBatch.from_arrays([pa.array([x.ljust(GRAM + 8, b"\0") for x in keys.tolist()])], names=["key"])
 
     keys = blocks.where(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).mapInArrow(run, "key binary")
-    # a sample of about 30,000 keys at any size of the corpus
+    # a few keys for each of a bounded number of stretches
     found = sorted(bytes(r["key"]) for r in keys.collect())
-    cuts = [found[len(found) * i // buckets] for i in range(1, buckets)] if len(found) >= buckets else []
+    cuts = [found[len(found) * i // stretches] for i in range(1, stretches)] if len(found) >= stretches else found
     return np.array(sorted(set(cuts)), f"S{GRAM + 8}")
 
 
+def _dealt(stretch: np.ndarray, leads: np.ndarray, share: int) -> np.ndarray:
+    """Bucket of segments: equal anchors of a stretch stay together."""
+    if share == 1:
+        return stretch
+    high, low = _digits(leads)
+    return stretch * share + (_mix(high ^ _mix(low)) % np.uint64(share)).astype(np.int64)
+
+
 def _deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x[:1] * 0)
 
 
-def _entries(blocks: DataFrame, splitters) -> DataFrame:
+def _entries(blocks: DataFrame, splitters, share: int) -> DataFrame:
     """``bucket, block, n, blob``: the distinct segments of each block."""
     def run(batches):
         cuts = splitters.value
@@ -229,7 +250,7 @@ def _entries(blocks: DataFrame, splitters) -> DataFrame:
                 continue
             own = np.unique(b.stands)
             leads = b.leads(own)
-            bucket = np.searchsorted(cuts, _keys(leads, b.whole[own]), side="right")
+            bucket = _dealt(np.searchsorted(cuts, _keys(leads, b.whole[own]), side="right"), leads, share)
             order = np.argsort(bucket, kind="stable")
             cut = np.flatnonzero(np.diff(bucket[order])) + 1
             parts = np.split(order, cut)
@@ -305,7 +326,7 @@ def _flags(blobs) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def _open_entries(rows: DataFrame, splitters) -> DataFrame:
+def _open_entries(rows: DataFrame, splitters, share: int) -> DataFrame:
     """``bucket, block, n, blob``: undecided segments with their bytes, dealt by anchor."""
     def run(batches):
         cuts = np.unique(splitters.value.astype(f"S{GRAM}"))
@@ -314,7 +335,8 @@ def _open_entries(rows: DataFrame, splitters) -> DataFrame:
             own = np.sort(own[flag == OPEN])
             if not len(own):
                 continue
-            bucket = np.searchsorted(cuts, np.ascontiguousarray(b.leads(own)).view(f"S{GRAM}").ravel(), side="right")
+            leads = b.leads(own)
+            bucket = _dealt(np.searchsorted(cuts, np.ascontiguousarray(leads).view(f"S{GRAM}").ravel(), side="right"), leads, share)
             for k in np.unique(bucket):
                 s = own[bucket == k]
                 size = b.last[s] + LENGTH - b.first[s]
@@ -431,12 +453,13 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     blocks = saved(_blocks(docs), "blocks")
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    share = _buckets(total)[1]
     cuts = spark.sparkContext.broadcast(_splitters(blocks, total))
     answer = "block bigint, hot boolean, open boolean, blob binary"
-    told = saved(_entries(blocks, cuts).groupBy("bucket").applyInArrow(_compare(cuts), answer), "told")
+    told = saved(_entries(blocks, cuts, share).groupBy("bucket").applyInArrow(_compare(cuts), answer), "told")
     per_block = saved(_per_block(told, "flags", F.max("open").alias("open"), F.max("hot").alias("hot")), "flags")
     flagged = blocks.join(per_block, "block")
-    windows = saved(_open_entries(flagged.where("open"), cuts).groupBy("bucket")
+    windows = saved(_open_entries(flagged.where("open"), cuts, share).groupBy("bucket")
                     .applyInArrow(_compare_windows, "block bigint, blob binary"), "windows")
     late = spark.createDataFrame([], "block bigint, late array<binary>")
     if per_block.where("hot").take(1):
