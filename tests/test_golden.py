@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vatlens.plans.preprocess import bioprocess_spec, preprocess
 
+# Input rows and the derived columns they must give.
 RAW = [
     (0, 37.09934283, 7.027987109, 78.64964345, 4.809219244, 291.365064, 99.57624032, 0.0),
     (1, 36.97234714, 7.017992674, 79.69096266, 4.910961499, 299.6879651, 99.53658589, 0.0),
