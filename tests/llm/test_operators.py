@@ -329,6 +329,28 @@ def test_toxic_windows_are_found(spark):
     assert {r.doc_id for r in out if not r.predicted} <= kept and not {r.doc_id for r in out if r.predicted} & kept
 
 
+def test_toxic_phrases_long_texts_and_ties(spark):
+    """Ordinary words that are toxic side by side only; one long word, one long text, a score of 0.5."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(4, 9))) for _ in range(400)]
+    left, right = words[7], words[9]
+    texts = []
+    for k in range(800):
+        w = rnd.choices(words, k=80)
+        for _ in range(4):
+            at = rnd.randrange(70)
+            w[at:at + 2] = [left, right] if k % 4 == 0 else rnd.choice([[right, left], [left], [right]])
+        texts.append((k, " ".join(w)))
+    odd = [(900, "x" * 200_000), (901, " ".join(rnd.choices(words, k=40_000))), (902, f"{left} {right} " * 3)]
+    d = spark.createDataFrame(texts + odd, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(800)], "doc_id bigint, toxic int")
+    out = {r.doc_id: r for r in toxicity.toxicity(d, labels).collect()}
+    assert len(out) == 803 and [out[k].predicted for k in (900, 901, 902)] == [0, 0, 1]
+    assert np.mean([r.predicted == (k % 4 == 0) for k, r in out.items() if r.held_out and k < 800]) > 0.9  # pairs can overwrite one another
+    one = {"ordinary": b"", "toxic": b"", "x": [0.0], "y": [0.5]}
+    assert {r.score for r in toxicity.scored(d, one, ["doc_id"]).collect()} == {0.5}
+
+
 def test_chat(spark):
     t = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (2, 1, "bot", "yo"), (2, 2, "user", None),
          (3, 0, "user", "hi"), (4, 0, "user", "hi"), (4, 1, "bot", "yo"), (4, 2, "user", None), (5, 0, "user", None),
