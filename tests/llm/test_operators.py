@@ -363,6 +363,21 @@ def test_chat(spark):
     assert chat.render(turns.limit(0)).count() == 0
 
 
+def test_chat_long_conversations(spark):
+    """Rolling hashes across block borders, and a long conversation that was logged at every such border."""
+    turns = [(c, k, "user", f"say {k % 7}") for c, n in enumerate([1, 255, 256, 257, 512, 513, 4000]) for k in range(n)]
+    turns += [(9, k, "user", f"say {k % 7}" if k < 3999 else "other") for k in range(4000)]
+    d = spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")
+    for r in chat.prefix_hashes(d).collect():
+        last, want = "", []
+        for _, _, role, text in sorted(t for t in turns if t[0] == r.conv_id):
+            one = brute.sha(f"{len(role)}:{role}{len(text)}:{text}")
+            last = brute.sha(last + one)
+            want.append(last)
+        assert r.prefixes == want and r.n_turns == len(want)
+    assert sorted(r.conv_id for r in chat.maximal(d).collect()) == [6, 9]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, SF)

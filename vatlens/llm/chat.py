@@ -26,6 +26,8 @@ from vatlens.llm.common import saved
 
 #: The default template of a turn; {role} and {text} are filled in.
 TEMPLATE = "<|im_start|>{role}\n{text}<|im_end|>\n"
+#: Turns of a conversation whose prefix hashes are listed at a time.
+BLOCK = 256
 
 
 def _length_first(c):
@@ -44,11 +46,19 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
         .select("conv_id", "turn", "role", _turn_hash().alias("hash")).distinct()
     lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(
         F.struct("turn", "role", "hash"))).alias("turns"))
-    rolled = F.aggregate(
-        "turns", F.array(F.lit("")),
-        lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["hash"]), 256))))
+    # block by block, as a list that grows is copied at every turn
+    block = lambda i: F.slice("turns", i * BLOCK + 1, F.lit(BLOCK))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("turns") - 1) / BLOCK).cast("int")), block)
+
+    def rolled(last, turns):
+        after = F.aggregate(turns, F.array(last), lambda acc, x: F.concat(
+            acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["hash"]), 256))))
+        return F.slice(after, F.lit(2), F.size(turns))
+
+    every = F.aggregate(blocks, F.array(F.array(F.lit(""))), lambda acc, b: F.concat(
+        acc, F.array(rolled(F.element_at(F.element_at(acc, -1), -1), b))))
     return lists.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"),
-                        F.slice(rolled, 2, F.size("turns")).alias("prefixes"))
+                        F.slice(F.flatten(every), 2, F.size("turns")).alias("prefixes"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
