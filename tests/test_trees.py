@@ -281,3 +281,39 @@ def test_sums_in_two_steps(spark, data, monkeypatch):
     monkeypatch.setattr(design, "FAN_IN", 2)
     for f, cells in d.moments().items():
         np.testing.assert_allclose(cells[0][2], one[f][0][2], rtol=1e-12)
+
+
+def deep(n=6_000):
+    """A saw of many teeth, whose tree peels tooth by tooth, and a second feature with few values."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, n), rng.permutation(n)]).astype(float)
+    return x, x[:, 1] % 50 + (x[:, 0] > 4), rng.poisson(1, n).astype(float)
+
+
+def test_large_nodes_are_split_as_small_ones(monkeypatch):
+    x, y, w = deep()
+    monkeypatch.setattr(growth, "LARGE", len(x) + 1)
+    want, at = growth.grow(x, y, w)
+    monkeypatch.setattr(growth, "LARGE", 64)
+    monkeypatch.setattr(growth, "BLOCK", 16)
+    for piece in (500, 100_000):
+        monkeypatch.setattr(growth, "PIECE", piece)
+        for limit in (None, 4):
+            got, here = growth.grow(x, y, w, limit)
+            if limit is None:
+                np.testing.assert_allclose(got["value"][here], want["value"][at], atol=1e-9)
+                assert np.array_equal(np.sort(got["threshold"]), np.sort(want["threshold"]))
+        assert len(got["feature"]) <= 31
+
+
+def test_a_deep_tree_does_not_read_all_rows_at_every_level(monkeypatch):
+    """Rows times levels would be far more than what is sorted and summed for the nodes."""
+    x, y, w = deep(40_000)
+    seen, only = [], growth._best_cuts
+    monkeypatch.setattr(growth, "_best_cuts", lambda cols, counts, center: (seen.append(int(counts.sum())), only(cols, counts, center))[1])
+    tree = growth.grown(x, y, w)
+    depth, at = 0, np.zeros(1, np.int64)
+    while len(at):
+        depth, at = depth + 1, at[tree["feature"][at] >= 0]
+        at = np.concatenate([tree["left"][at], tree["left"][at] + 1])
+    assert depth > 100 and sum(seen) < 0.2 * depth * int((w > 0).sum())
