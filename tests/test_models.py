@@ -102,3 +102,11 @@ def test_trees_beat_linear_on_nonlinear(spark):
     r_gbt = regression_metrics(gbt.transform(df), "y", "prediction").first()["r2"]
     assert r_gbt > r_lin
     assert gbt.transform(df).count() == 300
+
+
+def test_rows_of_a_design_are_dealt_out(spark, monkeypatch):
+    from vatlens.plans import design
+    monkeypatch.setattr(design, "APART", 50)
+    df = spark.range(0, 100, 1, 1).selectExpr("id", "double(id) as a", "double(id * id) as y")
+    per = design.Design(df, ["a"], "y", key="id").df.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per) == spark.sparkContext.defaultParallelism and sum(r["count"] for r in per) == 100

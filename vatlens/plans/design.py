@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vatlens.operators.cleaning import to_number
 from vatlens.operators.growth import imputed
-from vatlens.session import materialize
+from vatlens.session import APART, apart, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -72,6 +72,9 @@ class Design:
             self.fits = list(range(k + 1)) if fits is None else list(fits)
         self.d = len(self.features)
         self._describe()
+        if self.total >= APART:
+            # a file's row groups may all lie in a few of its splits
+            self.df = materialize(apart(self.df, self.total))
 
     def _rows(self, df: DataFrame, fold, inner: str | None, key: str | None) -> DataFrame:
         nan = F.lit(float("nan"))
