@@ -188,3 +188,21 @@ def test_class_sample_is_exact_and_independent_of_partitions(spark):
     many = distribution.class_sample(df.repartition(13), ["c"], "id", 150)
     assert sorted(r["id"] for r in many.collect()) == one
     assert {r["c"]: r["count"] for r in many.groupBy("c").count().collect()} == {"rare": 100, "hot": 150, None: 150}
+
+
+def test_bootstrap_rows_are_dealt_out(spark, monkeypatch):
+    from vatlens.operators import bootstrap
+    df = spark.range(0, 400, 1, 1).union(spark.range(0)).selectExpr("id", "double(id % 7) as v")
+    want = bootstrap.bootstrap_mean_ci(df, "v", key="id", replicates=20).first()
+    dealt, apart = [], bootstrap.apart
+    monkeypatch.setattr(bootstrap, "APART", 100)
+    monkeypatch.setattr(bootstrap, "apart", lambda x, rows: dealt.append(rows) or apart(x, rows))
+    got = bootstrap.bootstrap_mean_ci(df, "v", key="id", replicates=20).first()
+    assert dealt == [400] and all(abs(a - b) < 1e-9 for a, b in zip(want, got))
+
+
+def test_digests_are_those_of_hashlib():
+    import hashlib
+
+    from vatlens.operators import bootstrap
+    assert bootstrap.md5(b"12:0:42").digest() == hashlib.md5(b"12:0:42").digest()
