@@ -48,3 +48,18 @@ def test_edges(spark, method, monkeypatch):
     assert ("a", 0.5) not in q and q[("b", 0.5)] == 5.0
     one = spark.createDataFrame([(3.0,)], "x double")
     assert quantile_row(one, ["x"], [0.0, 0.5, 1.0]) == {("x", 0.0): 3.0, ("x", 0.5): 3.0, ("x", 1.0): 3.0}
+
+
+def test_only_values_near_the_wanted_ranks_are_ranked(spark, monkeypatch):
+    from vatlens.operators import quantiles
+    monkeypatch.setattr(quantiles, "WHOLE", 100)
+    df = spark.range(40_000).selectExpr("if(id % 2 = 0, 'a', null) as g", "double(id * 7919 % 40009) as v") \
+        .unionByName(spark.createDataFrame([("few", float(i)) for i in range(5)], "g string, v double"))
+    long = df.select("g", F.lit("v").alias("column_name"), F.col("v").alias("_v"))
+    assert quantiles._near(long, ["g", "column_name"], [0.25, 0.5, 0.75]).count() < 1_000
+    want = {(r["g"], p): q for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, PROBS))).alias("q")).collect()
+            for p, q in zip(PROBS, r["q"])}
+    for margin in (5e-4, 0.0):  # without a margin ranks are missed, and every value is ranked
+        monkeypatch.setattr(quantiles, "MARGIN", margin)
+        got = {(r["g"], r["prob"]): r["value"] for r in exact_quantiles(df, ["v"], PROBS, ["g"], method="distributed").collect()}
+        assert got == pytest.approx(want)

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vatlens.operators.cleaning import to_number
-from vatlens.session import spread
+from vatlens.session import materialize, spread
 
 
+#: Groups whose statistics are sent to the rows.
+SENT = 50_000
 #: Slices of a class whose smallest hashes are found apart before they are merged.
 SLICES = 512
 
@@ -40,8 +42,8 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the columns of a per-group statistics frame to each row.
 
     Without keys the statistics are one row: collected and added as literals.
-    With keys they are joined on the (null-safe) key; AQE broadcasts the
-    statistics side when it is small.
+    With keys they are joined on the (null-safe) key; they are kept and counted
+    first, and broadcast when they are few, so that the rows are not shuffled.
     """
     keys = _names(keys)
     extra = [c for c in stats.columns if c not in keys]
@@ -49,7 +51,9 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
         row = stats.first()
         return df.withColumns({c: F.lit(row[c] if row is not None else None)
                                .cast(stats.schema[c].dataType) for c in extra})
-    st = stats.select(*[F.col(k).alias("_vr_" + k) for k in keys], *extra)
+    st = materialize(stats.select(*[F.col(k).alias("_vr_" + k) for k in keys], *extra))
+    if st.count() <= SENT:
+        st = F.broadcast(st)
     cond = None
     for k in keys:
         t = df[k].eqNullSafe(st["_vr_" + k])
