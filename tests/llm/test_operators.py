@@ -449,3 +449,12 @@ def test_more_buckets_than_sampled_keys(spark, docs, rows, monkeypatch, stretche
     sizes = [r["n"] for r in substrings._entries(blocks, shared, share).groupBy("bucket").agg(common.F.sum("n").alias("n")).collect()]
     assert len(sizes) > min(len(cuts) + 1, stretches) * share / 2 and max(sizes) < sum(sizes) / 4
     assert listed(substrings.digests(two), "*") == sorted(brute.substrings(rows), key=repr)
+
+
+def test_code_points_beyond_the_first_plane_have_their_own_class():
+    table = quality_rules._classes()
+    # a mathematical bold a and a digit of that kind, a letter of another script, a sign
+    codes = quality_rules._codes("\U0001D41A\U0001D7CE\U00010400\U0001F600", table)[:4] & 31
+    assert codes.tolist() == [quality_rules._class(ord(c)) for c in "\U0001D41A\U0001D7CE\U00010400\U0001F600"]
+    assert codes[1] == quality_rules._DIGIT and codes[2] in (26, 27) and codes[3] == quality_rules._SIGN
+    assert (quality_rules._codes("abc", table)[:3] & 31).tolist() == [0, 1, 2]
