@@ -171,3 +171,15 @@ def test_variants(spark, monkeypatch):
     monkeypatch.setattr(variants, "ROWS", 3)
     assert listed(variants.variants(docs)) == want
     assert variants.variants(docs.limit(0)).collect() == []
+
+
+def test_ids_are_encoded_in_small_slices(spark, monkeypatch):
+    """The pipeline's executors keep what earlier stages took, so a task holds little text at a time."""
+    sizes, slices = [], common._slices
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1_500_000] * 8)], names=["text"])
+    assert max(b.num_rows for b in slices(batch, batch.column(0), bpe.PIECE)) * 1_500_000 < bpe.PIECE + 1_500_000
+    monkeypatch.setattr(bpe, "map_texts", lambda docs, keep, new, make, size=None: sizes.append(size) or docs.withColumns(
+        {"input_ids": F.array(F.lit(1)), "n_tokens": F.lit(1)}))
+    monkeypatch.setattr(bpe, "_shared", lambda docs, path: None)
+    bpe.encoded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "", "")
+    assert sizes == [bpe.PIECE] and bpe.PIECE < common.SLICE

@@ -35,6 +35,8 @@ from vatlens.llm.common import field, map_texts
 
 #: Size of the units whose results a task keeps, in characters, 16 more a unit; about 10 bytes of memory each.
 CACHE = 10_000_000
+#: Bytes of text encoded at a time: their distinct units and results are held at once beside the known ones.
+PIECE = 4_000_000
 #: Units learned at a time.
 BATCH = 200_000
 #: Fixed: the code points with the Unicode property White_Space.
@@ -288,7 +290,7 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     new = [field("input_ids", "array<int>"), field("n_tokens", "bigint")]
     keep = docs.select(F.struct("*").alias("_row"), "text")
-    out = map_texts(keep, ["_row"], new, make)
+    out = map_texts(keep, ["_row"], new, make, PIECE)
     return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("input_ids", "n_tokens")],
                       "input_ids", "n_tokens")
 
