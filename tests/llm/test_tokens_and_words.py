@@ -4,13 +4,14 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import brute
-from vatlens.llm import alignment, common, pieces, variants
+from vatlens.llm import alignment, bpe, common, pieces, variants
 from vatlens.llm.queries import tokenizers
 
 DOCS = "doc_id bigint, text string, lang string, n string, word string, _h string, _block string, n_a string"
