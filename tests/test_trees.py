@@ -317,3 +317,51 @@ def test_a_deep_tree_does_not_read_all_rows_at_every_level(monkeypatch):
         depth, at = depth + 1, at[tree["feature"][at] >= 0]
         at = np.concatenate([tree["left"][at], tree["left"][at] + 1])
     assert depth > 100 and sum(seen) < 0.2 * depth * int((w > 0).sum())
+
+
+def test_rows_are_led_on_together(monkeypatch):
+    """Along the whole way of one row, with the same ends as step by step."""
+    x, y, w = deep(20_000)
+    tree = growth.grown(x, y, w)
+    rows = np.vstack([x, x + 0.25, [[-np.inf, np.inf], [4.0, 0.0], [-0.0, 1e9]]])
+    got = growth.walk(tree, rows)
+    calls, only = [], np.flatnonzero
+    monkeypatch.setattr(growth, "FOLLOW", len(rows) + 1, raising=False)
+    want = growth.walk(tree, rows)
+    assert np.array_equal(got, want)
+    monkeypatch.undo()
+    monkeypatch.setattr(growth.np, "flatnonzero", lambda v: (calls.append(len(v)), only(v))[1])
+    growth.walk(tree, rows)
+    depth, at = 0, np.zeros(1, np.int64)
+    while len(at):
+        depth, at = depth + 1, at[tree["feature"][at] >= 0]
+        at = np.concatenate([tree["left"][at], tree["left"][at] + 1])
+    assert depth > 100 and sum(calls) < 0.05 * depth * len(rows)
+    holes = rows.copy()
+    holes[::3, 1] = np.nan  # a missing value goes to the left
+    monkeypatch.undo()
+    assert np.array_equal(growth.walk(tree, holes), growth.walk(tree, np.where(np.isnan(holes), -np.inf, holes)))
+
+
+def test_packed_trees():
+    x, y, w = deep()
+    for depth in (None, 0, 3):
+        tree = growth.grown(x, y, w, depth)
+        again = growth.unpacked(*growth.packed(tree))
+        assert len(again["left"]) == len(tree["left"])
+        assert np.array_equal(again["value"][growth.walk(again, x)], tree["value"][growth.walk(tree, x)])
+
+
+def test_a_model_leaves_its_task_in_small_pieces(spark, data, monkeypatch, tmpdir_spark):
+    """No row of a model and no task that scores holds all trees that a task has grown."""
+    monkeypatch.setattr(trees, "PIECE", 40, raising=False)
+    model = models.fit_tree(data, NAMES, "y", "rf", num_trees=70, key="id")
+    assert model.nodes.select("unit").distinct().count() < 70  # several trees are grown together
+    assert model.nodes.agg(F.max(F.size("feature"))).first()[0] <= 40
+    want = {r["id"]: r["prediction"] for r in model.transform(data).collect()}
+    monkeypatch.setattr(trees, "SENT_BYTES", 0)
+    monkeypatch.setattr(trees, "SCORED", 100, raising=False)
+    for held in (1, 20_000):
+        monkeypatch.setattr(trees, "HELD_BYTES", held, raising=False)
+        got = {r["id"]: r["prediction"] for r in model.transform(data).collect()}
+        assert len(got) == len(want) and all(abs(got[i] - want[i]) < 1e-9 for i in want)
