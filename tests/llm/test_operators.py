@@ -458,3 +458,40 @@ def test_code_points_beyond_the_first_plane_have_their_own_class():
     assert codes.tolist() == [quality_rules._class(ord(c)) for c in "\U0001D41A\U0001D7CE\U00010400\U0001F600"]
     assert codes[1] == quality_rules._DIGIT and codes[2] in (26, 27) and codes[3] == quality_rules._SIGN
     assert (quality_rules._codes("abc", table)[:3] & 31).tolist() == [0, 1, 2]
+
+
+def test_no_letter_counts_as_another(spark):
+    """The model's n-grams are those of code points, so letters in senseless places show in any script."""
+    texts = ["Ab. ab Ωω 漢字漢字", "x", "\U0001F600\U0001D7CE same", "aaaa", "aaaa", None, "  "]
+    d = spark.createDataFrame([(i, t, "en" if i else None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    want = {}
+    for i, t in enumerate(texts):
+        if t and t.strip():
+            p = [0, 0, 0, *(ord(c) + 1 for c in t), 0]
+            for k in range(len(p) - 3):
+                gram = ("=en" if i else "", (p[k] << 32) | p[k + 1], (p[k + 2] << 32) | p[k + 3])
+                want[gram] = want.get(gram, 0) + 1
+    assert {(r["key"], r["first"], r["last"]): r["n"] for r in quality_rules.ngram_counts(d).collect()} == want
+
+    rnd = random.Random(5)
+    words = ["привет", "дорога", "берег", "солнце", "зима", "небо"]
+    # the same classes of even and odd code points, but letters that never stand there
+    other = ["".join(chr(ord(c) + 2 * rnd.randrange(-3, 4)) for c in w) for w in words for _ in range(9)]
+    texts = [" ".join(rnd.choice(words) for _ in range(300)) for _ in range(120)] + [" ".join(rnd.choice(other) for _ in range(300)) for _ in range(3)]
+    d = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality_rules.rules(d).where("not base_failed").collect()}
+    assert all(kept[i] for i in kept if i < 120) and kept and not any(kept.get(i, False) for i in range(120, 123))
+
+
+def test_an_alphabet_of_any_size():
+    points = np.arange(1 << 16)
+    large = quality_rules._Alphabet(points)
+    text = "".join(map(chr, (5, 900, 40_000, 900, 5)))
+    code = large.codes(quality_rules._points(text))
+    first, last = large.columns(code)
+    p = quality_rules._points(text).tolist()
+    assert [(int(a) >> 32, int(a) & 0xFFFFFFFF, int(b) >> 32, int(b) & 0xFFFFFFFF) for a, b in zip(first, last)] == \
+        [tuple(p[k:k + 4]) for k in range(len(p) - 3)]
+    code, n = np.unique(code, return_counts=True)
+    model = quality_rules.kneser_ney(code, n, large.bits, 1 << 16)
+    assert np.isfinite(quality_rules._lookup(model, code, quality_rules.ORDER, large.bits, 1 << 16)).all()
